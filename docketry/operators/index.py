@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import scores, text
+from docketry.session import materialise
 
 # C keywords, never identifiers.
 KEYWORDS = (
@@ -158,28 +159,29 @@ def eligible_postings(
     """Postings of the eligible entries with their document frequency.
 
     Entries far above the limit would put their whole posting list into one join
-    partition only to be discarded there; they are filtered out map-side first.
+    partition only to be discarded there; they are filtered out map-side first. The
+    entry counts are an index table of their own and are written once.
     """
-    counted = entries(posting_rows)
+    counted = materialise(entries(posting_rows), "entries")
     share = counted.agg(F.ceil(F.sum("df") / HEAVY_ENTRIES).alias("share")).scalar()
     heavy = counted.filter((F.col("df") > max_df) & (F.col("df") > share)).select(*ENTRY_KEY)
     light = posting_rows.join(F.broadcast(heavy), ENTRY_KEY, "left_anti")
     return light.join(eligible_entries(counted, min_df, max_df), ENTRY_KEY)
 
 
-def seed_identifiers(
-    eligible_rows: DataFrame, per_span: int = scores.SEEDS_PER_SPAN
-) -> DataFrame:
-    """The most specific identifiers of each span: (source_id, identifier, df, seed_no).
+def identifier_links(eligible_rows: DataFrame) -> DataFrame:
+    """(source_id, identifier, df): one row per span and identifier at its rarest kind.
 
-    Specificity falls strictly with document frequency, so the order uses the integer
-    frequency. Several kinds of one identifier count once, at their rarest.
+    Specificity falls strictly with document frequency, so the rarest kind carries the
+    strongest link and every later step can join on unique rows.
     """
-    rarest = eligible_rows.groupBy("source_id", "identifier").agg(F.min("df").alias("df"))
+    return eligible_rows.groupBy("source_id", "identifier").agg(F.min("df").alias("df"))
+
+
+def seed_identifiers(links: DataFrame, per_span: int = scores.SEEDS_PER_SPAN) -> DataFrame:
+    """The most specific identifiers of each span: (source_id, identifier, df, seed_no)."""
     order = Window.partitionBy("source_id").orderBy(F.asc("df"), F.asc("identifier"))
-    return rarest.withColumn("seed_no", F.row_number().over(order)).filter(
-        F.col("seed_no") <= per_span
-    )
+    return links.withColumn("seed_no", F.row_number().over(order)).filter(F.col("seed_no") <= per_span)
 
 
 def index_table(posting_rows: DataFrame, max_df: int = scores.MAX_DF) -> DataFrame:

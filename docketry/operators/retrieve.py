@@ -71,34 +71,42 @@ def broad(scored: DataFrame, k: int = scores.BROAD_K) -> DataFrame:
 # ---- identifier expansion ---------------------------------------------------------
 
 
-def query_edges(query_ids: DataFrame, eligible: DataFrame, n: Column) -> DataFrame:
-    """Edges from identifiers named by the query (case-sensitive)."""
-    weighted = eligible.select(
-        "identifier", "source_id", scores.specificity(F.col("df"), n).alias("edge")
-    )
-    return (
-        query_ids.select("query_id", "identifier").join(weighted, "identifier")
-        .groupBy(*PAIR, "identifier").agg(F.max("edge").alias("edge"))
-    )
+def query_edges(query_ids: DataFrame, links: DataFrame, n: Column) -> DataFrame:
+    """Edges from identifiers named by the query (case-sensitive).
+
+    Named identifiers and links are both unique, so the edges are unique as joined.
+    """
+    named = query_ids.select("query_id", "identifier").distinct()
+    edge = scores.specificity(F.col("df"), n)
+    return fan_out(named, "identifier").join(fan_out(links, "identifier"), "identifier").select(
+        *PAIR, "identifier", edge.alias("edge"))
 
 
-def seed_edges(broad_rows: DataFrame, seeds: DataFrame, eligible: DataFrame, n: Column) -> DataFrame:
+def seed_edges(broad_rows: DataFrame, seeds: DataFrame, links: DataFrame, n: Column) -> DataFrame:
     """Edges over the seed identifiers of the broad spans, weakened by broad rank.
 
-    A span is reached by its own seeds too. All inputs are bounded per query: 40 broad
-    rows, 8 seeds each, at most 50 sources per entry.
+    A span is reached by its own seeds too. The best rank per query and identifier is
+    taken before links are joined, so edges are unique as joined and the large side is
+    never aggregated. Per query there are 40 broad rows with 8 seeds each and at most 50
+    sources per entry.
     """
-    strength = F.lit(1.0) / F.log2(F.col("broad_rank") + F.lit(1.0))
     seeded = (
         broad_rows.select(*PAIR, "broad_rank")
         .join(seeds.select("source_id", "identifier"), "source_id")
         .groupBy("query_id", "identifier").agg(F.min("broad_rank").alias("broad_rank"))
     )
-    weight = strength * scores.specificity(F.col("df"), n)
-    return (
-        seeded.join(eligible.select("identifier", "source_id", "df"), "identifier")
-        .groupBy(*PAIR, "identifier").agg(F.max(weight).alias("edge"))
-    )
+    edge = F.lit(1.0) / F.log2(F.col("broad_rank") + F.lit(1.0)) * scores.specificity(F.col("df"), n)
+    return fan_out(seeded, "identifier").join(fan_out(links, "identifier"), "identifier").select(
+        *PAIR, "identifier", edge.alias("edge"))
+
+
+def fan_out(df: DataFrame, key: str) -> DataFrame:
+    """Fix the partition count ahead of a join that multiplies rows.
+
+    Run-time coalescing looks at input bytes only and would put a small input of such a
+    join into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def merge_edges(*edge_tables: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("text", "retrieval")
+AREAS = ("text", "retrieval", "review", "audit")
 
 
 def _merged(attribute: str) -> dict:

@@ -204,7 +204,7 @@ class Graph:
     def __init__(self, spark: SparkSession, sf: str):
         self.orders = order_scores(spark, sf)
         self.n = self.orders.agg(F.count(F.lit(1))).scalar()
-        self.eligible = index.eligible_postings(index.postings(line_identifiers(spark, sf)))
+        self.links = retrieval.build_links(index.postings(line_identifiers(spark, sf)))
         self.broad = retrieve.broad(self.orders)
         named = self.orders.filter("named").select("query_id", "source_id")
         self.query_ids = named.join(
@@ -212,10 +212,10 @@ class Graph:
         ).select("query_id", "identifier").distinct()
 
     def seed_edges(self) -> DataFrame:
-        return retrieve.seed_edges(self.broad, index.seed_identifiers(self.eligible), self.eligible, self.n)
+        return retrieve.seed_edges(self.broad, index.seed_identifiers(self.links), self.links, self.n)
 
     def query_edges(self) -> DataFrame:
-        return retrieve.query_edges(self.query_ids, self.eligible, self.n)
+        return retrieve.query_edges(self.query_ids, self.links, self.n)
 
     def relation(self) -> DataFrame:
         return retrieve.relation_scores(self.query_edges().unionByName(self.seed_edges()))
@@ -345,7 +345,7 @@ def document_retrieval(spark: SparkSession, sf: str) -> retrieval.Retrieval:
         F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("content_sha256"))
     queries = benchmark_queries(spark, sf)
     ids = queries.select("query_id", F.explode(F.array_distinct(text.tokenize(F.col("query_text")))).alias("identifier"))
-    corpus = retrieval.SpanIndex(forward, spans, index.eligible_postings(words))
+    corpus = retrieval.SpanIndex(forward, spans, retrieval.build_links(words))
     return retrieval.retrieve_all(corpus, queries, ids)
 
 

@@ -434,7 +434,7 @@ SEEDS_DUCK = f"""{POSTINGS_DUCK}, elig AS (SELECT identifier, kind, source_id, d
 
 @query(f"WITH {SEEDS_DUCK} SELECT source_id, identifier, df::BIGINT AS df, seed_no::INT AS seed_no FROM seeds")
 def seed_topk(spark, sf):
-    return index.seed_identifiers(index.eligible_postings(index.postings(line_identifiers(spark, sf))))
+    return index.seed_identifiers(index.identifier_links(index.eligible_postings(index.postings(line_identifiers(spark, sf)))))
 
 
 @query(f"""WITH {POSTINGS_DUCK}, t AS (SELECT identifier, kind, df, list_sort(list(source_id)) AS p FROM postings JOIN entries USING (identifier, kind) WHERE df <= 50 GROUP BY ALL),

@@ -18,11 +18,11 @@ from docketry.session import materialise
 class SpanIndex:
     """Index tables of one corpus. ``forward`` has source_id, tokens, vec and norm;
     ``spans`` has source_id, content_sha256 and whatever the docket should carry;
-    ``eligible`` has identifier, kind, scope, source_id and df."""
+    ``links`` has source_id, identifier and df."""
 
     forward: DataFrame
     spans: DataFrame
-    eligible: DataFrame
+    links: DataFrame
 
 
 @dataclass
@@ -42,6 +42,11 @@ def build_forward(spans: DataFrame, body, dim: int = vectors.HASH_DIM) -> DataFr
     return materialise(vectors.hash_embed(tokens, dim), "forward")
 
 
+def build_links(identifiers: DataFrame) -> DataFrame:
+    """Identifier links of the eligible entries, stored once: every stage reads them."""
+    return materialise(index.identifier_links(index.eligible_postings(identifiers)), "links")
+
+
 def query_table(queries: DataFrame, dim: int = vectors.HASH_DIM) -> DataFrame:
     """Scoring form of (query_id, query_text)."""
     tokens = queries.select("query_id", text.tokenize(F.col("query_text")).alias("tokens"))
@@ -93,12 +98,12 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     n = corpus.forward.agg(F.count(F.lit(1)).alias("n")).scalar()
     # The broad cut (40 rows per query) feeds four branches; compute it once.
     broad = materialise(broad_candidates(corpus.forward, batches), "broad")
-    in_broad = corpus.eligible.join(
+    in_broad = corpus.links.join(
         F.broadcast(broad.select("source_id").distinct()), "source_id", "left_semi"
     )
     seeds = index.seed_identifiers(in_broad)
-    edges = retrieve.query_edges(query_ids, corpus.eligible, n).unionByName(
-        retrieve.seed_edges(broad, seeds, corpus.eligible, n)
+    edges = retrieve.query_edges(query_ids, corpus.links, n).unionByName(
+        retrieve.seed_edges(broad, seeds, corpus.links, n)
     )
     relation = materialise(retrieve.relation_scores(edges), "relation")
     outside = relation.join(F.broadcast(broad.select(*retrieve.PAIR)), retrieve.PAIR, "left_anti")
