@@ -124,10 +124,12 @@ def case_references(cases: DataFrame, spans: DataFrame) -> DataFrame:
         "claim": F.transform("expected_claims", lambda c: c["source_id"]),
         "changed": F.when(F.col("incoming_artifact").isNull(), F.array("changed_source_id")),
     }
-    named = F.concat(*[
-        F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s.alias("source_id")))
-        for k, v in lists.items()
-    ])
+
+    def tagged(kind: str, sources: Column) -> Column:
+        known = F.coalesce(sources, F.array().cast("array<string>"))
+        return F.transform(known, lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("source_id")))
+
+    named = F.concat(*[tagged(kind, sources) for kind, sources in lists.items()])
     return (
         cases.select("id", F.inline(named)).join(spans.select("source_id"), "source_id", "left_anti")
         .select("id", F.concat(F.lit("unknown_"), "kind").alias("violation"), F.col("source_id").alias("reference"))

@@ -6,6 +6,8 @@ done per case first; group figures are sums of the per-case table.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,109 +143,118 @@ def _filled(df: DataFrame) -> DataFrame:
     return df.fillna(0, [f.name for f in df.schema.fields if f.dataType.typeName() in ("long", "integer")])
 
 
-IMPACT = "is_impact"
+@dataclass(frozen=True)
+class Figures:
+    """Aggregates over per-case rows, values derived from them, and the columns to show."""
 
+    aggregates: list[Column]
+    derived: dict[str, Column]
+    columns: list[str]
 
-def hit_rates(rows: DataFrame) -> DataFrame:
-    impact = is_impact(F.col("case_type"))
-    grouped = _filled(by_group(
-        rows, total("eligible_targets", impact).alias("eligible_targets"),
-        *[total(c, impact).alias(c) for c in ("broad_hits", "expanded_hits", "final_hits", "new_target_hits")],
-    ))
-    eligible = F.col("eligible_targets")
-    return grouped.withColumns({
-        "broad_rate": safe_rate(F.col("broad_hits"), eligible),
-        "expanded_rate": safe_rate(F.col("expanded_hits"), eligible),
-        "final_rate": safe_rate(F.col("final_hits"), eligible),
-        "gain_rate": safe_rate(F.col("new_target_hits"), eligible),
-    })
 
+def evaluate(rows: DataFrame, *parts: Figures) -> DataFrame:
+    """All parts in one pass over the per-case table."""
+    grouped = _filled(by_group(rows, *[a for part in parts for a in part.aggregates]))
+    derived = {name: value for part in parts for name, value in part.derived.items()}
+    return grouped.withColumns(derived).select("run_id", "group", *[c for part in parts for c in part.columns])
 
-def complete_coverage(rows: DataFrame) -> DataFrame:
-    """Impact cases whose whole gold set is covered; a case without gold is covered."""
-    impact = is_impact(F.col("case_type"))
-    return _filled(by_group(
-        rows,
-        *[count_where(impact & F.coalesce(F.col(c), F.lit(True))).alias(c)
-          for c in ("broad_complete", "expanded_complete", "final_complete")],
-        count_where(impact).alias("eligible_cases"),
-    ))
 
+def _rate(numerator: str, denominator: str) -> Column:
+    return safe_rate(F.col(numerator), F.col(denominator))
 
-def rank_figures(rows: DataFrame) -> DataFrame:
-    impact = is_impact(F.col("case_type"))
-    grouped = _filled(by_group(
-        rows, total("final_hits", impact).alias("retrieved_targets"), total("rank_sum", impact).alias("rank_sum"),
-        F.sum(F.when(impact, F.col("reciprocal_sum"))).alias("reciprocal_sum"),
-    ))
-    return grouped.select(
-        "run_id", "group", "retrieved_targets",
-        safe_rate(F.col("rank_sum"), F.col("retrieved_targets")).alias("mean_rank"),
-        safe_rate(F.col("reciprocal_sum"), F.col("retrieved_targets")).alias("mean_reciprocal_rank"),
+
+def _impact() -> Column:
+    return is_impact(F.col("case_type"))
+
+
+def _control() -> Column:
+    return is_control(F.col("case_type"))
+
+
+def size_figures() -> Figures:
+    return Figures(
+        [F.count(F.lit(1)).alias("n_cases"), count_where(_impact()).alias("impact_cases"),
+         count_where(_control()).alias("control_cases")],
+        {}, ["n_cases", "impact_cases", "control_cases"],
     )
 
 
-def claim_recall(rows: DataFrame) -> DataFrame:
-    """``rows`` needs eligible_claims, proposed_slots and verified_slots per case."""
-    impact = is_impact(F.col("case_type"))
-    grouped = _filled(by_group(
-        rows, total("eligible_claims", impact).alias("eligible_claims"),
-        total("proposed_slots").alias("proposed_matched"), total("verified_slots").alias("verified_matched"),
-    ))
-    return grouped.withColumns({
-        "proposal_rate": safe_rate(F.col("proposed_matched"), F.col("eligible_claims")),
-        "verified_rate": safe_rate(F.col("verified_matched"), F.col("eligible_claims")),
-    })
+def hit_figures() -> Figures:
+    hits = ["broad_hits", "expanded_hits", "final_hits", "new_target_hits"]
+    rates = {"broad_rate": "broad_hits", "expanded_rate": "expanded_hits", "final_rate": "final_hits", "gain_rate": "new_target_hits"}
+    return Figures(
+        [total(c, _impact()).alias(c) for c in ("eligible_targets", *hits)],
+        {rate: _rate(hit, "eligible_targets") for rate, hit in rates.items()},
+        ["eligible_targets", *hits, *rates],
+    )
 
 
-def false_alarm(rows: DataFrame) -> DataFrame:
-    control = is_control(F.col("case_type"))
-    grouped = _filled(by_group(
-        rows, count_where(control & (F.col("verified") > 0)).alias("false_alarm_cases"),
-        count_where(control).alias("eligible_controls"),
-    ))
-    return grouped.withColumn("rate", safe_rate(F.col("false_alarm_cases"), F.col("eligible_controls")))
+def coverage_figures() -> Figures:
+    """Impact cases whose whole gold set is covered; a case without gold is covered."""
+    stages = ["broad_complete", "expanded_complete", "final_complete"]
+    covered = [count_where(_impact() & F.coalesce(F.col(c), F.lit(True))).alias(c) for c in stages]
+    return Figures([*covered, count_where(_impact()).alias("eligible_cases")], {}, [*stages, "eligible_cases"])
+
+
+def rank_figures() -> Figures:
+    return Figures(
+        [total("final_hits", _impact()).alias("retrieved_targets"), total("rank_sum", _impact()).alias("rank_total"),
+         F.sum(F.when(_impact(), F.col("reciprocal_sum"))).alias("reciprocal_total")],
+        {"mean_rank": _rate("rank_total", "retrieved_targets"),
+         "mean_reciprocal_rank": _rate("reciprocal_total", "retrieved_targets")},
+        ["retrieved_targets", "mean_rank", "mean_reciprocal_rank"],
+    )
 
 
-def claim_counts(rows: DataFrame) -> DataFrame:
-    return _filled(by_group(rows, *[total(c).alias(c) for c in ("proposed", "blocked", "rejected", "verified")]))
+def recall_figures() -> Figures:
+    """Needs eligible_claims, proposed_slots and verified_slots per case."""
+    return Figures(
+        [total("eligible_claims", _impact()).alias("eligible_claims"), total("proposed_slots").alias("proposed_matched"),
+         total("verified_slots").alias("verified_matched")],
+        {"proposal_rate": _rate("proposed_matched", "eligible_claims"), "verified_rate": _rate("verified_matched", "eligible_claims")},
+        ["eligible_claims", "proposed_matched", "verified_matched", "proposal_rate", "verified_rate"],
+    )
 
 
-def selection(rows: DataFrame) -> DataFrame:
-    grouped = _filled(by_group(
-        rows, F.count(F.lit(1)).alias("cases"),
-        *[total(c).alias(c) for c in ("expanded_size", "docket_size", "verified_docket_size")],
-    ))
-    n = F.col("cases")
-    return grouped.select(
-        "run_id", "group", "cases",
-        safe_rate(F.col("expanded_size"), n).alias("average_expanded_pool_size"),
-        safe_rate(F.col("docket_size"), n).alias("average_final_docket_size"),
-        safe_rate(F.col("verified_docket_size"), n).alias("average_verified_docket_size"),
-        safe_rate(F.col("docket_size") - F.col("verified_docket_size"), F.col("docket_size")).alias("candidate_reduction"),
+def alarm_figures() -> Figures:
+    return Figures(
+        [count_where(_control() & (F.col("verified") > 0)).alias("false_alarm_cases"),
+         count_where(_control()).alias("eligible_controls")],
+        {"false_alarm_rate": _rate("false_alarm_cases", "eligible_controls")},
+        ["false_alarm_cases", "eligible_controls", "false_alarm_rate"],
     )
 
 
-def unregistered(verified_matched: DataFrame, cases: DataFrame) -> DataFrame:
-    """Verified claims outside every slot, per case; controls do not count."""
-    extra = verified_matched.filter(F.col("claim_slot_id").isNull()).groupBy(*CASE).agg(
-        F.count(F.lit(1)).alias("extra")
+def claim_figures() -> Figures:
+    names = ["proposed", "blocked", "rejected", "verified"]
+    return Figures([total(c).alias(c) for c in names], {}, names)
+
+
+def selection_figures() -> Figures:
+    sizes = ["expanded_size", "docket_size", "verified_docket_size"]
+    return Figures(
+        [F.count(F.lit(1)).alias("cases"), *[total(c).alias(c) for c in sizes]],
+        {"average_expanded_pool_size": _rate("expanded_size", "cases"), "average_final_docket_size": _rate("docket_size", "cases"),
+         "average_verified_docket_size": _rate("verified_docket_size", "cases"),
+         "candidate_reduction": safe_rate(F.col("docket_size") - F.col("verified_docket_size"), F.col("docket_size"))},
+        ["cases", "average_expanded_pool_size", "average_final_docket_size", "average_verified_docket_size", "candidate_reduction"],
     )
-    rows = per_case(cases, extra)
-    return _filled(by_group(rows, total("extra", is_impact(F.col("case_type"))).alias("unregistered")))
 
 
-def all_metrics(rows: DataFrame, verified_matched: DataFrame, cases: DataFrame) -> DataFrame:
-    """Every figure in one row per run and group."""
-    key = ["run_id", "group"]
-    sizes = _filled(by_group(
-        rows, F.count(F.lit(1)).alias("n_cases"), count_where(is_impact(F.col("case_type"))).alias("impact_cases"),
-        count_where(is_control(F.col("case_type"))).alias("control_cases"),
-    ))
+def unregistered_figures() -> Figures:
+    """Verified claims outside every slot; controls do not count. Needs extra_claims."""
+    return Figures([total("extra_claims", _impact()).alias("unregistered")], {}, ["unregistered"])
+
+
+def extra_claims(verified_matched: DataFrame) -> DataFrame:
+    return verified_matched.filter(F.col("claim_slot_id").isNull()).groupBy(*CASE).agg(
+        F.count(F.lit(1)).alias("extra_claims"))
+
+
+def all_figures() -> tuple[Figures, ...]:
     return (
-        sizes.join(hit_rates(rows), key).join(complete_coverage(rows), key).join(rank_figures(rows), key)
-        .join(claim_recall(rows), key).join(false_alarm(rows).withColumnRenamed("rate", "false_alarm_rate"), key)
-        .join(claim_counts(rows), key).join(selection(rows), key).join(unregistered(verified_matched, cases), key)
+        size_figures(), hit_figures(), coverage_figures(), rank_figures(), recall_figures(), alarm_figures(),
+        claim_figures(), selection_figures(), unregistered_figures(),
     )
 
 

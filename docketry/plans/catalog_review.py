@@ -16,7 +16,7 @@ from docketry.functions import text
 from docketry.operators import audit, compare, metrics, retrieve, review
 from docketry.plans import fragments as sql
 from docketry.plans.catalog_text import documents
-from docketry.session import table
+from docketry.session import materialise, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -186,14 +186,20 @@ def exact_span(spark, sf):
     """
     width = 12
     docs = documents(spark, sf, "doc_id", "text")
-    words = r"[A-Za-z]+"
-    runs = F.regexp_extract_all("text", F.lit(words), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(0), F.size(runs) - width), lambda i: F.xxhash64(F.slice(runs, i + 1, width)))
-    passages = table(spark, sf, "benchmark").select(
+
+    def with_runs(df: DataFrame) -> DataFrame:
+        return df.withColumn("runs", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+
+    # Every run of twelve words is hashed from twelve shifted copies of the word-hash list.
+    hashed = with_runs(docs).select("doc_id", F.transform("runs", lambda w: F.xxhash64(w)).alias("h"))
+    keyed = hashed.filter(F.size("h") >= width).select(
+        "doc_id", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.size("h") - width + 1), lambda i: F.xxhash64(F.slice("h", i, width))))).alias("gram"))
+    passages = with_runs(table(spark, sf, "benchmark")).select(
         "item_id", F.col("text").alias("passage"),
         # A passage may start or end inside a word of the document; its inner words are whole.
-        F.when(F.size(runs) > width + 1, F.xxhash64(F.slice(runs, 2, width))).alias("gram"))
-    keyed = docs.filter(F.size(runs) >= width).select("doc_id", F.explode(F.array_distinct(grams)).alias("gram"))
+        F.when(F.size("runs") > width + 1,
+               F.xxhash64(F.transform(F.slice("runs", 2, width), lambda w: F.xxhash64(w)))).alias("gram"))
     near = passages.filter("gram is not null")
     pairs = keyed.join(F.broadcast(near.select("item_id", "gram")), "gram").select("item_id", "doc_id")
     short = passages.filter("gram is null").select("item_id", "passage")
@@ -387,7 +393,7 @@ _EL, _B, _E, _FI = (_n(f"CASE WHEN impact THEN {c} END") for c in ("eligible", "
 @query(_grouped(f"""{_EL} AS eligible_targets, {_B} AS broad_hits, {_E} AS expanded_hits, {_FI} AS final_hits, {sql.safe_rate(_B, _EL)} AS broad_rate,
  {sql.safe_rate(_E, _EL)} AS expanded_rate, {sql.safe_rate(_FI, _EL)} AS final_rate"""))
 def hit_rates(spark, sf):
-    return metrics.hit_rates(Evaluation(spark, sf).hits()).drop("new_target_hits", "gain_rate")
+    return metrics.evaluate(Evaluation(spark, sf).hits(), metrics.hit_figures()).drop("new_target_hits", "gain_rate")
 
 
 _NEW = _n("CASE WHEN impact THEN expanded - broad END")
@@ -395,19 +401,19 @@ _NEW = _n("CASE WHEN impact THEN expanded - broad END")
 
 @query(_grouped(f"{_EL} AS eligible_targets, {_NEW} AS new_target_hits, {sql.safe_rate(_NEW, _EL)} AS gain_rate"))
 def expansion_gain(spark, sf):
-    return metrics.hit_rates(Evaluation(spark, sf).hits()).select("run_id", "group", "eligible_targets", "new_target_hits", "gain_rate")
+    return metrics.evaluate(Evaluation(spark, sf).hits(), metrics.hit_figures()).select("run_id", "group", "eligible_targets", "new_target_hits", "gain_rate")
 
 
 @query(_grouped(f"""{_n('(impact AND broad = eligible)::INT')} AS broad_complete, {_n('(impact AND expanded = eligible)::INT')} AS expanded_complete,
  {_n('(impact AND final = eligible)::INT')} AS final_complete, {_n('impact::INT')} AS eligible_cases"""))
 def complete_coverage(spark, sf):
-    return metrics.complete_coverage(Evaluation(spark, sf).hits())
+    return metrics.evaluate(Evaluation(spark, sf).hits(), metrics.coverage_figures())
 
 
 @query(_grouped(f"""{_FI} AS retrieved_targets, {sql.safe_rate(_n('CASE WHEN impact THEN rank_sum END'), _FI)} AS mean_rank,
  {sql.safe_rate('coalesce(sum(CASE WHEN impact THEN rr END), 0)', _FI)} AS mean_reciprocal_rank"""))
 def rank_mrr(spark, sf):
-    return metrics.rank_figures(Evaluation(spark, sf).hits())
+    return metrics.evaluate(Evaluation(spark, sf).hits(), metrics.rank_figures())
 
 
 # Gold texts hold the opening line unless the language is French; claims carry the opening line.
@@ -443,7 +449,7 @@ def claim_recall(spark, sf):
     rows = metrics.per_case(
         case.cases, eligible, metrics.slot_recall(metrics.match_slots(case.proposed(), slots), "proposed_slots"),
         metrics.slot_recall(metrics.match_slots(case.verified(case.effective()), slots), "verified_slots"))
-    return metrics.claim_recall(rows)
+    return metrics.evaluate(rows, metrics.recall_figures())
 
 
 _TOTALS = _SLOTS + """, tc AS (SELECT kc.*, coalesce(a.c, 0) AS proposed, coalesce(b.c, 0) AS blocked, coalesce(d.c, 0) AS rejected, coalesce(v.c, 0) AS verified FROM kc
@@ -455,12 +461,12 @@ _CONTROL = "case_type IN ('clean', 'benign')"
 @query(_grouped(f"""{_n(f'({_CONTROL} AND verified > 0)::INT')} AS false_alarm_cases, {_n(f'({_CONTROL})::INT')} AS eligible_controls,
  {sql.safe_rate(_n(f'({_CONTROL} AND verified > 0)::INT'), _n(f'({_CONTROL})::INT'))} AS rate""", _TOTALS, "tc"))
 def false_alarm(spark, sf):
-    return metrics.false_alarm(Evaluation(spark, sf).claims())
+    return metrics.evaluate(Evaluation(spark, sf).claims(), metrics.alarm_figures()).withColumnRenamed("false_alarm_rate", "rate")
 
 
 @query(_grouped(", ".join(f"{_n(c)} AS {c}" for c in ("proposed", "blocked", "rejected", "verified")), _TOTALS, "tc"))
 def claim_counts(spark, sf):
-    return metrics.claim_counts(Evaluation(spark, sf).claims())
+    return metrics.evaluate(Evaluation(spark, sf).claims(), metrics.claim_figures())
 
 
 _SIZES = """, zc AS (SELECT kc.*, (SELECT count(*) FROM lb WHERE lb.query_id BETWEEN kc.case_id AND kc.case_id + 19) AS es, (SELECT count(*) FROM res WHERE res.query_id = kc.case_id) AS ds,
@@ -472,7 +478,7 @@ _SIZES = """, zc AS (SELECT kc.*, (SELECT count(*) FROM lb WHERE lb.query_id BET
 def selection_stats(spark, sf):
     case = Evaluation(spark, sf)
     sizes = metrics.docket_sizes(case.keyed(case.resolved()[0]), case.pool(20))
-    return metrics.selection(metrics.per_case(case.cases, sizes))
+    return metrics.evaluate(metrics.per_case(case.cases, sizes), metrics.selection_figures())
 
 
 _EXTRA = _SLOTS + ", xc AS (SELECT kc.*, (SELECT count(*) FROM vm WHERE vm.case_id = kc.case_id AND slot_id IS NULL) AS extra FROM kc)"
@@ -481,7 +487,8 @@ _EXTRA = _SLOTS + ", xc AS (SELECT kc.*, (SELECT count(*) FROM vm WHERE vm.case_
 @query(_grouped(f"{_n('CASE WHEN impact THEN extra END')} AS unregistered", _EXTRA, "xc"))
 def unregistered(spark, sf):
     case = Evaluation(spark, sf)
-    return metrics.unregistered(metrics.match_slots(case.verified(case.effective()), case.slots()), case.cases)
+    extra = metrics.extra_claims(metrics.match_slots(case.verified(case.effective()), case.slots()))
+    return metrics.evaluate(metrics.per_case(case.cases, extra), metrics.unregistered_figures())
 
 
 @query(_grouped(f"""count(case_id)::BIGINT AS n_cases, {_n('impact::INT')} AS impact_cases, {_n(f'({_CONTROL})::INT')} AS control_cases, {_EL} AS eligible_targets, {_FI} AS final_hits,
@@ -491,7 +498,8 @@ def unregistered(spark, sf):
 def metrics_by_type(spark, sf):
     """Every metric in one table; a representative set of columns is compared."""
     case = Evaluation(spark, sf)
-    results, effective, _ = case.resolved()
+    # Results and verdicts feed several parts; as in a stored run they are tables.
+    results, effective = (materialise(df, name) for df, name in zip(case.resolved()[:2], ("results", "verdicts")))
     slots, proposed, verified = case.slots(), case.proposed(), case.verified(effective)
     matched = metrics.match_slots(verified, slots)
     rows = metrics.per_case(
@@ -499,8 +507,8 @@ def metrics_by_type(spark, sf):
         slots.groupBy(*metrics.CASE).agg(F.count(F.lit(1)).alias("eligible_claims")),
         metrics.slot_recall(metrics.match_slots(proposed, slots), "proposed_slots"), metrics.slot_recall(matched, "verified_slots"),
         metrics.claim_totals(case.keyed(results), proposed, verified, case.keyed(effective)),
-        metrics.docket_sizes(case.keyed(results), case.pool(20)))
-    return metrics.all_metrics(rows, matched, case.cases).select(
+        metrics.docket_sizes(case.keyed(results), case.pool(20)), metrics.extra_claims(matched))
+    return metrics.evaluate(rows, *metrics.all_figures()).select(
         "run_id", "group", "n_cases", "impact_cases", "control_cases", "eligible_targets", "final_hits", "verified_matched", "verified", "blocked",
         "false_alarm_rate", "unregistered")
 

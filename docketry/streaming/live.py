@@ -39,9 +39,9 @@ def review_batch(incoming: DataFrame, corpus: SpanIndex, live_outcome: str = "no
     return shown, rejected
 
 
-def live_reviews(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, corpus: SpanIndex,
-                 live_outcome: str = "no_review") -> StreamingQuery:
-    """Review every JSON request that arrives in ``inbox`` against static index tables.
+def run_reviews(requests: DataFrame, outbox: str, checkpoint: str, corpus: SpanIndex,
+                live_outcome: str = "no_review") -> StreamingQuery:
+    """Review a stream of requests against static index tables.
 
     Each micro-batch is written under its own batch id, so a replayed batch replaces
     its earlier output instead of repeating it.
@@ -54,12 +54,18 @@ def live_reviews(spark: SparkSession, inbox: str, outbox: str, checkpoint: str,
         rejected.write.mode("overwrite").parquet(f"{outbox}/rejected/batch={batch_id}")
 
     return (
-        spark.readStream.schema(schemas.INCOMING).json(inbox)
-        .writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
+def live_reviews(spark: SparkSession, inbox: str, outbox: str, checkpoint: str, corpus: SpanIndex,
+                 live_outcome: str = "no_review") -> StreamingQuery:
+    """Review every JSON request file that arrives in ``inbox``."""
+    requests = spark.readStream.schema(schemas.INCOMING).json(inbox)
+    return run_reviews(requests, outbox, checkpoint, corpus, live_outcome)
+
+
 # ---- resumable evaluation ---------------------------------------------------------
 
 
@@ -110,12 +116,22 @@ def stream_event_counts(events: DataFrame, table: str, checkpoint: str) -> Strea
 # ---- run assembly -----------------------------------------------------------------
 
 
+# Cases per nested document; larger runs are split into several documents.
+CASES_PER_PART = 500
+
+
 def assemble_run(runs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Nested run documents: the frozen cases of a run (a fixed, small set) as a list.
+    """Nested run documents: one row per run and part with its cases as a sorted list.
 
-    ``runs`` is one row per run with configuration, metrics and provenance.
+    ``runs`` is one row per run with configuration, metrics and provenance. A run is
+    split by case hash as soon as it outgrows one document, so no list grows with the
+    size of a run.
     """
-    listed = cases.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("case_id", *[c for c in cases.columns if c not in ("run_id", "case_id")]))).alias("cases")
-    )
+    sizes = cases.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / CASES_PER_PART).cast("int")
+    numbered = cases.join(sizes, "run_id").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("case_id"), F.col("parts")).cast("int"))
+    fields = [c for c in cases.columns if c not in ("run_id", "case_id")]
+    listed = numbered.groupBy("run_id", "parts", "part").agg(
+        F.array_sort(F.collect_list(F.struct("case_id", *fields))).alias("cases"))
     return runs.join(listed, "run_id", "left")
