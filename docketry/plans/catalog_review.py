@@ -176,38 +176,21 @@ def line_range(spark, sf):
         "source_id", "ordinal", "claim_id", "evidence_line", F.col("stage").eqNullSafe("deterministic_line_range").alias("out_of_range"))
 
 
-@query("""SELECT item_id, doc_id, (1 + length(substr(d.text, 1, instr(d.text, b.text) - 1)) - length(replace(substr(d.text, 1, instr(d.text, b.text) - 1), chr(10), '')))::INT AS line
- FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
+_AT = "(j % greatest(len(ls), 1))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {sql.lines('text')} AS ls FROM documents),
+ p AS (SELECT a.doc_id, a.ls, list_concat(a.ls, b.ls) AS ev FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+ SELECT doc_id, len(ev)::INT AS claims, len(list_filter(range(len(ev)), lambda j: contains(array_to_string(ls[{_AT} + 1:{_AT} + 3], chr(10)), ev[j + 1])))::INT AS exact FROM p""")
 def exact_span(spark, sf):
-    """Benchmark passages that occur verbatim in a document, with their line.
-
-    Passages and documents meet on a shared twelve-token run, so only documents that
-    repeat the passage's opening run are searched, never every pair.
-    """
-    width = 12
-    docs = documents(spark, sf, "doc_id", "text")
-
-    def with_runs(df: DataFrame) -> DataFrame:
-        return df.withColumn("runs", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
-
-    # Every run of twelve words is hashed from twelve shifted copies of the word-hash list.
-    hashed = with_runs(docs).select("doc_id", F.transform("runs", lambda w: F.xxhash64(w)).alias("h"))
-    keyed = hashed.filter(F.size("h") >= width).select(
-        "doc_id", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size("h") - width + 1), lambda i: F.xxhash64(F.slice("h", i, width))))).alias("gram"))
-    passages = with_runs(table(spark, sf, "benchmark")).select(
-        "item_id", F.col("text").alias("passage"),
-        # A passage may start or end inside a word of the document; its inner words are whole.
-        F.when(F.size("runs") > width + 1,
-               F.xxhash64(F.transform(F.slice("runs", 2, width), lambda w: F.xxhash64(w)))).alias("gram"))
-    near = passages.filter("gram is not null")
-    pairs = keyed.join(F.broadcast(near.select("item_id", "gram")), "gram").select("item_id", "doc_id")
-    short = passages.filter("gram is null").select("item_id", "passage")
-    found = pairs.join(near.select("item_id", "passage"), "item_id").join(docs, "doc_id").filter(F.contains("text", F.col("passage")))
-    # Passages too short for a run are looked up in the text directly; there are few.
-    direct = docs.join(F.broadcast(short), F.contains("text", F.col("passage")))
-    line = review.evidence_line(F.col("text"), F.col("passage"), F.lit(1))
-    return found.select("item_id", "doc_id", line.alias("line")).unionByName(direct.select("item_id", "doc_id", line.alias("line")))
+    """Every line of a document and of the next one, claimed for three lines of the first."""
+    docs = documents(spark, sf, "doc_id", "text").select("doc_id", text.split_lines(F.col("text")).alias("lines"))
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("lines").alias("more"))
+    both = docs.join(following, "doc_id").withColumn("n", F.greatest(F.size("lines"), F.lit(1)))
+    claims = F.transform(F.concat("lines", "more"), lambda l, j: F.struct(l.alias("evidence"), (j % F.col("n") + 1).alias("first")))
+    exact = F.filter("claims", lambda c: F.contains(
+        review.selected_lines(F.col("lines"), F.lit(1), c["first"], c["first"] + 2), c["evidence"]))
+    return both.withColumn("claims", claims).select("doc_id", F.size("claims").alias("claims"), F.size(exact).alias("exact"))
 
 
 @query(_CHECKED + "stage, sha256(evidence) AS evidence_sha256 FROM draft")
