@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.rows import explode_rows, inline_rows
 from docketry.operators.intake import reasons
 from docketry.operators.metrics import CASE, SPAN
 from docketry.operators.retrieve import sequence_fingerprint
@@ -20,7 +21,7 @@ def differs(left: Column, right: Column) -> Column:
 
 def failed_checks(df: DataFrame, keys: list[str], **failed: Column) -> DataFrame:
     """One row per key and failed check, named by the check."""
-    return df.select(*keys, F.explode(reasons(**failed)).alias("violation"))
+    return explode_rows(df, reasons(**failed), "violation", *keys)
 
 
 # ---- files and manifests ----------------------------------------------------------
@@ -131,7 +132,7 @@ def case_references(cases: DataFrame, spans: DataFrame) -> DataFrame:
 
     named = F.concat(*[tagged(kind, sources) for kind, sources in lists.items()])
     return (
-        cases.select("id", F.inline(named)).join(spans.select("source_id"), "source_id", "left_anti")
+        inline_rows(cases, named, "id").join(spans.select("source_id"), "source_id", "left_anti")
         .select("id", F.concat(F.lit("unknown_"), "kind").alias("violation"), F.col("source_id").alias("reference"))
         .distinct()
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from docketry.functions import text
+from docketry.functions.rows import posexplode_rows
 from docketry.sources.corpus import artifact_type
 
 # Chunk limits.
@@ -67,7 +68,7 @@ def sections(anchored: DataFrame) -> DataFrame:
         ),
     )
     keep = [c for c in anchored.columns if c not in ("lines", "anchors")]
-    exploded = anchored.select(*keep, "lines", F.posexplode(bounds).alias("section", "s"))
+    exploded = posexplode_rows(anchored, bounds, "section", "s", *keep, "lines")
     cut = F.slice("lines", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     return exploded.select(*keep, "section", "s.*", cut.alias("lines")).filter(
         F.exists("lines", lambda l: F.length(text.strip(l)) > 0)
@@ -123,8 +124,7 @@ def chunks(section_rows: DataFrame) -> DataFrame:
     keep = [c for c in section_rows.columns if c not in ("lines", "start", "end")]
     cut = F.slice("lines", F.col("w.start") + 1, F.col("w.stop") - F.col("w.start"))
     return (
-        section_rows.withColumn("windows", windows)
-        .select(*keep, "start", "lines", F.posexplode("windows").alias("pos", "w"))
+        posexplode_rows(section_rows.withColumn("windows", windows), "windows", "pos", "w", *keep, "start", "lines")
         .select(
             *keep, (F.col("pos") + 1).alias("part"),
             (F.col("start") + F.col("w.start") + 1).alias("start_line"),

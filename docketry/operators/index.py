@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.functions import scores, text
+from docketry.functions.rows import explode_rows, inline_rows
 from docketry.session import materialise
 
 # C keywords, never identifiers.
@@ -51,14 +52,14 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 def doc_freq(tokens: DataFrame) -> DataFrame:
     """Spans per token. Partial aggregation absorbs tokens found in every span."""
     return (
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
+        explode_rows(tokens, F.array_distinct("tokens"), "token")
         .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     )
 
 
 def term_freq(tokens: DataFrame) -> DataFrame:
     return (
-        tokens.select("source_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+        explode_rows(tokens, "tokens", "token", "source_id", F.size("tokens").alias("length"))
         .groupBy("source_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -123,7 +124,7 @@ def typed_identifiers(
     every = F.array_distinct(
         F.concat(words, F.coalesce(own, F.slice(words, 1, 0)), marked)
     )
-    return found.select("source_id", F.inline(every)).withColumn("scope", F.lit(SCOPE))
+    return inline_rows(found, every, "source_id").withColumn("scope", F.lit(SCOPE))
 
 
 # ---- inverted index ---------------------------------------------------------------

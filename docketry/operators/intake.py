@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import schemas
 from docketry.functions import text
+from docketry.functions.rows import explode_rows
 
 PROCESSOR_VERSION = "incoming-query-v2-deterministic"
 
@@ -75,13 +76,13 @@ def decision_contract(decisions: DataFrame) -> DataFrame:
     """(query_id, source_id, violation) over decisions; a request-level row has no source."""
     claims = F.coalesce("claims", F.array().cast(f"array<{schemas.CLAIM_DRAFT}>"))
     review = F.col("decision") == "REVIEW"
-    rows = decisions.select("query_id", "source_id", F.explode(reasons(
+    rows = explode_rows(decisions, reasons(
         unknown_decision=F.coalesce(~F.col("decision").isin(*schemas.DECISIONS), F.lit(True)),
         review_without_claim=review & (F.size(claims) == 0),
         claim_without_review=~review & (F.size(claims) > 0),
         too_many_claims=F.size(claims) > schemas.MAX_CLAIMS,
         draft_limits=draft_violations(claims),
-    )).alias("violation"))
+    ), "violation", "query_id", "source_id")
     total = (
         decisions.groupBy("query_id").agg(F.sum(F.size(claims)).alias("claims"))
         .filter(F.col("claims") > schemas.MAX_CLAIMS_PER_REQUEST)
@@ -92,10 +93,10 @@ def decision_contract(decisions: DataFrame) -> DataFrame:
 
 
 def verdict_contract(verdicts: DataFrame) -> DataFrame:
-    return verdicts.select("query_id", "claim_id", F.explode(reasons(
+    return explode_rows(verdicts, reasons(
         verdict=F.coalesce(~F.col("verdict").isin(*schemas.CURRENT_VERDICTS), F.lit(True)),
         reason_length=F.coalesce(~F.length("reason").between(1, schemas.MAX_REASON), F.lit(True)),
-    )).alias("violation"))
+    ), "violation", "query_id", "claim_id")
 
 
 def enum_violations(df: DataFrame, domains: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -117,10 +118,10 @@ def span_integrity(spans: DataFrame, source_files: DataFrame) -> DataFrame:
     """(source_id, violation): content hash, line range, file hash. Null-safe throughout."""
     files = source_files.select("path", F.col("sha256").alias("expected_file_sha256"))
     joined = spans.join(files, "path", "left")
-    return joined.select("source_id", F.explode(reasons(
+    return explode_rows(joined, reasons(
         content_sha256=~F.col("content_sha256").eqNullSafe(F.sha2("content", 256)),
         line_range=F.coalesce(
             (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), F.lit(True)
         ),
         source_file_sha256=~F.col("source_file_sha256").eqNullSafe(F.col("expected_file_sha256")),
-    )).alias("violation"))
+    ), "violation", "source_id")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docketry import schemas
 from docketry.functions import text
+from docketry.functions.rows import inline_rows
 
 PAIR = ["query_id", "source_id"]
 REVIEWER = "engineering_review"
@@ -161,9 +162,7 @@ def validate(docket: DataFrame, decisions: DataFrame, failures: DataFrame) -> Da
 def valid_claims(validated: DataFrame) -> DataFrame:
     """Claims that passed the deterministic checks, one row each."""
     good = F.filter("checked", lambda c: c["stage"].isNull())
-    return validated.select(
-        "query_id", "source_id", "rank", "verifier_failed", F.inline(good)
-    ).drop("stage")
+    return inline_rows(validated, good, "query_id", "source_id", "rank", "verifier_failed").drop("stage")
 
 
 # ---- verifier stage ---------------------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from docketry.functions import scores
 from docketry.functions.fingerprints import table_fingerprint
+from docketry.functions.rows import explode_rows
 from docketry.operators import blocks
 
 HASH_DIM = 384
@@ -86,7 +87,7 @@ def hash_embed(tokens: DataFrame, dim: int = HASH_DIM) -> DataFrame:
 
 def hash_embed_sparse(tokens: DataFrame, dim: int = HASH_DIM) -> DataFrame:
     """(source_id, ix, value) with non-zero entries only, built-in expressions only."""
-    codes = tokens.select("source_id", F.explode(hash_codes(F.col("tokens"), dim)).alias("code"))
+    codes = explode_rows(tokens, hash_codes(F.col("tokens"), dim), "code", "source_id")
     cells = (
         codes.groupBy("source_id", F.expr("code div 2").alias("ix"))
         .agg(F.sum(F.when(F.col("code") % 2 == 1, 1).otherwise(-1)).alias("count"))

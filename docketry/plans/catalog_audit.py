@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docketry import schemas
 from docketry.functions import scores, text
+from docketry.functions.rows import explode_rows
 from docketry.operators import audit, compare, index, metrics, retrieve, review
 from docketry.plans import catalog_review as standin
 from docketry.plans import fragments as sql
@@ -330,7 +331,7 @@ def micro_batch_retrieve(spark, sf):
     """Benchmark texts arrive as a stream of requests and leave as reviewed dockets."""
     docs = documents(spark, sf, "doc_id", "source", "text").withColumnRenamed("doc_id", "source_id")
     forward = retrieval.build_forward(docs.withColumn("source_id", F.col("source_id").cast("string")), index.span_text("source", "text"))
-    words = forward.select("source_id", F.explode(F.array_distinct("tokens")).alias("identifier")).withColumns(
+    words = explode_rows(forward, F.array_distinct("tokens"), "identifier", "source_id").withColumns(
         {"kind": F.lit("word"), "scope": F.lit(index.SCOPE)})
     spans = docs.select(
         F.col("source_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_sha256"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions import scores, text
 from docketry.functions.fingerprints import table_fingerprint
+from docketry.functions.rows import explode_rows, posexplode_rows
 from docketry.operators import blocks, index, retrieve, vectors
 from docketry.plans import fragments as sql
 from docketry.plans import retrieval
@@ -42,8 +43,7 @@ def _hash_duck(source: str, key: str, out: str) -> str:
 
 @query(f"WITH {DT_DUCK}, {_hash_duck('dt', 'source_id', 'd')} SELECT source_id, ix, round_even(c / norm, 8) AS value FROM d_cells JOIN d_norms USING (source_id)")
 def hash_embedding(spark, sf):
-    unit = vectors.hash_embed(document_tokens(spark, sf)).select(
-        "source_id", "norm", F.posexplode("vec").alias("ix", "count"))
+    unit = posexplode_rows(vectors.hash_embed(document_tokens(spark, sf)), "vec", "ix", "count", "source_id", "norm")
     return unit.filter("count <> 0").select(
         "source_id", F.col("ix").cast("bigint").alias("ix"), F.bround(F.col("count").cast("double") / F.col("norm"), 8).alias("value"))
 
@@ -137,7 +137,7 @@ def _matches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     # Only postings of query words matter; they are cut before anything is counted.
     words = terms.select("token").distinct()
     tf = (
-        tokens.select("source_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+        explode_rows(tokens, "tokens", "token", "source_id", F.size("tokens").alias("length"))
         .join(words, "token", "left_semi")
         .groupBy("source_id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -339,7 +339,7 @@ def retrieval_summary(spark, sf):
 
 def document_retrieval(spark: SparkSession, sf: str) -> retrieval.Retrieval:
     forward = document_forward(spark, sf)
-    words = forward.select("source_id", F.explode(F.array_distinct("tokens")).alias("identifier")).withColumns(
+    words = explode_rows(forward, F.array_distinct("tokens"), "identifier", "source_id").withColumns(
         {"kind": F.lit("word"), "scope": F.lit(index.SCOPE)})
     spans = documents(spark, sf, "doc_id", "text").select(
         F.col("doc_id").alias("source_id"), F.sha2("text", 256).alias("content_sha256"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docketry import schemas
 from docketry.functions import text
+from docketry.functions.rows import inline_rows
 from docketry.operators import audit, compare, metrics, retrieve, review
 from docketry.plans import fragments as sql
 from docketry.plans.catalog_text import documents
@@ -167,7 +168,7 @@ _CHECKED = f"WITH {_F0} SELECT source_id, ordinal::INT AS ordinal, claim_id, lin
 
 
 def _checked(spark, sf) -> DataFrame:
-    return Case(spark, sf).validated().select("source_id", F.inline("checked")).withColumnRenamed("evidence_start_line", "evidence_line")
+    return inline_rows(Case(spark, sf).validated(), "checked", "source_id").withColumnRenamed("evidence_start_line", "evidence_line")
 
 
 @query(_CHECKED + "stage IS NOT DISTINCT FROM 'deterministic_line_range' AS out_of_range FROM draft")

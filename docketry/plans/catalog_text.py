@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions import scores, text
+from docketry.functions.rows import inline_rows, posexplode_rows
 from docketry.operators import chunking, index, intake
 from docketry.plans import fragments as sql
 from docketry.session import spread, table
@@ -122,7 +123,7 @@ def line_anchors(spark, sf):
         lambda a, b: F.struct(a["line"].alias("line"), a["label"].alias("label"),
                               F.coalesce(b["line"], F.size("lines")).alias("section_end")),
     )
-    return rows.select("path", F.inline(ends))
+    return inline_rows(rows, ends, "path")
 
 
 # Greedy windows as a recursive walk: the next start depends on the previous stop.
@@ -290,7 +291,7 @@ _QID_DUCK = f"""{_INCOMING_DUCK}, qi AS (SELECT *, list_concat(ids, list_filter(
  FROM (SELECT query_id, found, unnest(range(1, len(found) + 1)) AS i FROM qx)""")
 def query_identifiers(spark, sf):
     queries = intake.process_queries(intake.normalise_incoming(incoming(spark, sf)))
-    return queries.select("query_id", F.posexplode("extracted_identifiers").alias("ordinal", "identifier"))
+    return posexplode_rows(queries, "extracted_identifiers", "ordinal", "identifier", "query_id")
 
 
 @query(f"""WITH {_QID_DUCK}, j AS (SELECT query_id, found, concat_ws(chr(10), artifact_type, coalesce(title, ''), coalesce(subsystem, ''),

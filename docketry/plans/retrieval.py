@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import scores, text
+from docketry.functions.rows import explode_rows
 from docketry.operators import blocks, index, retrieve, vectors
 from docketry.session import materialise
 
@@ -65,7 +66,7 @@ def attach_corpus(forward: DataFrame, batch: blocks.QueryBatch) -> blocks.QueryB
     vocabulary = spark.createDataFrame([(t,) for t in batch.terms], "token string")
     df = {
         row.token: row.df for row in
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
+        explode_rows(tokens, F.array_distinct("tokens"), "token")
         .join(F.broadcast(vocabulary), "token", "left_semi")
         .groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()
     }

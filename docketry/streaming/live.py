@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docketry import schemas
+from docketry.functions.rows import explode_rows
 from docketry.operators import intake, review
 from docketry.plans.retrieval import SpanIndex, retrieve_all
 
@@ -22,7 +23,7 @@ def review_batch(incoming: DataFrame, corpus: SpanIndex, live_outcome: str = "no
     checked = intake.normalise_incoming(incoming)
     rejected = checked.filter(F.size("violations") > 0).select("query_id", "violations")
     queries = intake.process_queries(checked.filter(F.size("violations") == 0))
-    ids = queries.select("query_id", F.explode("extracted_identifiers").alias("identifier"))
+    ids = explode_rows(queries, "extracted_identifiers", "identifier", "query_id")
     found = retrieve_all(corpus, queries.select("query_id", "query_text"), ids)
     docket = found.docket
     spark = incoming.sparkSession
