@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,32 +73,38 @@ def broad(scored: DataFrame, k: int = scores.BROAD_K) -> DataFrame:
 # ---- identifier expansion ---------------------------------------------------------
 
 
-def query_edges(query_ids: DataFrame, links: DataFrame, n: Column) -> DataFrame:
-    """Edges from identifiers named by the query (case-sensitive).
-
-    Named identifiers and links are both unique, so the edges are unique as joined.
-    """
-    named = query_ids.select("query_id", "identifier").distinct()
-    edge = scores.specificity(F.col("df"), n)
-    return fan_out(named, "identifier").join(fan_out(links, "identifier"), "identifier").select(
-        *PAIR, "identifier", edge.alias("edge"))
-
+def named_hops(query_ids: DataFrame) -> DataFrame:
+    """Identifiers a query names itself, at full strength: query_id, identifier, strength."""
+    return query_ids.select("query_id", "identifier").distinct().withColumn("strength", F.lit(1.0))
 
-def seed_edges(broad_rows: DataFrame, seeds: DataFrame, links: DataFrame, n: Column) -> DataFrame:
-    """Edges over the seed identifiers of the broad spans, weakened by broad rank.
 
-    A span is reached by its own seeds too. The best rank per query and identifier is
-    taken before links are joined, so edges are unique as joined and the large side is
-    never aggregated. Per query there are 40 broad rows with 8 seeds each and at most 50
-    sources per entry.
-    """
-    seeded = (
-        broad_rows.select(*PAIR, "broad_rank")
+def seed_hops(broad_rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seed identifiers of the broad spans, weakened by the best broad rank they occur at."""
+    best = (
+        broad_rows.select("query_id", "source_id", "broad_rank")
         .join(seeds.select("source_id", "identifier"), "source_id")
         .groupBy("query_id", "identifier").agg(F.min("broad_rank").alias("broad_rank"))
     )
-    edge = F.lit(1.0) / F.log2(F.col("broad_rank") + F.lit(1.0)) * scores.specificity(F.col("df"), n)
-    return fan_out(seeded, "identifier").join(fan_out(links, "identifier"), "identifier").select(
+    strength = F.lit(1.0) / F.log2(F.col("broad_rank") + F.lit(1.0))
+    return best.select("query_id", "identifier", strength.alias("strength"))
+
+
+def merge_hops(*hops: DataFrame) -> DataFrame:
+    """Strongest hop per query and identifier. Bounded per query: named plus 40 x 8 seeds."""
+    return reduce(DataFrame.unionByName, hops).groupBy("query_id", "identifier").agg(
+        F.max("strength").alias("strength")
+    )
+
+
+def edges(hops: DataFrame, links: DataFrame, n: Column) -> DataFrame:
+    """Spans reached over each hop: query_id, source_id, identifier, edge.
+
+    Hops are unique per query and identifier and links per span and identifier, so the
+    edges are unique as joined and this largest table of the expansion is never
+    aggregated by identifier. A broad span is reached by its own seeds too.
+    """
+    edge = F.col("strength") * scores.specificity(F.col("df"), n)
+    return fan_out(hops, "identifier").join(fan_out(links, "identifier"), "identifier").select(
         *PAIR, "identifier", edge.alias("edge"))
 
 
@@ -109,30 +117,40 @@ def fan_out(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def merge_edges(*edge_tables: DataFrame) -> DataFrame:
-    """Strongest edge per (query, span, identifier) over all edge tables."""
-    union = edge_tables[0]
-    for table in edge_tables[1:]:
-        union = union.unionByName(table)
-    return union.groupBy(*PAIR, "identifier").agg(F.max("edge").alias("edge"))
+def relation_scores(edge_rows: DataFrame) -> DataFrame:
+    """Strongest edge per reached span."""
+    return edge_rows.groupBy(*PAIR).agg(F.max("edge").alias("relation_score"))
 
 
-def relation_scores(edges: DataFrame) -> DataFrame:
-    """Strongest edge per span and the sorted identifiers that reached it.
+def relation_identifiers(rows: DataFrame, links: DataFrame, hops: DataFrame) -> DataFrame:
+    """Sorted identifiers that reach each of ``rows`` (query_id, source_id).
 
-    The identifier set is bounded by the query's own identifiers plus its seeds.
+    Looked up from the span's own links, so only the rows asked for are listed and not
+    every reached span. A list is bounded by the hops of one query.
     """
-    return edges.groupBy(*PAIR).agg(
-        F.max("edge").alias("relation_score"),
-        F.array_sort(F.collect_set("identifier")).alias("relation_identifiers"),
+    return (
+        rows.select(*PAIR).join(links.select("source_id", "identifier"), "source_id")
+        .join(hops.select("query_id", "identifier"), ["query_id", "identifier"], "left_semi")
+        .groupBy(*PAIR).agg(F.array_sort(F.collect_list("identifier")).alias("relation_identifiers"))
     )
 
 
-def relation_only(relation: DataFrame, broad_rows: DataFrame, hybrid: DataFrame,
+def relation_shortlist(relation: DataFrame, broad_rows: DataFrame,
+                       k: int = scores.MAX_POOL - scores.BROAD_K) -> DataFrame:
+    """Reached spans outside the broad cut that can still be among the best ``k``.
+
+    The relation score decides first, so everything below the k-th relation score is
+    dropped before any hybrid score is looked up. Ties at the k-th score all stay.
+    """
+    outside = relation.join(broad_rows.select(*PAIR), PAIR, "left_anti")
+    order = Window.partitionBy("query_id").orderBy(F.desc(scores.rank_key(F.col("relation_score"))))
+    return outside.withColumn("place", F.rank().over(order)).filter(F.col("place") <= k).drop("place")
+
+
+def relation_only(shortlist: DataFrame, hybrid: DataFrame,
                   k: int = scores.MAX_POOL - scores.BROAD_K) -> DataFrame:
-    """Best ``k`` reached spans outside the broad cut."""
-    outside = relation.join(broad_rows.select(*PAIR), PAIR, "left_anti").join(hybrid, PAIR)
-    return ranked(outside, ["relation_score", "hybrid_score"], k, "relation_rank")
+    """Best ``k`` of the shortlist by relation, then hybrid score."""
+    return ranked(shortlist.join(hybrid, PAIR), ["relation_score", "hybrid_score"], k, "relation_rank")
 
 
 def expanded_pool(broad_rows: DataFrame, relation_rows: DataFrame, relation: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from docketry.operators import blocks, index, retrieve, vectors
 from docketry.plans import fragments as sql
 from docketry.plans import retrieval
 from docketry.plans.catalog_text import DT_DUCK, SEEDS_DUCK, document_tokens, documents, line_identifiers
-from docketry.session import maybe_broadcast, spread, table
+from docketry.session import materialise, maybe_broadcast, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -211,23 +211,26 @@ class Graph:
             line_identifiers(spark, sf).select("source_id", "identifier"), "source_id"
         ).select("query_id", "identifier").distinct()
 
-    def seed_edges(self) -> DataFrame:
-        return retrieve.seed_edges(self.broad, index.seed_identifiers(self.links), self.links, self.n)
+    def seed_hops(self) -> DataFrame:
+        return retrieve.seed_hops(self.broad, index.seed_identifiers(self.links))
 
-    def query_edges(self) -> DataFrame:
-        return retrieve.query_edges(self.query_ids, self.links, self.n)
+    def hops(self) -> DataFrame:
+        return retrieve.merge_hops(retrieve.named_hops(self.query_ids), self.seed_hops())
 
     def relation(self) -> DataFrame:
-        return retrieve.relation_scores(self.query_edges().unionByName(self.seed_edges()))
+        return retrieve.relation_scores(retrieve.edges(self.hops(), self.links, self.n))
 
     def relation_only(self, relation: DataFrame) -> DataFrame:
         known = self.orders.select("source_id", "bm25_score", "embedding_score", "hybrid_score")
-        pairs = relation.select(*retrieve.PAIR).join(known, "source_id")
-        return retrieve.relation_only(relation, self.broad, pairs)
+        shortlist = retrieve.relation_shortlist(relation, self.broad)
+        return retrieve.relation_only(shortlist, shortlist.select(*retrieve.PAIR).join(known, "source_id"))
+
+    def pool(self) -> DataFrame:
+        relation = materialise(self.relation(), "relation")
+        return retrieve.expanded_pool(self.broad, self.relation_only(relation), relation)
 
     def ordered(self) -> DataFrame:
-        relation = self.relation()
-        return retrieve.final_order(retrieve.expanded_pool(self.broad, self.relation_only(relation), relation))
+        return retrieve.final_order(self.pool())
 
     def sealed(self) -> DataFrame:
         return self.ordered().withColumn("content_sha256", F.sha2(F.col("source_id").cast("string"), 256))
@@ -259,14 +262,16 @@ def _seal_duck(rank: str, where: str = "true") -> str:
 
 @query(f"WITH {_G0} SELECT query_id, source_id, identifier, round_even(edge, 8) AS edge FROM qe")
 def query_edges(spark, sf):
-    return Graph(spark, sf).query_edges().withColumn("edge", F.bround("edge", 8))
+    graph = Graph(spark, sf)
+    return retrieve.edges(retrieve.named_hops(graph.query_ids), graph.links, graph.n).withColumn("edge", F.bround("edge", 8))
 
 
 @query(f"""WITH {_G1} SELECT query_id, identifier, count(*)::BIGINT AS spans, sum(source_id)::BIGINT AS source_sum, round_even(min(edge), 8) AS low,
  round_even(max(edge), 8) AS high FROM se GROUP BY ALL""")
 def seed_edges(spark, sf):
     """Seed edges, condensed per query and identifier for comparison."""
-    return Graph(spark, sf).seed_edges().groupBy("query_id", "identifier").agg(
+    graph = Graph(spark, sf)
+    return retrieve.edges(graph.seed_hops(), graph.links, graph.n).groupBy("query_id", "identifier").agg(
         F.count(F.lit(1)).alias("spans"), F.sum("source_id").alias("source_sum"),
         F.bround(F.min("edge"), 8).alias("low"), F.bround(F.max("edge"), 8).alias("high"))
 
@@ -276,7 +281,10 @@ def seed_edges(spark, sf):
 def relation_score(spark, sf):
     """Relation scores, condensed per query and number of linking identifiers."""
     ids = F.col("relation_identifiers")
-    return Graph(spark, sf).relation().groupBy("query_id", F.size(ids).cast("bigint").alias("identifiers")).agg(
+    graph = Graph(spark, sf)
+    relation = materialise(graph.relation(), "relation")
+    named = retrieve.relation_identifiers(relation, graph.links, graph.hops())
+    return relation.join(named, retrieve.PAIR).groupBy("query_id", F.size(ids).cast("bigint").alias("identifiers")).agg(
         F.count(F.lit(1)).alias("spans"), F.sum("source_id").alias("source_sum"),
         F.sum(F.get(ids, F.lit(0))).alias("first_sum"), F.bround(F.sum("relation_score"), 6).alias("relation_sum"))
 
@@ -284,16 +292,13 @@ def relation_score(spark, sf):
 @query(f"WITH {_G3} SELECT query_id, source_id, relation_rank::INT AS relation_rank, round_even(relation, 8) AS relation_score FROM reached")
 def relation_only_topk(spark, sf):
     graph = Graph(spark, sf)
-    return graph.relation_only(graph.relation()).select(
+    return graph.relation_only(materialise(graph.relation(), "relation")).select(
         *retrieve.PAIR, "relation_rank", F.bround("relation_score", 8).alias("relation_score"))
 
 
 @query(f"WITH {_G4} SELECT query_id, count(*)::BIGINT AS pool, count(broad_rank)::BIGINT AS broad, sum(source_id)::BIGINT AS source_sum FROM pool GROUP BY query_id")
 def expanded_pool(spark, sf):
-    graph = Graph(spark, sf)
-    relation = graph.relation()
-    pool = retrieve.expanded_pool(graph.broad, graph.relation_only(relation), relation)
-    return pool.groupBy("query_id").agg(
+    return Graph(spark, sf).pool().groupBy("query_id").agg(
         F.count(F.lit(1)).alias("pool"), F.count("broad_rank").alias("broad"), F.sum("source_id").alias("source_sum"))
 
 
@@ -310,7 +315,10 @@ def final_docket(spark, sf):
 @query(f"""WITH {_G4} SELECT query_id, source_id, rank::INT AS rank, concat_ws(',', CASE WHEN bm25 > 0 THEN 'lexical' END, 'dense', CASE WHEN ids IS NOT NULL THEN 'relation_expansion' END) AS origins,
  coalesce(array_to_string(ids, ','), '') AS identifiers, round_even(bm25, 8) AS bm25_score, round_even(hybrid, 8) AS hybrid_score, round_even(rs, 8) AS relation_score, round_even(final, 8) AS final_score FROM ord""")
 def candidate_rows(spark, sf):
-    return retrieve.candidate_rows(Graph(spark, sf).ordered().withColumn(
+    graph = Graph(spark, sf)
+    ordered = materialise(graph.ordered(), "ordered")
+    named = retrieve.relation_identifiers(ordered, graph.links, graph.hops())
+    return retrieve.candidate_rows(ordered.join(named, retrieve.PAIR, "left").withColumn(
         "relation_identifiers", F.transform("relation_identifiers", lambda x: x.cast("string")))).select(
         *retrieve.PAIR, "rank", F.array_join("retrieval_origins", ",").alias("origins"), F.array_join("relation_identifiers", ",").alias("identifiers"),
         "bm25_score", "hybrid_score", "relation_score", "final_score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions import scores, text
 from docketry.functions.rows import explode_rows
 from docketry.operators import blocks, index, retrieve, vectors
-from docketry.session import materialise
+from docketry.session import materialise, maybe_broadcast
 
 
 @dataclass
@@ -100,21 +100,23 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     # The broad cut (40 rows per query) feeds four branches; compute it once.
     broad = materialise(broad_candidates(corpus.forward, batches), "broad")
     in_broad = corpus.links.join(
-        F.broadcast(broad.select("source_id").distinct()), "source_id", "left_semi"
+        maybe_broadcast(broad.select("source_id").distinct()), "source_id", "left_semi"
     )
-    seeds = index.seed_identifiers(in_broad)
-    edges = retrieve.query_edges(query_ids, corpus.links, n).unionByName(
-        retrieve.seed_edges(broad, seeds, corpus.links, n)
+    hops = materialise(retrieve.merge_hops(
+        retrieve.named_hops(query_ids), retrieve.seed_hops(broad, index.seed_identifiers(in_broad))
+    ), "hops")
+    relation = materialise(
+        retrieve.relation_scores(retrieve.edges(hops, corpus.links, n)), "relation"
     )
-    relation = materialise(retrieve.relation_scores(edges), "relation")
-    outside = relation.join(F.broadcast(broad.select(*retrieve.PAIR)), retrieve.PAIR, "left_anti")
+    shortlist = retrieve.relation_shortlist(relation, maybe_broadcast(broad))
     hybrid = reduce(
         DataFrame.unionByName,
-        [blocks.chosen_pairs(corpus.forward, b, outside.select(*retrieve.PAIR)) for b in batches],
+        [blocks.chosen_pairs(corpus.forward, b, shortlist.select(*retrieve.PAIR)) for b in batches],
     )
-    only = retrieve.relation_only(relation, broad, hybrid)
-    pool = retrieve.final_order(retrieve.expanded_pool(broad, only, relation))
+    only = retrieve.relation_only(shortlist, hybrid)
+    pool = materialise(retrieve.final_order(retrieve.expanded_pool(broad, only, relation)), "pool")
+    named = retrieve.relation_identifiers(pool, corpus.links, hops)
     ordered = materialise(
-        corpus.spans.join(F.broadcast(pool), "source_id"), "ordered"
+        corpus.spans.join(maybe_broadcast(pool.join(named, retrieve.PAIR, "left")), "source_id"), "ordered"
     )
     return Retrieval(broad, ordered, retrieve.retrieval_summary(ordered, n))
