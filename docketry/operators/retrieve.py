@@ -147,10 +147,9 @@ def relation_shortlist(relation: DataFrame, broad_rows: DataFrame,
     return outside.withColumn("place", F.rank().over(order)).filter(F.col("place") <= k).drop("place")
 
 
-def relation_only(shortlist: DataFrame, hybrid: DataFrame,
-                  k: int = scores.MAX_POOL - scores.BROAD_K) -> DataFrame:
+def relation_only(scored: DataFrame, k: int = scores.MAX_POOL - scores.BROAD_K) -> DataFrame:
     """Best ``k`` of the shortlist by relation, then hybrid score."""
-    return ranked(shortlist.join(hybrid, PAIR), ["relation_score", "hybrid_score"], k, "relation_rank")
+    return ranked(scored, ["relation_score", "hybrid_score"], k, "relation_rank")
 
 
 def expanded_pool(broad_rows: DataFrame, relation_rows: DataFrame, relation: DataFrame) -> DataFrame:

@@ -223,7 +223,7 @@ class Graph:
     def relation_only(self, relation: DataFrame) -> DataFrame:
         known = self.orders.select("source_id", "bm25_score", "embedding_score", "hybrid_score")
         shortlist = retrieve.relation_shortlist(relation, self.broad)
-        return retrieve.relation_only(shortlist, shortlist.select(*retrieve.PAIR).join(known, "source_id"))
+        return retrieve.relation_only(shortlist.join(known, "source_id"))
 
     def pool(self) -> DataFrame:
         relation = materialise(self.relation(), "relation")

@@ -105,15 +105,13 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     hops = materialise(retrieve.merge_hops(
         retrieve.named_hops(query_ids), retrieve.seed_hops(broad, index.seed_identifiers(in_broad))
     ), "hops")
-    relation = materialise(
-        retrieve.relation_scores(retrieve.edges(hops, corpus.links, n)), "relation"
-    )
-    shortlist = retrieve.relation_shortlist(relation, maybe_broadcast(broad))
+    relation = materialise(retrieve.relation_scores(retrieve.edges(hops, corpus.links, n)), "relation")
+    shortlist = materialise(retrieve.relation_shortlist(relation, maybe_broadcast(broad)), "shortlist")
     hybrid = reduce(
         DataFrame.unionByName,
         [blocks.chosen_pairs(corpus.forward, b, shortlist.select(*retrieve.PAIR)) for b in batches],
     )
-    only = retrieve.relation_only(shortlist, hybrid)
+    only = retrieve.relation_only(shortlist.join(hybrid, retrieve.PAIR))
     pool = materialise(retrieve.final_order(retrieve.expanded_pool(broad, only, relation)), "pool")
     named = retrieve.relation_identifiers(pool, corpus.links, hops)
     ordered = materialise(
