@@ -314,10 +314,9 @@ def stream_event_counts(spark, sf):
     schema = table(spark, sf, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("event"))
-    name = f"event_counts_{abs(hash(sf))}"
-    stream = live.stream_event_counts(events, name, _scratch(spark, "events"))
-    stream.awaitTermination()
-    return spark.table(name)
+    path = _scratch(spark, "event-counts")
+    live.stream_event_counts(events, path, _scratch(spark, "events")).awaitTermination()
+    return live.read_event_counts(spark, path)
 
 
 def _scratch(spark: SparkSession, label: str) -> str:

@@ -41,9 +41,11 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder named by the cluster, or a local one when unset."""
+    """The shared folder the cluster names; a local one only for a local session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

@@ -106,14 +106,22 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "event").agg(F.count(F.lit(1)).alias("records"))
 
 
-def stream_event_counts(events: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep running counts in the in-memory table ``table``: one row per run and event."""
+def stream_event_counts(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep running counts under ``path``: every micro-batch adds the counts it changed."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        event_counts(events).writeStream.outputMode("complete").format("memory").queryName(table)
+        event_counts(events).writeStream.outputMode("update").foreachBatch(handle)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def read_event_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Latest count per run and event; counts only grow, so the latest is the largest."""
+    return spark.read.parquet(path).groupBy("run_id", "event").agg(F.max("records").alias("records"))
+
+
 # ---- run assembly -----------------------------------------------------------------
 
 
