@@ -35,6 +35,7 @@ class QueryBatch:
     term_start: np.ndarray  # CSR over terms: queries that contain the term
     term_query: np.ndarray
     vectors: np.ndarray
+    norms: np.ndarray
     idf: np.ndarray | None = None
     avg_length: float = 0.0
     low: np.ndarray | None = None  # per query (lexical, dense) minimum and maximum
@@ -75,18 +76,9 @@ def _batch(rows: pa.Table, id_type: T.DataType) -> QueryBatch:
     counts = [len(by_term[t]) for t in terms]
     start = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     members = np.array([q for t in terms for q in by_term[t]], dtype=np.int64)
-    if "vec" in names and ids:
-        vectors = np.array(rows["vec"].to_pylist(), dtype=np.float64)
-        if "norm" in names:
-            vectors = vectors.reshape(len(ids), -1)
-            norms = np.array(rows["norm"].to_pylist(), dtype=np.float64)
-        else:
-            norms = np.ones(len(ids))
-    else:
-        vectors, norms = np.zeros((len(ids), 0)), np.ones(len(ids))
-    batch = QueryBatch(ids, id_type, terms, start, members, vectors)
-    batch.norms = norms
-    return batch
+    vectors = np.array(rows["vec"].to_pylist(), dtype=np.float64) if "vec" in names else np.zeros((len(ids), 0))
+    norms = np.array(rows["norm"].to_pylist(), dtype=np.float64) if "norm" in names else np.ones(len(ids))
+    return QueryBatch(ids, id_type, terms, start, members, vectors, norms)
 
 
 def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

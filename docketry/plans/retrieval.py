@@ -100,7 +100,7 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     # The broad cut (40 rows per query) feeds four branches; compute it once.
     broad = materialise(broad_candidates(corpus.forward, batches), "broad")
     in_broad = corpus.links.join(
-        maybe_broadcast(broad.select("source_id").distinct()), "source_id", "left_semi"
+        maybe_broadcast(broad.select("source_id").distinct(), sized_by=broad), "source_id", "left_semi"
     )
     hops = materialise(retrieve.merge_hops(
         retrieve.named_hops(query_ids), retrieve.seed_hops(broad, index.seed_identifiers(in_broad))
@@ -114,7 +114,6 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     only = retrieve.relation_only(shortlist.join(hybrid, retrieve.PAIR))
     pool = materialise(retrieve.final_order(retrieve.expanded_pool(broad, only, relation)), "pool")
     named = retrieve.relation_identifiers(pool, corpus.links, hops)
-    ordered = materialise(
-        corpus.spans.join(maybe_broadcast(pool.join(named, retrieve.PAIR, "left")), "source_id"), "ordered"
-    )
+    rows = maybe_broadcast(pool.join(named, retrieve.PAIR, "left"), sized_by=pool)
+    ordered = materialise(corpus.spans.join(rows, "source_id"), "ordered")
     return Retrieval(broad, ordered, retrieve.retrieval_summary(ordered, n))

@@ -30,13 +30,17 @@ def build_session(app: str = "docketry", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def maybe_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, sized_by: DataFrame | None = None
+) -> DataFrame:
     """Broadcast ``df`` only after counting that it stays under ``max_rows``.
 
-    The count reads at most ``max_rows + 1`` rows. A larger side is returned
-    unhinted, so the join falls back to a shuffle that AQE may split.
+    ``sized_by`` is a stored table with at least as many rows as ``df``; counting it
+    spares computing ``df`` twice. The count reads at most ``max_rows + 1`` rows. A larger
+    side is returned unhinted, so the join falls back to a shuffle that AQE may split.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
+    counted = df if sized_by is None else sized_by
+    small = counted.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if small else df
 
 
