@@ -262,12 +262,12 @@ def overall_status(spark, sf):
 
 # Gold: quality-1 documents belong to their own docket's query, toxic ones to the query two
 # dockets back, the rest ten dockets back.
-_GOLD_BACK = F.when(F.col("quality") == 1, 0).when(F.col("toxic") == 1, 2).otherwise(10)
 
 
 def gold(rows: DataFrame) -> DataFrame:
+    back = F.when(F.col("quality") == 1, 0).when(F.col("toxic") == 1, 2).otherwise(10)
     return rows.filter("quality is not null").select(
-        (F.col("query_id") - _GOLD_BACK).alias("query_id"), "source_id", "content", "opening", "lang").filter("query_id >= 0")
+        (F.col("query_id") - back).alias("query_id"), "source_id", "content", "opening", "lang").filter("query_id >= 0")
 
 
 _GOLD = """gold AS (SELECT * FROM (SELECT query_id - CASE WHEN quality = 1 THEN 0 WHEN toxic = 1 THEN 2 ELSE 10 END AS query_id, source_id, opening, lang FROM lb WHERE quality IS NOT NULL) WHERE query_id >= 0)"""
