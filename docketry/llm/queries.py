@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import licenses, lines, packing, sharding, token_counts
+from docketry.llm import ann, fingerprint, licenses, lines, packing, sharding, simhash, token_counts
 from docketry.session import table
 
 
@@ -17,10 +17,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_rows(table(spark, sf_dir, "documents"))
 
@@ -31,7 +43,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op4_best_fit_packing, op6_license_scan, op9_hilbert_sharding, op10_line_dedup,
+    op2_token_counts, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
+    op7_nearest_neighbours, op8_document_fingerprints, op9_hilbert_sharding, op10_line_dedup,
 )}
 
 
