@@ -5,10 +5,14 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import ann, fingerprint, licenses, lines, packing, sharding, simhash, token_counts
+from docketry.llm import ann, fingerprint, licenses, lines, packing, sharding, simhash, token_counts, toxicity
 from docketry.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -43,7 +47,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
+    op1_toxicity, op2_token_counts, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
     op7_nearest_neighbours, op8_document_fingerprints, op9_hilbert_sharding, op10_line_dedup,
 )}
 
