@@ -5,7 +5,7 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import ann, fingerprint, licenses, lines, packing, sharding, simhash, token_counts, toxicity
+from docketry.llm import ann, fingerprint, lattice, licenses, lines, packing, sharding, simhash, token_counts, toxicity
 from docketry.session import table
 
 
@@ -17,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_token_counts, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
+    op1_toxicity, op2_token_counts, op3_sentencepiece_encoding, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
     op7_nearest_neighbours, op8_document_fingerprints, op9_hilbert_sharding, op10_line_dedup,
 )}
 
