@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.common import columns, whole_text
-from docketry.session import materialise
 
 #: Labelled rows that the model is fitted on at most, those with the least hash of their id.
 FIT_ROWS = 50_000
@@ -280,44 +279,71 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
     return [float(v) for v in w[:-1]], float(w[-1])
 
 
-def featured(own: DataFrame, lexicon: Lexicon) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def features_of(text: Column, lexicon: Lexicon) -> Column:
+    """The features of each text as an array; texts are judged where they are, in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(lexicon)
         for batch in batches:
-            rows = np.array([scorer.features(t) for t in batch.pop("text")], dtype=float).reshape(-1, len(FEATURES))
-            yield batch.assign(**{name: rows[:, i] for i, name in enumerate(FEATURES)})
-
-    schema = f"doc_id {dict(own.dtypes)['doc_id']}, " + ", ".join(f"{f} double" for f in FEATURES)
-    return own.mapInPandas(run, schema)
+            yield pd.Series([scorer.features(t) for t in batch], dtype=object)
 
+    return run(text)
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, features), one row per row of ``docs``.
 
-    Only rows of ``labels`` (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0 are learned from; labels that
-    repeat an id count once, the larger one. Null and empty texts have no hits and get the score of a text without any. Repeated
-    rows get equal scores; a null key is kept and not held out. Without labels of both kinds the lexicon is empty and every
-    score is the share of toxic rows in the sample (0 if there is none).
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> Model:
+    """Learn from rows of ``labels`` (doc_id, toxic) whose crc32(doc_id as text) mod 5 is not 0, and from no others.
 
-    The driver holds the sample (``fit_rows`` ids with a few numbers each), at most ``MAX_TERMS`` words and
-    as many beginnings. Every text is scored whole, where it is; only keys, hashes and counts of terms are shuffled.
+    Labels that repeat an id count once, the larger one; of equal texts one counts. Without labels of both kinds the lexicon is
+    empty and the probability is the share of toxic rows in the sample (0 if there is none). The driver holds the sample
+    (``fit_rows`` ids with a few numbers each) and at most ``MAX_TERMS`` words and as many beginnings.
     """
     own = columns(docs, doc_id=key, text=text).select("doc_id", whole_text().alias("text"))
     sample = _sample(own, labels, fit_rows)
-    lexicon = learn_lexicon(own, sample)
-    table = materialise(featured(own, lexicon), "toxicity-features")
     share = sum(sample.values()) / len(sample) if sample else 0.0
-    if 0 < share < 1:
-        known = table.sparkSession.createDataFrame(list(sample.items()), f"doc_id {dict(own.dtypes)['doc_id']}, toxic int")
-        picked = table.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
-        weights, bias = fit_logistic(picked[list(FEATURES)].to_numpy(), picked["toxic"].to_numpy(dtype=float))
-        line = F.lit(bias)
-        for name, w in zip(FEATURES, weights):
-            line = line + F.col(name) * w
-        probability = 1 / (1 + F.exp(-line))
-    else:
-        probability = F.lit(float(share))
-    scored = table.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), probability.alias("score"), *FEATURES)
-    return scored.select(
-        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *FEATURES
+    if not 0 < share < 1:
+        return Model(Lexicon(), [0.0] * len(FEATURES), 40.0 if share else -40.0)
+    lexicon = learn_lexicon(own, sample)
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(lexicon)
+        for batch in batches:
+            batch = batch[batch["doc_id"].isin(sample.keys())]
+            rows = np.array([scorer.features(t) for t in batch["text"]], dtype=float).reshape(-1, len(FEATURES))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), **{n: rows[:, i] for i, n in enumerate(FEATURES)}})
+
+    schema = f"doc_id {dict(own.dtypes)['doc_id']}, " + ", ".join(f"{f} double" for f in FEATURES)
+    rows = own.mapInPandas(chosen, schema).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    truth = np.array([sample[i] for i in rows["doc_id"]], dtype=float)
+    return Model(lexicon, *fit_logistic(rows[list(FEATURES)].to_numpy(), truth))
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``_features`` and ``_score`` (probability of toxicity, 0 to 1). A narrow pass."""
+    rows = docs.withColumn("_features", features_of(F.coalesce(docs[text], F.lit("")), model.lexicon))
+    line = F.lit(model.bias)
+    for i, w in enumerate(model.weights):
+        line = line + F.get("_features", F.lit(i)) * w
+    return rows.withColumn("_score", 1 / (1 + F.exp(-line)))
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted, features), one row per row of ``docs``; see :func:`fit` for what is learned.
+
+    Null and empty texts have no hits and get the score of a text without any. Repeated rows get equal scores; a
+    null key is kept and not held out. An empty table gives an empty one. Every text is scored whole, where it is;
+    only keys, hashes and counts of terms are shuffled.
+    """
+    own = columns(docs, doc_id=key, text=text)
+    rows = scored(own, fit(own, labels, fit_rows=fit_rows))
+    return rows.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        *[F.get("_features", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)],
     )
+
+
+def reject(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are scored toxic, learned as in :func:`fit`."""
+    rows = scored(docs, fit(docs, labels, key, text), text)
+    return rows.filter(F.col("_score") < 0.5).select(*docs.columns)
