@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.session import materialise
 
+T = TypeVar("T")
+
 #: ASCII white space, U+0020 and U+0009 to U+000D.
 SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -25,6 +32,14 @@ def int_table(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
+def worker_memory(name: str, make: Callable[[], T]) -> T:
+    """An object that a Python worker keeps from task to task, made at its first use."""
+    store = sys.modules.setdefault("docketry_worker_memory", types.ModuleType("docketry_worker_memory"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
 def ordered(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """Store ``df`` in the order of ``keys`` with ``rank``, each row's place from 0.
 

@@ -8,7 +8,9 @@ rank among pieces of their length, in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -18,15 +20,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import columns, ordered, whole_text
+from docketry.llm.common import columns, ordered, whole_text, worker_memory
 from docketry.session import materialise
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Chunks whose identifiers a task remembers; the memory is emptied when full.
-MEMORY = 300_000
+#: Chunks in each half of a worker's memory, and texts whose new chunks are encoded together.
+MEMORY = 500_000
+TOGETHER = 64
 MEMORY_CHARS = 64
 
+#: Letters whose lower case is left to the library.
+BEYOND = re.compile("[^\x00-\u024f]")
+#: A comma or full stop that continues a run of other signs; the lower case of the dotted capital I ends with one.
+JOINED = re.compile("(?:[^\\w ]|[_\u0130])[.,] ")
+
 Pattern = tuple[tuple[int, ...], int]
 
 
@@ -185,7 +193,9 @@ class Encoder:
     """Identifiers of whole texts as little-endian 32-bit bytes, by the library on chunks.
 
     No token of this kind of vocabulary holds white space, so a text falls into independent chunks at spaces and
-    line ends; each distinct chunk is encoded once per task while it is remembered.
+    line ends, and a comma or full stop after a letter or digit and before a space is a token of its own. The vocabulary is in lower case;
+    letters below U+0250 are lowered here, by the same table as the library's. Each distinct chunk is encoded
+    once while it is remembered: chunks in use pass from an older to a newer half of the memory.
     """
 
     def __init__(self, path: str):
@@ -197,21 +207,46 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memory: dict[str, bytes] = {"": b""}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        if not BEYOND.search(text):
+            text = text.lower()
+        text = text.replace("\n", " ") + " "
+        if not JOINED.search(text):
+            text = text.replace(", ", " , ").replace(". ", " . ")
+        return text.split(" ")
+
+    def learn(self, wanted: set[str]) -> None:
+        """Bring ``wanted`` into the newer half."""
+        if len(self.new) > MEMORY:
+            self.old, self.new = self.new, {}
+        missing = []
+        for chunk in wanted.difference(self.new):
+            known = self.old.get(chunk)
+            if known is None:
+                missing.append(chunk)
+            else:
+                self.new[chunk] = known
+        found = self.library.encode_batch_fast(missing, add_special_tokens=False)
+        self.new.update((m, array("I", f.ids).tobytes()) for m, f in zip(missing, found))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TOGETHER):
+            split = [self.chunks(t) for t in texts[at : at + TOGETHER]]
+            wanted = set().union(*split)
+            self.learn(wanted)
+            known = self.new.__getitem__
+            for chunks in split:
+                yield b"".join(map(known, chunks))
+            for chunk in wanted:
+                if len(chunk) > MEMORY_CHARS:
+                    del self.new[chunk]
 
     def encode(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        if missing := list(set(chunks).difference(self.memory)):
-            if len(self.memory) + len(missing) > MEMORY:
-                self.memory = {"": b""}
-                missing = list(set(chunks))
-            found = self.library.encode_batch(missing, add_special_tokens=False)
-            self.memory.update((m, np.array(f.ids, dtype="<u4").tobytes()) for m, f in zip(missing, found))
-        data = b"".join(map(self.memory.__getitem__, chunks))
-        for chunk in missing:
-            if len(chunk) > MEMORY_CHARS:
-                del self.memory[chunk]
-        return data
+        return next(self.encode_all([text]))
 
 
 def pieces(
@@ -222,11 +257,11 @@ def pieces(
     end = np.array([separator], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = worker_memory(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                data = encoder.encode(text) + end
+            for i, ids in enumerate(encoder.encode_all(batch["text"].to_list())):
+                data = ids + end
                 for n, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     row.append(i)
