@@ -257,8 +257,10 @@ def exposure(docket: DataFrame, results: DataFrame, claims: DataFrame, verdicts:
         given, [*query_keys, "claim_id"], "left")
     bad = failed_checks(
         joined, span, off_docket_claim=F.col("content").isNull(),
-        not_exact=F.coalesce(~F.contains("content", F.col("evidence_exact_text")), F.lit(False)),
-        out_of_range=(F.col("evidence_start_line") < F.col("start_line")) | (F.col("evidence_end_line") > F.col("end_line")),
+        # Off the docket there is nothing to compare; on it, what is missing cannot be shown to be exact.
+        not_exact=F.col("content").isNotNull() & F.coalesce(~F.contains("content", F.col("evidence_exact_text")), F.lit(True)),
+        out_of_range=F.col("content").isNotNull() & F.coalesce(
+            (F.col("evidence_start_line") < F.col("start_line")) | (F.col("evidence_end_line") > F.col("end_line")), F.lit(True)),
         verdict=differs(F.col("verdicts"), F.lit(1).cast("bigint")) | differs(F.col("verdict"), F.lit("SUPPORTED")),
     )
     return status.unionByName(bad)

@@ -96,7 +96,7 @@ def typed_identifiers(
     identifiers of a span are exploded and no shuffle is needed while source_id is
     unique.
     """
-    call = text.WORD_BEFORE + "(" + text.IDENTIFIER + r")\s*\("
+    call = text.WORD_BEFORE + "(" + text.IDENTIFIER + r")(?U:\s*)\("
     markup = (
         text.WORD_BEFORE + "(?:" + "|".join(markup_attributes)
         + r""")=["']([A-Za-z_][A-Za-z0-9_.:-]{2,119})["']"""
@@ -185,43 +185,38 @@ def seed_identifiers(links: DataFrame, per_span: int = scores.SEEDS_PER_SPAN) ->
     return links.withColumn("seed_no", F.row_number().over(order)).filter(F.col("seed_no") <= per_span)
 
 
-def index_table(posting_rows: DataFrame, max_df: int = scores.MAX_DF) -> DataFrame:
-    """Stored form for look-ups: sorted source lists of entries within ``max_df``.
+def index_table(posting_rows: DataFrame) -> DataFrame:
+    """Stored form of all entries: one row per entry and source with the entry's frequency.
 
-    Lists are collected only below the limit, which bounds every group.
+    Long form keeps entries of any frequency; the eligible range is applied at look-up. Written
+    with ``sinks.write_index`` by ENTRY_KEY and source, it is in order throughout.
     """
-    rows = eligible_postings(posting_rows, 1, max_df)
-    return rows.groupBy(*ENTRY_KEY, "df").agg(
-        F.array_sort(F.collect_list("source_id")).alias("postings")
-    )
+    rows = posting_rows.select(*ENTRY_KEY, "source_id")
+    return rows.join(entries(rows), ENTRY_KEY)
 
 
-def audit_index(
-    index_rows: DataFrame, spans: DataFrame
-) -> DataFrame:
-    """Violations of a stored index: (identifier, kind, scope, violation).
+def audit_index(index_rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Violations of a stored index: (identifier, kind, scope, violation), each entry once per kind.
 
-    ``index_rows`` holds ENTRY_KEY, df, postings and the stored ``position``.
+    ``index_rows`` is the long form with the ``position`` of each row. Order is checked by joining each
+    position with the next, frequencies by counting, so no list of a frequent entry is ever built.
     """
-    ordered = F.array_sort(F.array_distinct("postings"))
-    in_row = index_rows.select(
-        *ENTRY_KEY,
-        F.explode(F.array_compact(F.array(
-            F.when(~F.col("postings").eqNullSafe(ordered), F.lit("postings_not_sorted_unique")),
-            F.when(~F.col("df").eqNullSafe(F.size("postings")), F.lit("df_mismatch")),
-        ))).alias("violation"),
-    )
-    unknown = (
-        index_rows.select(*ENTRY_KEY, F.explode("postings").alias("source_id"))
-        .join(spans.select("source_id"), "source_id", "left_anti")
-        .select(*ENTRY_KEY, F.lit("unknown_source").alias("violation")).distinct()
-    )
     key = F.struct(*ENTRY_KEY)
-    previous = index_rows.select(
-        (F.col("position") + 1).alias("position"), key.alias("previous_key")
+    before = index_rows.select(
+        (F.col("position") + 1).alias("position"), key.alias("before"), F.col("source_id").alias("source_before")
     )
-    disorder = (
-        index_rows.join(previous, "position").filter(key <= F.col("previous_key"))
-        .select(*ENTRY_KEY, F.lit("entries_not_ordered").alias("violation"))
+    pairs = index_rows.join(before, "position")
+    unsorted = pairs.filter((key == F.col("before")) & (F.col("source_id") <= F.col("source_before")))
+    disorder = pairs.filter(key < F.col("before"))
+    counted = index_rows.groupBy(*ENTRY_KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("df").alias("low"), F.max("df").alias("high"))
+    wrong = counted.filter(~(F.col("low").eqNullSafe(F.col("rows")) & F.col("high").eqNullSafe(F.col("rows"))))
+    unknown = index_rows.join(spans.select("source_id"), "source_id", "left_anti")
+
+    def named(rows: DataFrame, violation: str) -> DataFrame:
+        return rows.select(*ENTRY_KEY, F.lit(violation).alias("violation")).distinct()
+
+    return (
+        named(unsorted, "postings_not_sorted_unique").unionByName(named(wrong, "df_mismatch"))
+        .unionByName(named(unknown, "unknown_source")).unionByName(named(disorder, "entries_not_ordered"))
     )
-    return in_row.unionByName(unknown).unionByName(disorder)

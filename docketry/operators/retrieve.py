@@ -104,19 +104,10 @@ def edges(hops: DataFrame, links: DataFrame, n: Column) -> DataFrame:
     aggregated by identifier. A broad span is reached by its own seeds too.
     """
     edge = F.col("strength") * scores.specificity(F.col("df"), n)
-    return fan_out(hops, "identifier").join(fan_out(links, "identifier"), "identifier").select(
+    return hops.join(links, "identifier").select(
         *PAIR, "identifier", edge.alias("edge"))
 
 
-def fan_out(df: DataFrame, key: str) -> DataFrame:
-    """Fix the partition count ahead of a join that multiplies rows.
-
-    Run-time coalescing looks at input bytes only and would put a small input of such a
-    join into one task.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def relation_scores(edge_rows: DataFrame) -> DataFrame:
     """Strongest edge per reached span."""
     return edge_rows.groupBy(*PAIR).agg(F.max("edge").alias("relation_score"))

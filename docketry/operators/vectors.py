@@ -33,16 +33,6 @@ def hash_features(tokens: Column) -> Column:
     return F.concat(tokens, F.when(n > 1, pairs).otherwise(F.slice(tokens, 1, 0)))
 
 
-def feature_index(feature: Column, dim: int = HASH_DIM) -> Column:
-    digest = F.sha2(feature, 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
-
-
-def feature_sign(feature: Column) -> Column:
-    odd = F.conv(F.substring(F.sha2(feature, 256), 10, 1), 16, 10).cast("int") % 2
-    return F.when(odd == 1, 1).otherwise(-1)
-
-
 def hash_codes(tokens: Column, dim: int = HASH_DIM) -> Column:
     """Per feature its index and sign bit packed as ``2 * index + (1 if positive)``."""
 

@@ -14,7 +14,7 @@ from docketry.plans import fragments as sql
 from docketry.plans import retrieval
 from docketry.plans.catalog_review import _E0, _F2, _H0, NO_SUCH
 from docketry.plans.catalog_text import documents
-from docketry.session import shared_dir, table
+from docketry.session import scratch, table
 from docketry.streaming import live
 
 QUERIES: dict = {}
@@ -308,23 +308,22 @@ def resume_antijoin(spark, sf):
     return live.pending_cases(cases, done, ["case_id"])
 
 
+def _stream_path(sf: str, name: str) -> str:
+    """A pattern for one table: a stream takes a plain path for a folder only, a pattern for a file as well."""
+    return f"{sf}/{name[:-1]}[{name[-1]}].parquet"
+
+
 @query("SELECT user_id AS run_id, event_type AS event, count(*)::BIGINT AS records FROM events GROUP BY ALL")
 def stream_event_counts(spark, sf):
     """Counts kept by a streaming query that reads the event table to its end."""
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(
+    events = spark.readStream.schema(schema).parquet(_stream_path(sf, "events")).select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("event"))
-    path = _scratch(spark, "event-counts")
-    live.stream_event_counts(events, path, _scratch(spark, "events")).awaitTermination()
+    path = scratch(spark, "event-counts")
+    live.stream_event_counts(events, path, scratch(spark, "events")).awaitTermination()
     return live.read_event_counts(spark, path)
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 @query()
 def micro_batch_retrieve(spark, sf):
     """Benchmark texts arrive as a stream of requests and leave as reviewed dockets."""
@@ -336,20 +335,19 @@ def micro_batch_retrieve(spark, sf):
         F.col("source_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_sha256"),
         F.lit(1).alias("start_line"), F.size(text.split_lines(F.col("text"))).alias("end_line"))
     corpus = retrieval.SpanIndex(forward, spans, retrieval.build_links(words))
-    requests = spark.readStream.schema("item_id BIGINT, text STRING").option("pathGlobFilter", "benchmark.parquet").parquet(sf).select(
+    requests = spark.readStream.schema("item_id BIGINT, text STRING").parquet(_stream_path(sf, "benchmark")).select(
         F.col("item_id").cast("string").alias("query_id"), F.lit("requirement").alias("artifact_type"), F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("string").alias("subsystem"), text.empty_strings().alias("identifiers"), "text")
-    out = _scratch(spark, "reviews")
-    live.run_reviews(requests, out, _scratch(spark, "review-log"), corpus, "review").awaitTermination()
+    out = scratch(spark, "reviews")
+    live.run_reviews(requests, out, scratch(spark, "review-log"), corpus, "review").awaitTermination()
     shown = spark.read.parquet(f"{out}/results")
     return shown.select("query_id", "source_id", "rank", "status", "blocked_count", "overall_status", "partial", "query_fingerprint", "final_docket_fingerprint")
 
 
-@query("""SELECT o_custkey AS run_id, count(*)::BIGINT AS cases, sum(o_orderkey)::BIGINT AS case_sum FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS run_id, o_orderkey AS case_id, 'case' AS part, '{"overall_status":"' || o_orderstatus || '"}' AS body FROM orders
+ UNION ALL SELECT DISTINCT o_custkey, NULL, 'run', '{"configuration":"{}"}' FROM orders""")
 def assemble_run(spark, sf):
-    """Nested run documents, read back as counts per run."""
+    """Run documents: a header and the cases of each run."""
     orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus").toDF("case_id", "run_id", "overall_status")
     runs = orders.select("run_id").distinct().withColumn("configuration", F.lit("{}"))
-    parts = live.assemble_run(runs, orders)
-    return parts.select("run_id", F.explode("cases").alias("c")).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("cases"), F.sum("c.case_id").alias("case_sum"))
+    return live.assemble_run(runs, orders)

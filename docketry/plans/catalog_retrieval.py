@@ -14,7 +14,7 @@ from docketry.operators import blocks, index, retrieve, vectors
 from docketry.plans import fragments as sql
 from docketry.plans import retrieval
 from docketry.plans.catalog_text import DT_DUCK, SEEDS_DUCK, document_tokens, documents, line_identifiers
-from docketry.session import materialise, maybe_broadcast, spread, table
+from docketry.session import materialise, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,7 +95,7 @@ def l2_norm(spark, sf):
 def dot_topk(spark, sf):
     vecs = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     queries = vecs.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vec"))
-    rows = spread(vecs.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vec")), "source_id")
+    rows = vecs.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vec"))
     return vectors.dot_topk(rows, queries, scores.BROAD_K).withColumn("score", F.bround("score", 6))
 
 
@@ -132,8 +132,8 @@ def document_forward(spark: SparkSession, sf: str) -> DataFrame:
 def _matches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """BM25 of matching pairs with posting-table joins, and the corpus figures."""
     tokens = document_tokens(spark, sf)
-    terms = maybe_broadcast(benchmark_queries(spark, sf).select(
-        "query_id", F.explode(F.array_distinct(text.tokenize(F.col("query_text")))).alias("token")))
+    terms = benchmark_queries(spark, sf).select(
+        "query_id", F.explode(F.array_distinct(text.tokenize(F.col("query_text")))).alias("token"))
     # Only postings of query words matter; they are cut before anything is counted.
     words = terms.select("token").distinct()
     tf = (

@@ -8,7 +8,7 @@ decision. Repeated, off-docket and failing rows come from fixed properties of do
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry import schemas
@@ -335,7 +335,9 @@ class Evaluation(Case):
         # A failed reviewer leaves no decision, so its queries propose nothing.
         failed = self.failures.filter(F.col("role") == review.REVIEWER).select("query_id")
         given = self.decisions.join(failed, "query_id", "left_anti")
-        numbered = given.withColumn("decision_no", F.monotonically_increasing_id())
+        # Numbered by content, so that every reading of the table gives a decision the same number.
+        order = Window.partitionBy("query_id", "source_id").orderBy(F.to_json(F.struct("decision", "claims")))
+        numbered = given.withColumn("decision_no", F.row_number().over(order))
         return self.keyed(numbered.select("query_id", "source_id", "decision_no", F.posexplode("claims").alias("no", "c"))).select(
             *metrics.SPAN, F.struct("decision_no", "no").alias("claim_no"), "c.impact_type", F.col("c.evidence_exact_text").alias("evidence"))
 

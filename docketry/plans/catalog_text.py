@@ -9,7 +9,7 @@ from docketry.functions import scores, text
 from docketry.functions.rows import inline_rows, posexplode_rows
 from docketry.operators import chunking, index, intake
 from docketry.plans import fragments as sql
-from docketry.session import spread, table
+from docketry.session import scratch, table
 from docketry.sources import corpus, sinks
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ def query(oracle: str | None = None):
 
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf, "documents", *columns), "doc_id")
+    return table(spark, sf, "documents", *columns)
 
 
 def document_tree(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +43,7 @@ def document_tree(spark: SparkSession, sf: str) -> DataFrame:
 def text_files(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as markup with one element per line and named elements, documents as plain text."""
     html = F.replace(F.replace("html", F.lit("><"), F.lit(">\n<")), F.lit("class="), F.lit("id="))
-    pages = spread(table(spark, sf, "pages", "page_id", "html"), "page_id").select(
+    pages = table(spark, sf, "pages", "page_id", "html").select(
         F.concat(F.lit("site/page"), F.col("page_id").cast("string"), F.lit(".xml")).alias("path"),
         F.lit("site").alias("component"), F.lit(".xml").alias("suffix"), F.sha2("html", 256).alias("sha256"),
         html.alias("text"),
@@ -163,10 +163,10 @@ def span_ids(spark, sf):
     return chunking.spans(text_files(spark, sf)).select("source_id", "type", "title", "symbol", "content_sha256")
 
 
-@query(f"WITH {sql.SOURCE_FILES_DUCK} SELECT type, count(*)::BIGINT AS spans FROM sources GROUP BY type")
+@query(f"""WITH RECURSIVE {_CHUNKS_DUCK} SELECT CASE WHEN path LIKE '%.xml' THEN 'interface' ELSE 'documentation' END AS type,
+ count(*)::BIGINT AS spans FROM chunks GROUP BY 1""")
 def corpus_type_counts(spark, sf):
-    files = corpus.source_files(document_tree(spark, sf))
-    return chunking.type_counts(files.select(corpus.artifact_type(F.col("path"), F.col("suffix")).alias("type")))
+    return chunking.type_counts(chunking.spans(text_files(spark, sf)))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS position, o_orderdate AS k FROM orders),
@@ -403,7 +403,7 @@ def _kind_duck(w: str) -> str:
  SELECT DISTINCT source_id, identifier, kind, 'global' AS scope FROM k WHERE kind IS NOT NULL""")
 def typed_identifiers(spark, sf):
     kinds = text.lit_array(("interface", "verification", "design"))
-    spans = spread(table(spark, sf, "pages", "page_id", "html"), "page_id").select(
+    spans = table(spark, sf, "pages", "page_id", "html").select(
         F.col("page_id").alias("source_id"), F.element_at(kinds, (F.col("page_id") % 3 + 1).cast("int")).alias("type"),
         F.concat(F.lit("Page_"), F.col("page_id").cast("string"), F.lit("_TBL")).alias("symbol"), F.col("html").alias("content"))
     return index.typed_identifiers(spans, ("class", "lang"))
@@ -438,24 +438,22 @@ def seed_topk(spark, sf):
     return index.seed_identifiers(index.identifier_links(index.eligible_postings(index.postings(line_identifiers(spark, sf)))))
 
 
-@query(f"""WITH {POSTINGS_DUCK}, t AS (SELECT identifier, kind, df, list_sort(list(source_id)) AS p FROM postings JOIN entries USING (identifier, kind) WHERE df <= 50 GROUP BY ALL),
- ix AS (SELECT identifier, kind, CASE WHEN identifier % 11 = 0 THEN df + 1 ELSE df END AS df, CASE WHEN identifier % 7 = 0 THEN list_reverse(p) ELSE p END AS p,
- identifier * 3 + CASE kind WHEN 'A' THEN (identifier % 13 = 0)::INT WHEN 'N' THEN (identifier % 13 <> 0)::INT ELSE 2 END AS position FROM t)
- SELECT identifier, kind, 'global' AS scope, 'postings_not_sorted_unique' AS violation FROM ix WHERE p <> list_sort(list_distinct(p))
- UNION ALL SELECT identifier, kind, 'global', 'df_mismatch' FROM ix WHERE df <> len(p)
- UNION ALL SELECT DISTINCT identifier, kind, 'global', 'unknown_source' FROM (SELECT identifier, kind, unnest(p) AS s FROM ix)
- WHERE s IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
- UNION ALL SELECT a.identifier, a.kind, 'global', 'entries_not_ordered' FROM ix a JOIN ix b ON a.position = b.position + 1
- WHERE (a.identifier, a.kind) <= (b.identifier, b.kind)""")
+@query(f"""WITH {POSTINGS_DUCK}, t AS (SELECT identifier, kind, df, source_id, row_number() OVER (ORDER BY identifier, kind, source_id) - 1 AS slot FROM postings JOIN entries USING (identifier, kind)),
+ ix AS (SELECT identifier, kind, source_id, CASE WHEN identifier % 11 = 0 THEN df + 1 ELSE df END AS df, CASE WHEN (slot // 2) % 7 <> 0 THEN slot WHEN slot % 2 = 0 THEN slot + 1 ELSE slot - 1 END AS position FROM t),
+ p AS (SELECT a.*, b.identifier AS bi, b.kind AS bk, b.source_id AS bs FROM ix a JOIN ix b ON a.position = b.position + 1)
+ SELECT DISTINCT identifier, kind, 'global' AS scope, 'postings_not_sorted_unique' AS violation FROM p WHERE identifier = bi AND kind = bk AND source_id <= bs
+ UNION ALL SELECT identifier, kind, 'global', 'df_mismatch' FROM ix GROUP BY ALL HAVING min(df) <> count(*)
+ UNION ALL SELECT DISTINCT identifier, kind, 'global', 'unknown_source' FROM ix WHERE source_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+ UNION ALL SELECT DISTINCT identifier, kind, 'global', 'entries_not_ordered' FROM p WHERE (identifier, kind) < (bi, bk)""")
 def index_audit(spark, sf):
-    stored = index.index_table(index.postings(line_identifiers(spark, sf)))
-    ident, swapped = F.col("identifier"), (F.col("identifier") % 13 == 0)
-    slot = F.when(F.col("kind") == "A", swapped.cast("int")).when(F.col("kind") == "N", (~swapped).cast("int")).otherwise(2)
+    """Entries of any frequency, written and read back; some frequencies and places are then falsified."""
+    path = scratch(spark, "index")
+    sinks.write_index(index.index_table(index.postings(line_identifiers(spark, sf))), path, *index.ENTRY_KEY, "source_id")
+    stored = corpus.with_positions(spark.read.parquet(path))
+    at = F.col("position")
+    swapped = F.when(F.floor(at / 2) % 7 != 0, at).when(at % 2 == 0, at + 1).otherwise(at - 1)
     tampered = stored.withColumns({
-        "df": F.when(ident % 11 == 0, F.col("df") + 1).otherwise(F.col("df")),
-        "postings": F.when(ident % 7 == 0, F.reverse("postings")).otherwise(F.col("postings")),
-        "position": ident * 3 + slot,
-    })
+        "df": F.when(F.col("identifier") % 11 == 0, F.col("df") + 1).otherwise(F.col("df")), "position": swapped})
     spans = table(spark, sf, "orders", "o_orderkey", "o_orderstatus").filter("o_orderstatus <> 'P'").select(
         F.col("o_orderkey").alias("source_id"))
     return index.audit_index(tampered, spans)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docketry.functions import scores, text
 from docketry.functions.rows import explode_rows
 from docketry.operators import blocks, index, retrieve, vectors
-from docketry.session import materialise, maybe_broadcast
+from docketry.session import materialise
 
 
 @dataclass
@@ -99,14 +99,12 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     n = corpus.forward.agg(F.count(F.lit(1)).alias("n")).scalar()
     # The broad cut (40 rows per query) feeds four branches; compute it once.
     broad = materialise(broad_candidates(corpus.forward, batches), "broad")
-    in_broad = corpus.links.join(
-        maybe_broadcast(broad.select("source_id").distinct(), sized_by=broad), "source_id", "left_semi"
-    )
+    in_broad = corpus.links.join(broad.select("source_id").distinct(), "source_id", "left_semi")
     hops = materialise(retrieve.merge_hops(
         retrieve.named_hops(query_ids), retrieve.seed_hops(broad, index.seed_identifiers(in_broad))
     ), "hops")
     relation = materialise(retrieve.relation_scores(retrieve.edges(hops, corpus.links, n)), "relation")
-    shortlist = materialise(retrieve.relation_shortlist(relation, maybe_broadcast(broad)), "shortlist")
+    shortlist = materialise(retrieve.relation_shortlist(relation, broad), "shortlist")
     hybrid = reduce(
         DataFrame.unionByName,
         [blocks.chosen_pairs(corpus.forward, b, shortlist.select(*retrieve.PAIR)) for b in batches],
@@ -114,6 +112,6 @@ def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) ->
     only = retrieve.relation_only(shortlist.join(hybrid, retrieve.PAIR))
     pool = materialise(retrieve.final_order(retrieve.expanded_pool(broad, only, relation)), "pool")
     named = retrieve.relation_identifiers(pool, corpus.links, hops)
-    rows = maybe_broadcast(pool.join(named, retrieve.PAIR, "left"), sized_by=pool)
+    rows = pool.join(named, retrieve.PAIR, "left")
     ordered = materialise(corpus.spans.join(rows, "source_id"), "ordered")
     return Retrieval(broad, ordered, retrieve.retrieval_summary(ordered, n))

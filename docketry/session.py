@@ -1,15 +1,16 @@
-"""Session defaults, size-checked broadcast and durable intermediate tables."""
+"""Session defaults and durable intermediate tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast side may hold at most this many rows; beyond it the join shuffles.
-BROADCAST_MAX_ROWS = 200_000
+# Paths of intermediate tables, in the order of writing.
+_stored: list[str] = []
 
 # Runtime re-planning settings every job relies on: partition coalescing for small
 # inputs and splitting of skewed join partitions for hot keys.
@@ -30,25 +31,11 @@ def build_session(app: str = "docketry", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def maybe_broadcast(
-    df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, sized_by: DataFrame | None = None
-) -> DataFrame:
-    """Broadcast ``df`` only after counting that it stays under ``max_rows``.
-
-    ``sized_by`` is a stored table with at least as many rows as ``df``; counting it
-    spares computing ``df`` twice. The count reads at most ``max_rows + 1`` rows. A larger
-    side is returned unhinted, so the join falls back to a shuffle that AQE may split.
-    """
-    counted = df if sized_by is None else sized_by
-    small = counted.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only for a local session."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", configured)
@@ -62,20 +49,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     later passes prune columns and push filters into the Parquet scan.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, deleted by :func:`release`."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on an input that arrives in fewer splits than there are cores.
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the intermediate tables written so far but for the first ``keep``; results that read them must have been used.
 
-    A large input already has more splits than cores and is left alone.
+    Call ``mark()`` before a job and ``release(spark, mark)`` once its result is written, to delete that job's tables only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    gone = _stored[keep:]
+    del _stored[keep:]
+    for path in gone:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(gone)
+
+
+def mark() -> int:
+    """How many intermediate tables there are so far."""
+    return len(_stored)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df

@@ -167,21 +167,22 @@ def package_violations(rows: DataFrame, key: str = "source_id", position: str =
 
 
 def with_positions(rows: DataFrame) -> DataFrame:
-    """Dense row positions in read order without moving rows.
+    """Dense row positions by file name and place in the file, without moving rows.
 
-    Rows are numbered inside their input partition; the offset of a partition comes
-    from a count per partition, a table as long as the number of files.
+    ``rows`` must come straight from files. Spark reads files in an order of its own, so a row is
+    placed by its file, the block of the file it was read from and its number within the block. Only
+    one count per block meets in one task, a table as long as the number of file splits.
     """
-    marked = rows.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return (
-        marked.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-        .withColumn("position", F.col("_offset") + F.col("_id").bitwiseAND(F.lit(2**33 - 1)))
-        .drop("_id", "_part", "_offset")
+    block = ["_file", "_block"]
+    marked = rows.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
     )
+    sizes = marked.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = marked.join(offsets, block).withColumn("position", F.col("_offset") + F.col("_id") - F.col("_first"))
+    return placed.drop(*block, "_id", "_first", "_offset")
 
 
 # ---- curated slices ---------------------------------------------------------------

@@ -125,22 +125,18 @@ def read_event_counts(spark: SparkSession, path: str) -> DataFrame:
 # ---- run assembly -----------------------------------------------------------------
 
 
-# Cases per nested document; larger runs are split into several documents.
-CASES_PER_PART = 500
-
-
 def assemble_run(runs: DataFrame, cases: DataFrame) -> DataFrame:
-    """Nested run documents: one row per run and part with its cases as a sorted list.
+    """Run documents of any size in one layout: a header row per run, then a row per case.
 
-    ``runs`` is one row per run with configuration, metrics and provenance. A run is
-    split by case hash as soon as it outgrows one document, so no list grows with the
-    size of a run.
+    ``runs`` is one row per run with configuration, metrics and provenance; ``cases`` has run_id, case_id and more.
+    Rows are (run_id, case_id, part, body): ``part`` is ``run`` or ``case``, ``body`` the remaining fields as JSON with sorted
+    keys, case_id is null in a header. Cases of unknown runs are left out, as a document has one header.
     """
-    sizes = cases.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / CASES_PER_PART).cast("int")
-    numbered = cases.join(sizes, "run_id").withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("case_id"), F.col("parts")).cast("int"))
-    fields = [c for c in cases.columns if c not in ("run_id", "case_id")]
-    listed = numbered.groupBy("run_id", "parts", "part").agg(
-        F.array_sort(F.collect_list(F.struct("case_id", *fields))).alias("cases"))
-    return runs.join(listed, "run_id", "left")
+    def body(df: DataFrame, *keys: str):
+        return F.to_json(F.struct(*sorted(c for c in df.columns if c not in keys))).alias("body")
+
+    kind = dict(cases.dtypes)["case_id"]
+    header = runs.select("run_id", F.lit(None).cast(kind).alias("case_id"), F.lit("run").alias("part"), body(runs, "run_id"))
+    known = cases.join(runs.select("run_id").distinct(), "run_id", "left_semi")
+    rows = known.select("run_id", "case_id", F.lit("case").alias("part"), body(cases, "run_id", "case_id"))
+    return header.unionByName(rows)

@@ -99,6 +99,22 @@ def test_package_round_trip_and_violations(spark, tree, tmp_path_factory):
     assert [r.violation for r in corpus.package_violations(placed.limit(0)).collect()] == ["empty"]
 
 
+def test_sorted_package_in_files_of_rising_size(spark, tmp_path):
+    """Spark reads large files first; positions follow file names all the same."""
+    at = 0
+    for i, n in enumerate((3, 300, 9000)):
+        lines = [json.dumps({"source_id": f"S{at + k:06d}", "content": "x" * 50}) for k in range(n)]
+        (tmp_path / f"part-{i}.json").write_text("\n".join(lines))
+        at += n
+    placed = corpus.with_positions(corpus.read_corpus(spark, str(tmp_path)))
+    assert corpus.package_violations(placed).count() == 0
+    ends = placed.agg(F.min("position"), F.max("position"), F.count_distinct("position")).first()
+    assert tuple(ends) == (0, at - 1, at)
+    (tmp_path / "part-3.json").write_text(json.dumps({"source_id": "S000000a"}))
+    placed = corpus.with_positions(corpus.read_corpus(spark, str(tmp_path)))
+    assert [tuple(r) for r in corpus.package_violations(placed).collect()] == [("not_sorted", 1)]
+
+
 def test_malformed_package_row_is_fatal(spark, tmp_path):
     (tmp_path / "rows.json").write_text('{"source_id": "a", "start_line": "x"}\n')
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
@@ -160,8 +176,12 @@ def test_run_store_never_overwrites_a_final(spark, tmp_path):
     with pytest.raises(PySparkException):
         sinks.write_final(run, path)
     assert sinks.write_latest(run, str(tmp_path / "latest")).first() == first
-    sinks.append_checkpoint(run, str(tmp_path / "check"))
-    assert sinks.append_checkpoint(run.withColumn("case_id", F.lit("c2")), str(tmp_path / "check")).first().rows == 2
+    other = run.withColumn("case_id", F.lit("c2"))
+    one = sinks.append_checkpoint(run, str(tmp_path / "check")).first()
+    two = sinks.append_checkpoint(other, str(tmp_path / "check")).first()
+    # Each append is sealed by what it wrote, not by what was there before.
+    assert (one.rows, two.rows) == (1, 1) and one.fingerprint == first.fingerprint != two.fingerprint
+    assert spark.read.parquet(str(tmp_path / "check")).count() == 2
 
 
 def test_stored_run_explodes_in_order(spark, tmp_path):

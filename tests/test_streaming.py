@@ -63,11 +63,20 @@ def test_failing_batch_is_recorded_and_resumed(spark, tmp_path):
     assert [r.case_id for r in live.pending_cases(todo, done, ["case_id"]).collect()] == ["c"]
 
 
-def test_runs_are_split_into_bounded_documents(spark, monkeypatch):
-    monkeypatch.setattr(live, "CASES_PER_PART", 10)
+def test_run_documents_have_one_layout_at_any_size(spark):
     cases = spark.range(95).select(F.lit("r").alias("run_id"), F.col("id").alias("case_id"), F.lit("s").alias("status"))
     runs = spark.createDataFrame([("r", "{}"), ("empty", "{}")], "run_id string, configuration string")
     rows = live.assemble_run(runs, cases).collect()
-    parts = [r for r in rows if r.run_id == "r"]
-    assert {r.parts for r in parts} == {10} and sorted(c.case_id for r in parts for c in r.cases) == list(range(95))
-    assert [r.cases for r in rows if r.run_id == "empty"] == [None]
+    assert sorted((r.run_id, r.body) for r in rows if r.part == "run") == [("empty", '{"configuration":"{}"}'), ("r", '{"configuration":"{}"}')]
+    assert sorted(r.case_id for r in rows if r.part == "case") == list(range(95))
+    assert {r.body for r in rows if r.part == "case"} == {'{"status":"s"}'}
+
+
+def test_streams_read_tables_stored_as_folders(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    events = spark.range(40).select(
+        F.col("id").alias("event_id"), (F.col("id") % 3).alias("user_id"), F.lit("click").alias("event_type"))
+    events.repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    rows = entry.queries()["stream_event_counts"](spark, str(tmp_path)).collect()
+    assert sorted((r.run_id, r.records) for r in rows) == [(0, 14), (1, 13), (2, 13)]
