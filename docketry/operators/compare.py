@@ -138,24 +138,30 @@ def run_invariants(pairs: DataFrame, runs: DataFrame) -> DataFrame:
     return joined.select("baseline_run", "variant_run", failed.alias("failed"))
 
 
-# Slices of the case list handed to each incomplete run, so that no task gets it whole.
-CASE_SLICES = 64
+# Cases in a bucket of the case list; a run is held against the buckets it lacks something of.
+BUCKET_CASES = 1000
+# Parts of a run that meet a comparison one by one.
+RUN_PARTS = 32
 
 
 def case_set_difference(run_cases: DataFrame, expected: DataFrame) -> DataFrame:
     """Cases a run lacks or has in excess: run_id, case_id, violation.
 
-    Complete runs are recognised by counting; only the others are held against the
-    whole case list.
+    Cases are dealt into buckets of about BUCKET_CASES. Per run and bucket the known cases are
+    counted; only incomplete pairs of run and bucket are held against the bucket's cases.
     """
     have = run_cases.select(*CASE).distinct()
     wanted = expected.select("case_id").distinct()
     known = have.join(wanted.withColumn("known", F.lit(True)), "case_id", "left")
-    total = wanted.agg(F.count(F.lit(1))).scalar()
-    incomplete = known.groupBy("run_id").agg(F.count("known").alias("n")).filter(F.col("n") < total)
-    sliced = incomplete.select("run_id", F.explode(F.sequence(F.lit(0), F.lit(CASE_SLICES - 1))).alias("slice"))
-    by_slice = wanted.withColumn("slice", F.pmod(F.xxhash64("case_id"), F.lit(CASE_SLICES)).cast("int"))
-    missing = sliced.join(by_slice, "slice").select(*CASE).join(have, CASE, "left_anti").select(
+    buckets = max(1, -(-wanted.count() // BUCKET_CASES))
+    bucket = F.pmod(F.xxhash64("case_id"), F.lit(buckets)).cast("int").alias("bucket")
+    dealt = wanted.select("case_id", bucket)
+    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("wanted"))
+    counted = known.filter("known").groupBy("run_id", bucket).agg(F.count(F.lit(1)).alias("n"))
+    every = have.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+    incomplete = every.join(sizes, "bucket").join(counted, ["run_id", "bucket"], "left").filter(
+        F.coalesce("n", F.lit(0)) < F.col("wanted")).select("run_id", "bucket")
+    missing = incomplete.join(dealt, "bucket").select(*CASE).join(have, CASE, "left_anti").select(
         *CASE, F.lit("missing_case").alias("violation"))
     extra = known.filter(F.col("known").isNull()).select(*CASE, F.lit("unknown_case").alias("violation"))
     return missing.unionByName(extra)
@@ -164,6 +170,7 @@ def case_set_difference(run_cases: DataFrame, expected: DataFrame) -> DataFrame:
 def run_delta(pairs: DataFrame, case_results: DataFrame, ranks: DataFrame) -> DataFrame:
     """Per pair: changed candidate sequences, both rank summaries and their difference."""
     summary = rank_summary(ranks)
+    # A run of many cases is one key; its cases meet the pairs in parts.
     prints = case_results.select(*CASE, "candidate_fingerprint")
 
     def side(df: DataFrame, role: str, *columns: str) -> DataFrame:
@@ -172,7 +179,7 @@ def run_delta(pairs: DataFrame, case_results: DataFrame, ranks: DataFrame) -> Da
         )
 
     changed = (
-        pairs.join(side(prints, "baseline", "case_id", "candidate_fingerprint"), "baseline_run")
+        _in_parts(pairs).join(side(prints, "baseline", "case_id", "candidate_fingerprint").withColumn("part", _part("case_id")), ["baseline_run", "part"])
         .join(side(prints, "variant", "case_id", "candidate_fingerprint"), ["variant_run", "case_id"])
         .groupBy("baseline_run", "variant_run").agg(
             F.count_if(~F.col("baseline_candidate_fingerprint").eqNullSafe(F.col("variant_candidate_fingerprint")))
@@ -191,8 +198,17 @@ def run_delta(pairs: DataFrame, case_results: DataFrame, ranks: DataFrame) -> Da
     )
 
 
+def _part(case_id: str) -> Column:
+    return F.pmod(F.xxhash64(case_id), F.lit(RUN_PARTS)).cast("int").alias("part")
+
+
+def _in_parts(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(RUN_PARTS - 1))))
+
+
 def rank_changes(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     """Before and after rank of every target: pair, case_id, source_id."""
-    before = ranks.select(F.col("run_id").alias("baseline_run"), "case_id", "source_id", F.col("rank").alias("baseline_rank"))
+    before = ranks.select(
+        F.col("run_id").alias("baseline_run"), "case_id", "source_id", F.col("rank").alias("baseline_rank"), _part("case_id"))
     after = ranks.select(F.col("run_id").alias("variant_run"), "case_id", "source_id", F.col("rank").alias("variant_rank"))
-    return pairs.join(before, "baseline_run").join(after, ["variant_run", "case_id", "source_id"])
+    return _in_parts(pairs).join(before, ["baseline_run", "part"]).drop("part").join(after, ["variant_run", "case_id", "source_id"])

@@ -171,7 +171,7 @@ def vector_summary(vectors: DataFrame) -> DataFrame:
     )
     body = vectors.select(
         "source_id",
-        F.array_join(F.transform("vec", lambda x: x.cast("float").cast("string")), ",").alias("v"),
+        F.array_join(F.transform("vec", lambda x: F.format_string("%.9e", x.cast("double"))), ",").alias("v"),
     )
     values = table_fingerprint(body, ["source_id", "v"]).select(
         F.col("fingerprint").alias("vector_sha256")
@@ -203,6 +203,13 @@ def audit_vectors(vectors: DataFrame, spans: DataFrame, metadata: DataFrame, dim
     return row.select(F.explode(failed).alias("violation"))
 
 
+def audit_index_metadata(metadata: DataFrame, model: str, dim: int) -> DataFrame:
+    """Violations of a stored index's metadata against the model and dimension a query needs."""
+    ok = {"model": F.col("model").eqNullSafe(F.lit(model)), "dimension": F.col("dimension").eqNullSafe(F.lit(dim))}
+    failed = F.array_compact(F.array(*[F.when(~good, F.lit(name)) for name, good in ok.items()]))
+    return metadata.select(F.explode(failed).alias("violation"))
+
+
 # ---- similarity -------------------------------------------------------------------
 
 

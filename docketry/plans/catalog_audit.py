@@ -247,21 +247,61 @@ def legacy_exposure_audit(spark, sf):
     return audit.legacy_exposure(reviews, runs.docket, items.unionByName(twice))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS run_id, o_custkey AS experiment_id, o_orderstatus AS model, o_orderpriority AS freeze_tag, o_totalprice AS p FROM orders),
- m AS (SELECT c_custkey AS experiment_id, c_mktsegment, c_nationkey FROM customer WHERE c_acctbal >= 0)
- SELECT run_id, unnest(list_filter([CASE WHEN p < 50000 THEN 'artifact_store' END, CASE WHEN p > 300000 THEN 'container_image_digest' END, CASE WHEN m.experiment_id IS NULL THEN 'experiment_id' END,
- CASE WHEN m.experiment_id IS NULL OR freeze_tag <> '1-URGENT' THEN 'freeze_tag' END, CASE WHEN m.experiment_id IS NULL OR model <> 'F' THEN 'model' END,
- CASE WHEN model = 'P' THEN 'no_adk_version' END], lambda x: x IS NOT NULL)) AS violation FROM r LEFT JOIN m USING (experiment_id)""")
+# For each compared field how a run's value derives from its order, so that every check has rows on both sides.
+_FIELD = {name: i + 2 for i, name in enumerate([*audit.PROVENANCE_PAIRS, *audit.PROVENANCE_PRESENT]) if name != "experiment_id"}
+_PAIRED = [name for name in audit.PROVENANCE_PAIRS if name != "experiment_id"]
+
+
+def _provenance_duck() -> str:
+    pairs = [f"CASE WHEN m.experiment_id IS NULL OR (run_id + {_FIELD[n]}) % {_FIELD[n]} = 0 THEN '{n}' END" for n in _PAIRED]
+    present = [f"CASE WHEN (run_id + {_FIELD[n]}) % {_FIELD[n]} = 0 THEN 'no_{n}' END" for n in audit.PROVENANCE_PRESENT]
+    return f"""WITH r AS (SELECT o_orderkey AS run_id, o_custkey AS experiment_id, o_totalprice AS p FROM orders),
+ m AS (SELECT c_custkey AS experiment_id FROM customer WHERE c_acctbal >= 0)
+ SELECT run_id, unnest(list_filter([CASE WHEN p < 50000 THEN 'artifact_store' END, CASE WHEN p > 300000 THEN 'container_image_digest' END,
+ CASE WHEN m.experiment_id IS NULL THEN 'experiment_id' END, {", ".join(pairs + present)}], lambda x: x IS NOT NULL)) AS violation FROM r LEFT JOIN m USING (experiment_id)"""
+
+
+@query(_provenance_duck())
 def provenance_match(spark, sf):
-    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
-    runs = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("experiment_id"), status.alias("model"), F.col("o_orderpriority").alias("freeze_tag"),
+    """All compared fields and all that must be present; each is wrong or missing for some orders."""
+    price, run = F.col("o_totalprice"), F.col("o_orderkey")
+    wrong = {n: (run + k) % k == 0 for n, k in _FIELD.items()}
+    runs = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_totalprice").select(
+        run.alias("run_id"), F.col("o_custkey").alias("experiment_id"),
         F.when(price < 50000, "local").otherwise("gcs").alias("artifact_store"), F.when(price > 300000, "image:latest").otherwise("image@sha256:1").alias("container_image_digest"),
-        F.when(status != "P", F.lit("1.0")).alias("adk_version"))
-    manifests = table(spark, sf, "customer").filter("c_acctbal >= 0").select(
-        F.col("c_custkey").alias("experiment_id"), F.lit("F").alias("manifest_model"), F.lit("1-URGENT").alias("manifest_freeze_tag"))
-    pairs = {k: audit.PROVENANCE_PAIRS[k] for k in ("experiment_id", "freeze_tag", "model")}
-    return audit.provenance_match(runs, manifests, pairs, ("adk_version",))
+        *[F.when(wrong[n], "drift").otherwise("as planned").alias(n) for n in _PAIRED],
+        *[F.when(~wrong[n], "1.0").otherwise(F.when(run % 2 == 0, "")).alias(n) for n in audit.PROVENANCE_PRESENT])
+    manifests = table(spark, sf, "customer", "c_custkey", "c_acctbal").filter("c_acctbal >= 0").select(
+        F.col("c_custkey").alias("experiment_id"), *[F.lit("as planned").alias(audit.PROVENANCE_PAIRS[n]) for n in _PAIRED])
+    return audit.provenance_match(runs, manifests)
+
+
+@query("""SELECT conv_id AS run_id, turn AS case_id, role, 'role_error' AS violation FROM conversations WHERE length(text) % 5 = 0 AND length(text) > 0""")
+def role_error_audit(spark, sf):
+    """Turns as role traces; some carry their text as an error."""
+    traces = table(spark, sf, "conversations", "conv_id", "turn", "role", "text").select(
+        F.col("conv_id").alias("run_id"), F.col("turn").alias("case_id"), "role",
+        F.when(F.length("text") % 5 == 0, F.col("text")).when(F.length("text") % 5 == 1, F.lit("")).alias("error"))
+    return audit.role_errors(traces)
+
+
+@query("""WITH l AS (SELECT o_custkey AS run_id, o_orderkey AS case_id, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids, any_value(o_orderstatus) AS st
+ FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+ SELECT run_id, case_id, 'arms_differ' AS violation FROM l WHERE st = 'P' OR (st = 'O' AND list_reverse(ids) <> ids)""")
+def legacy_arm_audit(spark, sf):
+    """Parts of an order as candidates; partial orders lack an arm, open ones have it in another order."""
+    items = table(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("items"))
+    orders = table(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderstatus").toDF("run_id", "case_id", "status")
+    ids = F.col("items.l_partkey")
+    return audit.legacy_arms(orders.join(items, "case_id").select(
+        "run_id", "case_id", ids.alias("candidate_ids"), F.when(F.col("status") != "P", ids).alias("baseline_candidate_source_ids"),
+        F.when(F.col("status") == "O", F.reverse(ids)).otherwise(ids).alias("proposed_candidate_source_ids")))
+
+
+@query(r"""SELECT event_id, props FROM events WHERE regexp_matches(props, '"k": ?[0-9]*7[,}]') OR contains(props, 'evidence')""")
+def prohibited_log_content(spark, sf):
+    return audit.prohibited_content(table(spark, sf, "events", "event_id", "props"), "props", r'"k": ?[0-9]*7[,}]|evidence')
 
 
 @query("""SELECT run_id, unnest(list_filter([CASE WHEN f THEN 'failed_run' END, CASE WHEN st IS DISTINCT FROM 'F' THEN 'not_complete' END, CASE WHEN sealed IS DISTINCT FROM p THEN 'seal' END], lambda x: x IS NOT NULL)) AS violation

@@ -14,7 +14,8 @@ from docketry.operators import blocks, index, retrieve, vectors
 from docketry.plans import fragments as sql
 from docketry.plans import retrieval
 from docketry.plans.catalog_text import DT_DUCK, SEEDS_DUCK, document_tokens, documents, line_identifiers
-from docketry.session import materialise, table
+from docketry.session import materialise, scratch, table
+from docketry.sources import corpus, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,10 +77,34 @@ def fold_duck(rows: str, columns: list[str]) -> str:
  c AS (SELECT h[1:3] || sha256(string_agg(h, '' ORDER BY h)) AS h FROM b GROUP BY h[1:3]) SELECT sha256(string_agg(h, '' ORDER BY h)) FROM c)"""
 
 
-@query(f"""SELECT count(*)::BIGINT AS artifact_count, sum(len(embedding))::BIGINT AS value_count, {fold_duck('embeddings', ['vec_id'])} AS source_ids_sha256 FROM embeddings""")
+_VECTOR_ROWS = """(SELECT vec_id AS source_id, array_to_string(list_transform(embedding, lambda x: printf('%.9e', x::DOUBLE)), ',') AS v FROM embeddings)"""
+_VECTOR_SUMMARY = f"""SELECT count(*)::BIGINT AS artifact_count, sum(len(embedding))::BIGINT AS value_count, {fold_duck('embeddings', ['vec_id'])} AS source_ids_sha256,
+ {fold_duck(_VECTOR_ROWS, ['source_id', 'v'])} AS vector_sha256 FROM embeddings"""
+
+
+@query(_VECTOR_SUMMARY)
 def vector_audit(spark, sf):
-    vecs = table(spark, sf, "embeddings", "vec_id", "embedding").toDF("source_id", "vec")
-    return vectors.vector_summary(vecs).select("artifact_count", "value_count", "source_ids_sha256")
+    return vectors.vector_summary(table(spark, sf, "embeddings", "vec_id", "embedding").toDF("source_id", "vec"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 10 = 3) AS bent FROM embeddings)
+ SELECT 'intact' AS index, 'none' AS violation WHERE false UNION ALL SELECT 'other model', 'model' UNION ALL SELECT 'other model', 'dimension'
+ UNION ALL SELECT 'bent', 'vector_hash' FROM n WHERE bent > 0 UNION ALL SELECT 'short', unnest(['vector_hash', 'source_ids', 'value_count']) FROM n WHERE bent > 0""")
+def stored_vector_audit(spark, sf):
+    """A stored index, reopened and checked against the spans: intact, asked for with another model, with changed and with missing vectors."""
+    path = scratch(spark, "vector-index")
+    sinks.write_vectors(table(spark, sf, "embeddings", "vec_id", "embedding").toDF("source_id", "vec"), path, "hash-64", 64)
+    stored, metadata = corpus.read_vectors(spark, path)
+    spans = table(spark, sf, "embeddings", "vec_id").toDF("source_id")
+    moved = F.col("source_id") % 10 == 3
+    bent = stored.withColumn("vec", F.when(moved, F.reverse("vec")).otherwise(F.col("vec")))
+    cases = {
+        "intact": vectors.audit_vectors(stored, spans, metadata, 64).union(vectors.audit_index_metadata(metadata, "hash-64", 64)),
+        "other model": vectors.audit_index_metadata(metadata, "hash-128", 128),
+        "bent": vectors.audit_vectors(bent, spans, metadata, 64),
+        "short": vectors.audit_vectors(stored.filter(~moved), spans, metadata, 64),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("index"), "violation") for name, df in cases.items()])
 
 
 @query("SELECT vec_id, round_even(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")

@@ -477,12 +477,22 @@ def unregistered(spark, sf):
     return metrics.evaluate(metrics.per_case(case.cases, extra), metrics.unregistered_figures())
 
 
-@query(_grouped(f"""count(case_id)::BIGINT AS n_cases, {_n('impact::INT')} AS impact_cases, {_n(f'({_CONTROL})::INT')} AS control_cases, {_EL} AS eligible_targets, {_FI} AS final_hits,
- {_n('vs')} AS verified_matched, {_n('verified')} AS verified, {_n('blocked')} AS blocked, {sql.safe_rate(_n(f'({_CONTROL} AND verified > 0)::INT'), _n(f'({_CONTROL})::INT'))} AS false_alarm_rate,
- {_n('CASE WHEN impact THEN extra END')} AS unregistered""", _TOTALS + """, xv AS (SELECT tc.*, (SELECT count(*) FROM vm WHERE vm.case_id = tc.case_id AND slot_id IS NULL) AS extra,
- (SELECT count(DISTINCT slot_id) FROM vm WHERE vm.case_id = tc.case_id) AS vs FROM tc)""", "xv"))
+_ALL_METRICS = ("hit_rates", "expansion_gain", "complete_coverage", "rank_mrr", "claim_recall", "false_alarm", "claim_counts", "selection_stats", "unregistered")
+
+
+def _all_metrics() -> str:
+    """The statements of the single metrics side by side, with the case counts."""
+    sizes = _grouped(f"count(case_id)::BIGINT AS n_cases, {_n('impact::INT')} AS impact_cases, {_n(f'({_CONTROL})::INT')} AS control_cases")
+    parts = {name: f"SELECT * FROM ({ORACLES[name]})" for name in _ALL_METRICS}
+    parts["expansion_gain"] = parts["expansion_gain"].replace("*", "* EXCLUDE (eligible_targets)", 1)
+    parts["false_alarm"] = parts["false_alarm"].replace("*", "* RENAME (rate AS false_alarm_rate)", 1)
+    joins = " ".join(f'JOIN ({statement}) {name} USING (run_id, "group")' for name, statement in parts.items())
+    return f"SELECT * FROM ({sizes}) sizes {joins}"
+
+
+@query(_all_metrics())
 def metrics_by_type(spark, sf):
-    """Every metric in one table; a representative set of columns is compared."""
+    """Every metric in one table, from one aggregation over the per-case figures."""
     case = Evaluation(spark, sf)
     # Results and verdicts feed several parts; as in a stored run they are tables.
     results, effective = (materialise(df, name) for df, name in zip(case.resolved()[:2], ("results", "verdicts")))
@@ -494,9 +504,7 @@ def metrics_by_type(spark, sf):
         metrics.slot_recall(metrics.match_slots(proposed, slots), "proposed_slots"), metrics.slot_recall(matched, "verified_slots"),
         metrics.claim_totals(case.keyed(results), proposed, verified, case.keyed(effective)),
         metrics.docket_sizes(case.keyed(results), case.pool(20)), metrics.extra_claims(matched))
-    return metrics.evaluate(rows, *metrics.all_figures()).select(
-        "run_id", "group", "n_cases", "impact_cases", "control_cases", "eligible_targets", "final_hits", "verified_matched", "verified", "blocked",
-        "false_alarm_rate", "unregistered")
+    return metrics.evaluate(rows, *metrics.all_figures())
 
 
 def legacy_rows(spark: SparkSession, sf: str) -> DataFrame:

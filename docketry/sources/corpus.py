@@ -185,6 +185,11 @@ def with_positions(rows: DataFrame) -> DataFrame:
     return placed.drop(*block, "_id", "_first", "_offset")
 
 
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, metadata) of a stored index; ``vectors.audit_vectors`` checks one against the other."""
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/metadata")
+
+
 # ---- curated slices ---------------------------------------------------------------
 
 

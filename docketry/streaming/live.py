@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from docketry import schemas
 from docketry.functions.rows import explode_rows
 from docketry.operators import intake, review
 from docketry.plans.retrieval import SpanIndex, retrieve_all
+from docketry.session import materialise
 
 
 def review_batch(incoming: DataFrame, corpus: SpanIndex, live_outcome: str = "no_review") -> tuple[DataFrame, DataFrame]:
@@ -74,23 +76,54 @@ def pending_cases(cases: DataFrame, completed: DataFrame, keys: list[str]) -> Da
     return cases.join(completed.select(*keys).distinct(), keys, "left_anti")
 
 
+# Halvings of a failing batch on the way to the case that fails.
+ISOLATION_DEPTH = 24
+
+
 def evaluate_stream(spark: SparkSession, source: DataFrame, results_path: str, failures_path: str, checkpoint: str,
                     evaluate: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Evaluate cases batch by batch with a durable record of each batch.
+    """Evaluate cases batch by batch; a restart resumes after the last finished batch.
 
-    A failing batch leaves a failure record and stops the query; a restart resumes
-    after the last finished batch.
+    If a batch fails, it is halved by a hash of the case id until only failing cases are left: the other
+    cases are completed and stored, each failing case leaves a record (case_id, blocked_stage, error_type), and the query stops.
+    ``blocked_stage`` tells whether the case could not be evaluated (``case_execution``) or its result not be stored
+    (``checkpoint_write``).
     """
+    def attempt(cases: DataFrame, target: str) -> tuple[str, Exception] | None:
+        try:
+            done = materialise(evaluate(cases), "evaluated")
+        except Exception as error:
+            return "case_execution", error
+        try:
+            done.write.mode("overwrite").parquet(target)
+        except Exception as error:
+            return "checkpoint_write", error
+        return None
+
+    def isolate(cases: DataFrame, target: str, bit: int, failed: list[DataFrame]) -> Exception | None:
+        found = attempt(cases, f"{target}/part={bit}-all")
+        if found is None:
+            return None
+        stage, error = found
+        if bit == ISOLATION_DEPTH or cases.select("case_id").distinct().limit(2).count() < 2:
+            failed.append(cases.select("case_id", F.lit(stage).alias("blocked_stage"), F.lit(type(error).__name__).alias("error_type")))
+            return error
+        half = F.shiftright(F.xxhash64("case_id"), bit).bitwiseAND(F.lit(1)) == 0
+        errors = [isolate(cases.filter(part), f"{target}/half={bit}-{i}", bit + 1, failed) for i, part in enumerate((half, ~half))]
+        return next((e for e in errors if e is not None), None)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        try:
-            evaluate(batch).write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
-        except Exception as error:
-            batch.select(
-                "case_id", F.lit("case_execution").alias("blocked_stage"), F.lit(type(error).__name__).alias("error_type")
-            ).write.mode("overwrite").parquet(f"{failures_path}/batch={batch_id}")
-            raise
+        target = f"{results_path}/batch={batch_id}"
+        found = attempt(batch, target)
+        if found is None:
+            return
+        failed: list[DataFrame] = []
+        error = isolate(batch, target, 0, failed)
+        if error is not None:
+            reduce(DataFrame.unionByName, failed).write.mode("overwrite").parquet(f"{failures_path}/batch={batch_id}")
+            raise error
 
     return (
         source.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -63,6 +63,22 @@ def test_failing_batch_is_recorded_and_resumed(spark, tmp_path):
     assert [r.case_id for r in live.pending_cases(todo, done, ["case_id"]).collect()] == ["c"]
 
 
+def test_only_the_failing_case_is_recorded(spark, tmp_path):
+    spark.createDataFrame([(f"c{i}",) for i in range(9)], "case_id string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("case_id string").parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / n) for n in ("results", "failures", "log")]
+
+    def evaluate(batch):
+        return batch.withColumn("ok", F.when(F.col("case_id") == "c4", F.raise_error(F.lit("bad case"))).otherwise(F.lit("yes")))
+
+    with pytest.raises(Exception, match="bad case"):
+        live.evaluate_stream(spark, source, *paths, evaluate).awaitTermination()
+    failed = [tuple(r) for r in spark.read.parquet(paths[1]).select("case_id", "blocked_stage").collect()]
+    assert failed == [("c4", "case_execution")]
+    done = spark.read.option("recursiveFileLookup", True).parquet(paths[0])
+    assert sorted(r.case_id for r in done.collect()) == [f"c{i}" for i in range(9) if i != 4]
+
+
 def test_run_documents_have_one_layout_at_any_size(spark):
     cases = spark.range(95).select(F.lit("r").alias("run_id"), F.col("id").alias("case_id"), F.lit("s").alias("status"))
     runs = spark.createDataFrame([("r", "{}"), ("empty", "{}")], "run_id string, configuration string")
