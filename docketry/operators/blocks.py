@@ -1,8 +1,8 @@
-"""Scoring of span blocks against one batch of queries.
+"""Scoring of span blocks against a group of query batches.
 
-A batch of queries is bounded (count and text length), so it travels to the tasks with
-the task closure; spans never move. Each task folds its Arrow batches into per-query
-extremes or a per-query top-k, and only those few rows leave the task.
+A group of batches is bounded, so it travels to the tasks with the task closure; spans never
+move. Each task reads its spans once, folds its Arrow batches into per-query extremes or a per-query top-k
+for every batch of the group, and only those few rows leave the task.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 
 from docketry.functions import scores
 
-# Queries per batch; longer tables are scored batch by batch, each an exact scan.
+# Queries per batch, and batches that share one scan of the spans. The driver and each task hold one
+# group; a longer table of queries is scored group by group.
 MAX_BATCH = 256
+GROUP_BATCHES = 16
 # Cells (spans x queries, or term matches) held by one inner block.
 BLOCK_CELLS = 2_000_000
 
@@ -49,19 +51,19 @@ class QueryBatch:
         return max(1, BLOCK_CELLS // max(len(self.ids), self.incidence, 1))
 
 
-def query_batches(queries: DataFrame, max_batch: int = MAX_BATCH) -> list[QueryBatch]:
-    """Split ``queries`` (query_id, tokens and/or vec, norm) into bounded batches."""
-    total = queries.count()
-    pieces = max(1, -(-total // max_batch))
-    batch_no = F.pmod(F.xxhash64("query_id"), F.lit(pieces))
+def query_groups(queries: DataFrame) -> Iterator[list[QueryBatch]]:
+    """Split ``queries`` (query_id, tokens and/or vec, norm), a stored table, into groups of bounded batches.
+
+    Only one group is on the driver at a time.
+    """
+    pieces = max(1, -(-queries.count() // (MAX_BATCH * GROUP_BATCHES)))
+    piece_no = F.pmod(F.xxhash64("query_id"), F.lit(pieces))
     id_type = queries.schema["query_id"].dataType
-    out = []
     for piece in range(pieces):
-        part = queries if pieces == 1 else queries.filter(batch_no == piece)
+        part = queries if pieces == 1 else queries.filter(piece_no == piece)
         rows = part.orderBy("query_id").toArrow()
         if rows.num_rows:
-            out.append(_batch(rows, id_type))
-    return out
+            yield [_batch(rows.slice(at, MAX_BATCH), id_type) for at in range(0, rows.num_rows, MAX_BATCH)]
 
 
 def _batch(rows: pa.Table, id_type: T.DataType) -> QueryBatch:
@@ -86,11 +88,9 @@ def _slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def lexical_block(tokens: pa.ListArray, qb: QueryBatch) -> np.ndarray:
-    """BM25 of every span of the block for every query; terms add up in sorted order."""
+def _lexical_terms(tokens: pa.ListArray, qb: QueryBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, weight) of every query term in every span of the block, terms in sorted order."""
     n, q, v = len(tokens), len(qb.ids), len(qb.terms)
-    if not v:
-        return np.zeros((n, q))
     lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
     found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(qb.terms)), -1)
     term = found.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -104,7 +104,27 @@ def lexical_block(tokens: pa.ListArray, qb: QueryBatch) -> np.ndarray:
     rep = np.repeat(np.arange(len(t)), fan)
     within = np.arange(len(rep)) - np.repeat(np.cumsum(fan) - fan, fan)
     query = qb.term_query[qb.term_start[t[rep]] + within]
-    return np.bincount(d[rep] * q + query, weights=weight[rep], minlength=n * q).reshape(n, q)
+    return d[rep] * q + query, weight[rep]
+
+
+def lexical_block(tokens: pa.ListArray, qb: QueryBatch) -> np.ndarray:
+    """BM25 of every span of the block for every query."""
+    n, q = len(tokens), len(qb.ids)
+    if not qb.terms:
+        return np.zeros((n, q))
+    cell, weight = _lexical_terms(tokens, qb)
+    return np.bincount(cell, weights=weight, minlength=n * q).reshape(n, q)
+
+
+def lexical_pairs(tokens: pa.ListArray, qb: QueryBatch, row: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """BM25 of the given (row, query) pairs, which are in ascending order."""
+    if not qb.terms or not len(row):
+        return np.zeros(len(row))
+    cell, weight = _lexical_terms(tokens, qb)
+    wanted = row * len(qb.ids) + query
+    at = np.minimum(np.searchsorted(wanted, cell), len(wanted) - 1)
+    hit = wanted[at] == cell
+    return np.bincount(at[hit], weights=weight[hit], minlength=len(wanted))
 
 
 def dense_block(batch: pa.RecordBatch, qb: QueryBatch) -> np.ndarray:
@@ -145,28 +165,31 @@ def hybrid_block(lexical: np.ndarray, dense: np.ndarray, qb: QueryBatch,
 # ---- task functions ---------------------------------------------------------------
 
 
-def extremes(index: DataFrame, qb: QueryBatch) -> DataFrame:
-    """Per query the minimum and maximum of both scores over all spans."""
+def extremes(index: DataFrame, group: list[QueryBatch]) -> DataFrame:
+    """Per batch ``b`` and query ``q`` the minimum and maximum of both scores over all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = high = None
+        low: dict[int, np.ndarray] = {}
+        high: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in _slices(batch, qb.rows_per_block()):
-                pair = np.stack(_both(part, qb), axis=2)
-                lo, hi = pair.min(axis=0), pair.max(axis=0)
-                low = lo if low is None else np.minimum(low, lo)
-                high = hi if high is None else np.maximum(high, hi)
-        if low is not None:
-            q = pa.array(range(len(qb.ids)), pa.int32())
+            for b, qb in enumerate(group):
+                for part in _slices(batch, qb.rows_per_block()):
+                    pair = np.stack(_both(part, qb), axis=2)
+                    lo, hi = pair.min(axis=0), pair.max(axis=0)
+                    low[b] = np.minimum(low[b], lo) if b in low else lo
+                    high[b] = np.maximum(high[b], hi) if b in high else hi
+        for b in low:
+            q = pa.array(range(len(low[b])), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [q, *(pa.array(x) for x in (low[:, 0], high[:, 0], low[:, 1], high[:, 1]))],
-                ["q", "lexical_low", "lexical_high", "dense_low", "dense_high"],
+                [pa.array(np.full(len(low[b]), b, dtype=np.int32)), q,
+                 *(pa.array(x) for x in (low[b][:, 0], high[b][:, 0], low[b][:, 1], high[b][:, 1]))],
+                ["b", "q", "lexical_low", "lexical_high", "dense_low", "dense_high"],
             )
 
     partial = index.mapInArrow(
-        run, "q int, lexical_low double, lexical_high double, dense_low double, dense_high double"
+        run, "b int, q int, lexical_low double, lexical_high double, dense_low double, dense_high double"
     )
-    return partial.groupBy("q").agg(
+    return partial.groupBy("b", "q").agg(
         F.min("lexical_low").alias("lexical_low"), F.max("lexical_high").alias("lexical_high"),
         F.min("dense_low").alias("dense_low"), F.max("dense_high").alias("dense_high"),
     )
@@ -196,8 +219,7 @@ def _best(table: pa.Table, k: int) -> pa.Table:
     return table.filter(pa.array(np.arange(len(q)) - first < k))
 
 
-def _cells(part: pa.RecordBatch, qb: QueryBatch, weights, score: str,
-           keep) -> pa.Table:
+def _cells(part: pa.RecordBatch, qb: QueryBatch, weights, score: str, keep) -> pa.Table:
     lexical, dense = _both(part, qb)
     hybrid = hybrid_block(lexical, dense, qb, weights) if qb.low is not None else dense
     ranked = {"hybrid": hybrid, "dense": dense, "lexical": lexical}[score]
@@ -211,63 +233,90 @@ def _cells(part: pa.RecordBatch, qb: QueryBatch, weights, score: str,
     })
 
 
-def top_k(index: DataFrame, qb: QueryBatch, k: int, score: str = "hybrid",
+def top_k(index: DataFrame, group: list[QueryBatch], k: int, score: str = "hybrid",
           weights: tuple[float, float] = (scores.LEXICAL_WEIGHT, scores.DENSE_WEIGHT)) -> DataFrame:
     """Per task the best ``k`` spans of every query; the caller ranks across tasks.
 
     The running k-th best score of each query discards most cells of later blocks.
     Ties on the rounded score are kept by source id, so the cut is exact.
     """
-    schema = _out_schema(index, qb)
+    schema = _out_schema(index, group[0])
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        floor = np.full(len(qb.ids), -np.inf)
+        best: list[pa.Table | None] = [None] * len(group)
+        floors = [np.full(len(qb.ids), -np.inf) for qb in group]
         for batch in batches:
-            for part in _slices(batch, qb.rows_per_block()):
-                found = _cells(part, qb, weights, score, lambda key: np.nonzero(key >= floor))
-                best = _best(found if best is None else pa.concat_tables([best, found]), k)
-                q, key = best["q"].to_numpy(), best["key"].to_numpy()
-                last = np.searchsorted(q, np.arange(len(qb.ids)), side="right") - 1
-                full = np.bincount(q, minlength=len(qb.ids)) >= k
-                floor = np.where(full, key[np.maximum(last, 0)], -np.inf)
-        if best is not None:
-            yield from _emit(best, qb, arrow)
+            for b, qb in enumerate(group):
+                for part in _slices(batch, qb.rows_per_block()):
+                    found = _cells(part, qb, weights, score, lambda key: np.nonzero(key >= floors[b]))
+                    best[b] = _best(found if best[b] is None else pa.concat_tables([best[b], found]), k)
+                    q, key = best[b]["q"].to_numpy(), best[b]["key"].to_numpy()
+                    last = np.searchsorted(q, np.arange(len(qb.ids)), side="right") - 1
+                    full = np.bincount(q, minlength=len(qb.ids)) >= k
+                    floors[b] = np.where(full, key[np.maximum(last, 0)], -np.inf)
+        for table, qb in zip(best, group):
+            if table is not None:
+                yield from _emit(table, qb, arrow)
 
     return index.mapInArrow(run, schema)
 
 
-def chosen_pairs(index: DataFrame, qb: QueryBatch, pairs: DataFrame,
+def chosen_pairs(index: DataFrame, group: list[QueryBatch], pairs: DataFrame,
                  weights: tuple[float, float] = (scores.LEXICAL_WEIGHT, scores.DENSE_WEIGHT)) -> DataFrame:
-    """Scores of the given (query_id, source_id) pairs only.
+    """Scores of the given (query_id, source_id) pairs only, in one pass for the whole group.
 
-    The queries wanted for a span are collected per span; a batch bounds that list.
+    The queries wanted for a span are collected per span; a group bounds that list. Spans that no query
+    wants are cut by their ids before the pairs are joined.
     """
     numbers = pairs.sparkSession.createDataFrame(
-        [(query_id, q) for q, query_id in enumerate(qb.ids)],
-        T.StructType([T.StructField("query_id", qb.id_type), T.StructField("q", T.IntegerType())]),
+        [(query_id, b, q) for b, qb in enumerate(group) for q, query_id in enumerate(qb.ids)],
+        T.StructType([T.StructField("query_id", group[0].id_type), T.StructField("b", T.IntegerType()), T.StructField("q", T.IntegerType())]),
     )
     wanted = (
         pairs.join(F.broadcast(numbers), "query_id")
-        .groupBy("source_id").agg(F.collect_set("q").alias("wanted"))
+        .groupBy("source_id").agg(F.array_sort(F.collect_set(F.struct("b", "q"))).alias("wanted"))
     )
-    schema = _out_schema(index, qb)
+    schema = _out_schema(index, group[0])
     arrow = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, qb.rows_per_block()):
-                lists = part.column("wanted")
-                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(part.num_rows), sizes)
-                q = lists.flatten().to_numpy(zero_copy_only=False)
-                table = _cells(part, qb, weights, "hybrid", lambda key: (row, q))
-                yield from _emit(table, qb, arrow)
+            lists = batch.column("wanted")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            flat = lists.flatten()
+            of_batch, query = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            for b in np.unique(of_batch):
+                mine = of_batch == b
+                yield from _emit(_pairs(batch, group[b], row[mine], query[mine], weights), group[b], arrow)
 
     return index.join(wanted, "source_id").mapInArrow(run, schema)
 
 
+def _pairs(part: pa.RecordBatch, qb: QueryBatch, row: np.ndarray, q: np.ndarray, weights: tuple[float, float]) -> pa.Table:
+    """Scores of (row, q) pairs in ascending order; no other cell is computed."""
+    names = part.schema.names
+    lexical = lexical_pairs(part.column("tokens"), qb, row, q) if "tokens" in names else np.zeros(len(row))
+    dense = np.zeros(len(row))
+    if "vec" in names and qb.vectors.shape[1]:
+        flat = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        dense = np.einsum("ij,ij->i", flat.reshape(part.num_rows, -1)[row], qb.vectors[q])
+        if "norm" in names:
+            dense = dense / (part.column("norm").to_numpy(zero_copy_only=False)[row] * qb.norms[q])
+    hybrid = np.zeros(len(row))
+    for i, (values, weight) in enumerate(zip((lexical, dense), weights)):
+        lo, hi = qb.low[q, i], qb.high[q, i]
+        flat_range = np.abs(hi - lo) <= 1e-9 * np.maximum(np.abs(lo), np.abs(hi))
+        scaled = np.where(flat_range, np.where(hi > 0, 1.0, 0.0), (values - lo) / np.where(flat_range, 1.0, hi - lo))
+        hybrid += weight * scaled
+    return pa.table({
+        "q": pa.array(q.astype(np.int32)), "key": pa.array(np.round(hybrid, scores.RANK_DECIMALS)),
+        "source_id": part.column("source_id").take(pa.array(row)),
+        "bm25_score": pa.array(lexical), "embedding_score": pa.array(dense), "hybrid_score": pa.array(hybrid),
+    })
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -15,6 +15,7 @@ from docketry.functions import scores
 from docketry.functions.fingerprints import table_fingerprint
 from docketry.functions.rows import explode_rows
 from docketry.operators import blocks
+from docketry.session import materialise
 
 HASH_DIM = 384
 MAX_INPUT_BYTES = 2_000
@@ -219,7 +220,10 @@ def dot_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Spans are scored where they lie; each task keeps its own best ``k`` per query, so
     the shuffle carries k rows per query and task and never every pair.
     """
-    local = [blocks.top_k(vectors, qb, k, "dense") for qb in blocks.query_batches(queries)]
+    local = [blocks.top_k(vectors, group, k, "dense") for group in blocks.query_groups(materialise(queries, "queries"))]
+    if not local:
+        kinds = dict(vectors.dtypes)["source_id"], dict(queries.dtypes)["query_id"]
+        return vectors.sparkSession.createDataFrame([], "query_id {1}, source_id {0}, score double, rank int".format(*kinds))
     best = reduce(DataFrame.unionByName, local).select(
         "query_id", "source_id", F.col("embedding_score").alias("score")
     )

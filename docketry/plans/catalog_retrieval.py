@@ -193,8 +193,8 @@ def hybrid_fusion(spark, sf):
     """Hybrid score of each query's ten best lexical matches, scored pair by pair."""
     forward = document_forward(spark, sf)
     best = retrieve.ranked(_matches(spark, sf)[0], ["bm25_score"], scores.FINAL_K).select(*retrieve.PAIR)
-    parts = [blocks.chosen_pairs(forward, b, best) for b in retrieval.scored_batches(forward, benchmark_queries(spark, sf))]
-    return reduce(DataFrame.unionByName, parts).select(
+    found = retrieval.per_group(forward, benchmark_queries(spark, sf), lambda group: blocks.chosen_pairs(forward, group, best))
+    return found.select(
         *retrieve.PAIR, *[F.bround(c, 6).alias(c) for c in ("bm25_score", "embedding_score", "hybrid_score")])
 
 
@@ -202,8 +202,8 @@ def hybrid_fusion(spark, sf):
  round_even(dense, 6) AS embedding_score, round_even(hybrid, 6) AS hybrid_score FROM broad""")
 def broad_topk(spark, sf):
     forward = document_forward(spark, sf)
-    batches = retrieval.scored_batches(forward, benchmark_queries(spark, sf))
-    return retrieval.broad_candidates(forward, batches).select(
+    found = retrieval.per_group(forward, benchmark_queries(spark, sf), lambda group: retrieval.broad_candidates(forward, group))
+    return found.select(
         *retrieve.PAIR, "broad_rank", *[F.bround(c, 6).alias(c) for c in ("bm25_score", "embedding_score", "hybrid_score")])
 
 

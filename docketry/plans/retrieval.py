@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketry.functions import scores, text
 from docketry.functions.rows import explode_rows
 from docketry.operators import blocks, index, retrieve, vectors
-from docketry.session import materialise
+from docketry.session import materialise, scratch
 
 
 @dataclass
@@ -54,64 +55,80 @@ def query_table(queries: DataFrame, dim: int = vectors.HASH_DIM) -> DataFrame:
     return vectors.hash_embed(tokens, dim)
 
 
-def attach_corpus(forward: DataFrame, batch: blocks.QueryBatch) -> blocks.QueryBatch:
-    """Fill a batch with document frequencies, corpus figures and score extremes.
+def scored_groups(forward: DataFrame, queries: DataFrame) -> Iterator[list[blocks.QueryBatch]]:
+    """Groups of query batches with document frequencies, corpus figures and score extremes.
 
-    Everything fetched here is bounded by the batch: one row per query term, one per
-    query, one for the corpus.
+    Corpus figures and the frequencies of all query terms are computed once, in two narrow scans, whatever
+    the number of queries; the extremes of a group need one scan. What a group fetches is
+    bounded by it: a row per query term and two per query.
     """
+    table = materialise(query_table(queries), "queries")
     tokens = forward.select("source_id", "tokens")
     stats = index.corpus_stats(tokens).first()
-    spark = forward.sparkSession
-    vocabulary = spark.createDataFrame([(t,) for t in batch.terms], "token string")
-    df = {
-        row.token: row.df for row in
-        explode_rows(tokens, F.array_distinct("tokens"), "token")
-        .join(F.broadcast(vocabulary), "token", "left_semi")
-        .groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()
-    }
-    found = np.array([df.get(t, 0) for t in batch.terms], dtype=np.float64)
-    batch.idf = np.log(1.0 + (stats.n - found + 0.5) / (found + 0.5))
-    batch.avg_length = stats.avg_length
-    low, high = np.zeros((len(batch.ids), 2)), np.zeros((len(batch.ids), 2))
-    for row in blocks.extremes(forward, batch).collect():
-        low[row.q] = row.lexical_low, row.dense_low
-        high[row.q] = row.lexical_high, row.dense_high
-    batch.low, batch.high = low, high
-    return batch
-
-
-def scored_batches(forward: DataFrame, queries: DataFrame) -> list[blocks.QueryBatch]:
-    return [attach_corpus(forward, b) for b in blocks.query_batches(query_table(queries))]
-
-
-def broad_candidates(forward: DataFrame, batches: list[blocks.QueryBatch]) -> DataFrame:
-    local = [blocks.top_k(forward, b, scores.BROAD_K) for b in batches]
-    return retrieve.broad(reduce(DataFrame.unionByName, local))
+    terms = table.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
+    frequencies = materialise(
+        explode_rows(tokens, F.array_distinct("tokens"), "token").join(terms, "token", "left_semi")
+        .groupBy("token").agg(F.count(F.lit(1)).alias("df")), "term-frequencies",
+    )
+    for group in blocks.query_groups(table):
+        ids = table.sparkSession.createDataFrame([(t,) for t in sorted({t for b in group for t in b.terms})], "token string")
+        df = {row.token: row.df for row in frequencies.join(ids, "token", "left_semi").collect()}
+        for batch in group:
+            found = np.array([df.get(t, 0) for t in batch.terms], dtype=np.float64)
+            batch.idf = np.log(1.0 + (stats.n - found + 0.5) / (found + 0.5))
+            batch.avg_length = stats.avg_length
+            batch_size = (len(batch.ids), 2)
+            batch.low, batch.high = np.zeros(batch_size), np.zeros(batch_size)
+        for row in blocks.extremes(forward, group).collect():
+            group[row.b].low[row.q] = row.lexical_low, row.dense_low
+            group[row.b].high[row.q] = row.lexical_high, row.dense_high
+        yield group
+
+
+def broad_candidates(forward: DataFrame, group: list[blocks.QueryBatch]) -> DataFrame:
+    return retrieve.broad(blocks.top_k(forward, group, scores.BROAD_K))
+
+
+def per_group(forward: DataFrame, queries: DataFrame, job: Callable[[list[blocks.QueryBatch]], DataFrame]) -> DataFrame | None:
+    """Results of ``job`` for every group of queries, stored group by group; None without queries."""
+    path, schema = scratch(forward.sparkSession, "groups"), None
+    for group in scored_groups(forward, queries):
+        part = job(group)
+        schema = part.schema
+        part.write.mode("append").parquet(path)
+    return None if schema is None else forward.sparkSession.read.schema(schema).parquet(path)
 
 
 def retrieve_all(corpus: SpanIndex, queries: DataFrame, query_ids: DataFrame) -> Retrieval:
     """Broad cut, one-hop expansion, final order and seals.
 
-    ``queries``: query_id, query_text. ``query_ids``: query_id, identifier.
+    ``queries``: query_id, query_text. ``query_ids``: query_id, identifier. A group of some thousand queries
+    goes through all stages together; spans are read twice per group and never shuffled for scoring.
     """
-    batches = scored_batches(corpus.forward, queries)
     n = corpus.forward.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # The broad cut (40 rows per query) feeds four branches; compute it once.
-    broad = materialise(broad_candidates(corpus.forward, batches), "broad")
-    in_broad = corpus.links.join(broad.select("source_id").distinct(), "source_id", "left_semi")
-    hops = materialise(retrieve.merge_hops(
-        retrieve.named_hops(query_ids), retrieve.seed_hops(broad, index.seed_identifiers(in_broad))
-    ), "hops")
-    relation = materialise(retrieve.relation_scores(retrieve.edges(hops, corpus.links, n)), "relation")
-    shortlist = materialise(retrieve.relation_shortlist(relation, broad), "shortlist")
-    hybrid = reduce(
-        DataFrame.unionByName,
-        [blocks.chosen_pairs(corpus.forward, b, shortlist.select(*retrieve.PAIR)) for b in batches],
-    )
-    only = retrieve.relation_only(shortlist.join(hybrid, retrieve.PAIR))
-    pool = materialise(retrieve.final_order(retrieve.expanded_pool(broad, only, relation)), "pool")
-    named = retrieve.relation_identifiers(pool, corpus.links, hops)
-    rows = pool.join(named, retrieve.PAIR, "left")
-    ordered = materialise(corpus.spans.join(rows, "source_id"), "ordered")
+
+    def job(group: list[blocks.QueryBatch]) -> DataFrame:
+        ids = [(i,) for b in group for i in b.ids]
+        kind = T.StructType([T.StructField("query_id", group[0].id_type)])
+        mine = query_ids.join(corpus.forward.sparkSession.createDataFrame(ids, kind), "query_id", "left_semi")
+        # The broad cut (40 rows per query) feeds four branches; compute it once.
+        broad = materialise(broad_candidates(corpus.forward, group), "broad")
+        in_broad = corpus.links.join(broad.select("source_id").distinct(), "source_id", "left_semi")
+        hops = materialise(retrieve.merge_hops(
+            retrieve.named_hops(mine), retrieve.seed_hops(broad, index.seed_identifiers(in_broad))
+        ), "hops")
+        relation = materialise(retrieve.relation_scores(retrieve.edges(hops, corpus.links, n)), "relation")
+        shortlist = materialise(retrieve.relation_shortlist(relation, broad), "shortlist")
+        hybrid = blocks.chosen_pairs(corpus.forward, group, shortlist.select(*retrieve.PAIR))
+        only = retrieve.relation_only(shortlist.join(hybrid, retrieve.PAIR))
+        pool = materialise(retrieve.final_order(retrieve.expanded_pool(broad, only, relation)), "pool")
+        named = retrieve.relation_identifiers(pool, corpus.links, hops)
+        rows = pool.join(named, retrieve.PAIR, "left")
+        return corpus.spans.join(rows, "source_id")
+
+    ordered = per_group(corpus.forward, queries, job)
+    if ordered is None:
+        raise ValueError("no queries")
+    columns = [*retrieve.PAIR, "bm25_score", "embedding_score", "hybrid_score", "broad_rank"]
+    broad = ordered.filter(F.col("broad_rank").isNotNull()).select(*columns)
     return Retrieval(broad, ordered, retrieve.retrieval_summary(ordered, n))

@@ -13,11 +13,11 @@ from docketry import schemas
 from docketry.functions.rows import explode_rows
 from docketry.operators import intake, review
 from docketry.plans.retrieval import SpanIndex, retrieve_all
-from docketry.session import materialise
+from docketry.session import mark, materialise, release
 
 
-def review_batch(incoming: DataFrame, corpus: SpanIndex, live_outcome: str = "no_review") -> tuple[DataFrame, DataFrame]:
-    """(projected results, rejected requests) for one set of raw incoming artifacts.
+def review_batch(incoming: DataFrame, corpus: SpanIndex, live_outcome: str = "no_review") -> tuple[DataFrame | None, DataFrame]:
+    """(projected results, rejected requests) for one set of raw incoming artifacts; no results if all are rejected.
 
     ``corpus.spans`` carries content, start_line and end_line. No output holds the
     incoming text.
@@ -25,6 +25,8 @@ def review_batch(incoming: DataFrame, corpus: SpanIndex, live_outcome: str = "no
     checked = intake.normalise_incoming(incoming)
     rejected = checked.filter(F.size("violations") > 0).select("query_id", "violations")
     queries = intake.process_queries(checked.filter(F.size("violations") == 0))
+    if queries.isEmpty():
+        return None, rejected
     ids = explode_rows(queries, "extracted_identifiers", "identifier", "query_id")
     found = retrieve_all(corpus, queries.select("query_id", "query_text"), ids)
     docket = found.docket
@@ -52,9 +54,12 @@ def run_reviews(requests: DataFrame, outbox: str, checkpoint: str, corpus: SpanI
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        first = mark()
         shown, rejected = review_batch(batch, corpus, live_outcome)
-        shown.write.mode("overwrite").parquet(f"{outbox}/results/batch={batch_id}")
+        if shown is not None:
+            shown.write.mode("overwrite").parquet(f"{outbox}/results/batch={batch_id}")
         rejected.write.mode("overwrite").parquet(f"{outbox}/rejected/batch={batch_id}")
+        release(batch.sparkSession, first)
 
     return (
         requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

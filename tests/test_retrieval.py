@@ -69,7 +69,7 @@ def test_partitioning_and_batching_do_not_change_seals(spark, corpus, monkeypatc
     before = spark.conf.get("spark.sql.shuffle.partitions")
     monkeypatch.setattr(blocks, "MAX_BATCH", 2)
     monkeypatch.setattr(blocks, "BLOCK_CELLS", 30)
-    monkeypatch.setattr(blocks.query_batches, "__defaults__", (2,))
+    monkeypatch.setattr(blocks, "GROUP_BATCHES", 1)
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         assert sorted(run(spark, corpus, monkeypatch).summary.collect()) == first
