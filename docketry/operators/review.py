@@ -410,13 +410,16 @@ def decision_log(results: DataFrame) -> DataFrame:
 
 
 def docket_summary(results: DataFrame) -> DataFrame:
-    """Per query: verified rows, withheld claims and the row to open first."""
+    """Per query: verified rows, withheld rows with their claims and stages, and the row to open first."""
     priority = F.when(F.col("status") == "VERIFIED_REVIEW", 0).when(F.col("status") == "BLOCKED", 1).otherwise(2)
     return results.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("docket_size"),
         F.count_if(F.col("status") == "VERIFIED_REVIEW").alias("verified_count"),
         F.sum("blocked_count").alias("blocked_count"),
         F.count_if(F.col("blocked_count") > 0).alias("withheld_rows"),
+        # A docket has at most ten rows, which bounds the list.
+        F.array_sort(F.collect_list(F.when(
+            F.col("blocked_count") > 0, F.struct("rank", "source_id", "blocked_count", "blocked_stages")))).alias("withheld"),
         F.min_by("source_id", F.struct(priority, "rank")).alias("preferred_source_id"),
     )
 

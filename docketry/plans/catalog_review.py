@@ -8,6 +8,8 @@ decision. Repeated, off-docket and failing rows come from fixed properties of do
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -231,6 +233,29 @@ def rule_decisions(spark, sf):
                        claim["evidence_start_line"].alias("line"), F.sha2(claim["evidence_exact_text"], 256).alias("evidence_sha256"))
 
 
+@query(f"""WITH {_F0}, o AS (SELECT unnest(['review', 'inconclusive', 'rejected', 'inject']) AS outcome), bad AS (SELECT min(rank) AS r FROM lb WHERE query_id = 3 AND quality IS DISTINCT FROM 1),
+ d AS (SELECT outcome, query_id, source_id, opening, opening_line, outcome = 'inject' AND query_id = 3 AND rank = r AND quality IS DISTINCT FROM 1 AS bad,
+ CASE WHEN outcome = 'inject' THEN coalesce(quality = 1, false) OR (query_id = 3 AND rank = r AND quality IS DISTINCT FROM 1) ELSE rank = 1 AND outcome <> 'inconclusive' END AS yes,
+ rank = 1 AND outcome = 'inconclusive' AS unsure FROM lb, o, bad)
+ SELECT outcome, query_id, source_id, CASE WHEN unsure THEN 'INSUFFICIENT_EVIDENCE' WHEN yes THEN 'REVIEW' ELSE 'NO_REVIEW' END AS decision,
+ CASE WHEN yes THEN sha256(CASE WHEN bad THEN '{review.BAD_EVIDENCE}' ELSE opening END) END AS evidence_sha256, CASE WHEN yes THEN opening_line END AS line FROM d""")
+def rule_outcomes(spark, sf):
+    """Decisions without gold for every live outcome, and with one injected bad claim."""
+    rows = labelled(spark, sf)
+    none = rows.select("query_id", "source_id").limit(0)
+
+    def evidence(targets):
+        return targets.select("*", F.lit(None).cast("string").alias("expected_evidence"), F.lit(None).cast("string").alias("expected_impact"))
+
+    targets = rows.filter("quality = 1").select("query_id", "source_id")
+    made = {o: review.rule_decisions(docket(rows), none, evidence(none), live=True, live_outcome=o) for o in ("review", "inconclusive", "rejected")}
+    made["inject"] = review.rule_decisions(docket(rows), targets, evidence(targets), inject_query=3)
+    claim = F.get("claims", F.lit(0))
+    return reduce(DataFrame.unionByName, [df.select(
+        F.lit(name).alias("outcome"), "query_id", "source_id", "decision", F.sha2(claim["evidence_exact_text"], 256).alias("evidence_sha256"),
+        claim["evidence_start_line"].alias("line")) for name, df in made.items()])
+
+
 @query(f"WITH {_F1} SELECT query_id, claim_id, verdict_count, verdict_stage, verdict FROM eff")
 def verdict_cardinality(spark, sf):
     return Case(spark, sf).effective().select("query_id", "claim_id", "verdict_count", "verdict_stage", "verdict")
@@ -283,23 +308,28 @@ def retrieval_hit(spark, sf):
 @query(f"""WITH {_F2} SELECT query_id, source_id, rank, CASE WHEN status IN ('VERIFIED_REVIEW', 'NO_REVIEW', 'INSUFFICIENT_EVIDENCE') THEN status ELSE 'REJECTED_UNSUPPORTED' END AS status,
  CASE WHEN status = 'VERIFIED_REVIEW' THEN sha256(first_evidence) END AS evidence_sha256, CASE WHEN status = 'VERIFIED_REVIEW' THEN 'claim' WHEN status = 'NO_REVIEW' THEN '{review.REASON_NO_REVIEW}'
  WHEN status = 'INSUFFICIENT_EVIDENCE' THEN '{review.REASON_INSUFFICIENT}' ELSE '{review.REASON_WITHHELD}' END AS short_reason,
+ CASE WHEN status = 'VERIFIED_REVIEW' THEN 'because SUPPORTED' END AS verifier_reason,
  CASE WHEN status NOT IN ('VERIFIED_REVIEW', 'NO_REVIEW', 'INSUFFICIENT_EVIDENCE') THEN coalesce(blocked_stages[1], 'independent_verifier_rejected') END AS blocked_stage FROM res""")
 def legacy_projection(spark, sf):
     shown = review.legacy_projection(Case(spark, sf).resolved()[0])
-    return shown.select("query_id", "source_id", "rank", "status", F.sha2("evidence", 256).alias("evidence_sha256"), "short_reason", "blocked_stage")
+    return shown.select("query_id", "source_id", "rank", "status", F.sha2("evidence", 256).alias("evidence_sha256"), "short_reason", "verifier_reason", "blocked_stage")
 
 
-@query(f"""WITH {_F2} SELECT 'decision_recorded' AS event, query_id AS case_id, source_id, NULL AS claim_id, status AS decision,
+@query(f"""WITH {_F2} SELECT 'decision_recorded' AS event, query_id AS case_id, '{review.VERIFIER}' AS role, source_id, NULL AS claim_id, status AS decision,
  CASE WHEN nv > 0 THEN 'SUPPORTED' ELSE verdicts[1] END AS verifier_verdict, blocked_stages[1] AS blocked_stage FROM res
- UNION ALL SELECT 'verified_claim_recorded', query_id, source_id, claim_id, NULL, 'SUPPORTED', NULL FROM eff WHERE verdict = 'SUPPORTED'""")
+ UNION ALL SELECT 'verified_claim_recorded', query_id, NULL, source_id, claim_id, NULL, 'SUPPORTED', NULL FROM eff WHERE verdict = 'SUPPORTED'""")
 def decision_log(spark, sf):
-    return review.decision_log(Case(spark, sf).resolved()[0]).drop("role")
+    return review.decision_log(Case(spark, sf).resolved()[0])
 
 
 @query(f"""WITH {_F2} SELECT query_id, count(*)::BIGINT AS docket_size, count(*) FILTER (WHERE status = 'VERIFIED_REVIEW')::BIGINT AS verified_count, sum(blocked_count)::BIGINT AS blocked_count,
- count(*) FILTER (WHERE blocked_count > 0)::BIGINT AS withheld_rows, arg_min(source_id, (CASE status WHEN 'VERIFIED_REVIEW' THEN 0 WHEN 'BLOCKED' THEN 1 ELSE 2 END, rank)) AS preferred_source_id FROM res GROUP BY query_id""")
+ count(*) FILTER (WHERE blocked_count > 0)::BIGINT AS withheld_rows, arg_min(source_id, (CASE status WHEN 'VERIFIED_REVIEW' THEN 0 WHEN 'BLOCKED' THEN 1 ELSE 2 END, rank)) AS preferred_source_id,
+ coalesce(string_agg(rank || ':' || source_id || ':' || blocked_count || ':' || array_to_string(blocked_stages, '+'), ' ' ORDER BY rank) FILTER (WHERE blocked_count > 0), '') AS withheld FROM res GROUP BY query_id""")
 def docket_summary(spark, sf):
-    return review.docket_summary(Case(spark, sf).resolved()[0])
+    found = review.docket_summary(Case(spark, sf).resolved()[0])
+    shown = F.transform("withheld", lambda w: F.concat_ws(
+        ":", w["rank"], w["source_id"], w["blocked_count"], F.array_join(w["blocked_stages"], "+")))
+    return found.withColumn("withheld", F.array_join(shown, " "))
 
 
 # ---- metrics ----------------------------------------------------------------------
