@@ -9,12 +9,13 @@ from docketry import schemas
 from docketry.functions import scores, text
 from docketry.functions.rows import explode_rows
 from docketry.operators import audit, compare, index, metrics, retrieve, review
+from docketry.plans import catalog_retrieval, catalog_text
 from docketry.plans import catalog_review as standin
 from docketry.plans import fragments as sql
 from docketry.plans import retrieval
 from docketry.plans.catalog_review import _E0, _F2, _H0, NO_SUCH
 from docketry.plans.catalog_text import documents
-from docketry.session import scratch, table
+from docketry.session import materialise, scratch, table
 from docketry.streaming import live
 
 QUERIES: dict = {}
@@ -328,14 +329,64 @@ def log_completeness(spark, sf):
     return audit.log_completeness(events, expected, "signup", "click", "purchase")
 
 
-@query("""SELECT 'copies' AS "check", (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1))::BIGINT AS violations
- UNION ALL SELECT 'customers', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
- UNION ALL SELECT 'files', (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE toxic = 1) + (SELECT count(*) FROM labels JOIN documents USING (doc_id))""")
+# Audits of the suite: files, provenance, manifest, ids, gold, references, stored indexes.
+_SUITE = (
+    "freeze_audit", "provenance_audit", "prompt_audit", "sealed_file_audit", "dup_keys", "gold_target_audit", "ref_audit", "case_references",
+    "gold_span_audit", "stored_vector_audit", "index_audit",
+)
+
+
+@query("""WITH m AS (SELECT doc_id AS role, CASE WHEN toxic = 1 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM labels JOIN documents USING (doc_id)),
+ i AS (SELECT doc_id AS role, CASE WHEN lang = 'es' THEN '' ELSE text END AS t FROM documents WHERE lang <> 'de'), j AS (SELECT role, h, t, coalesce(length(t) = 0, true) AS blank FROM m FULL JOIN i USING (role))
+ SELECT role, unnest(list_filter([CASE WHEN h IS NULL THEN 'role_set' END, CASE WHEN blank THEN 'missing_instruction' END, CASE WHEN NOT blank AND h IS NOT NULL AND h <> sha256(t) THEN 'sha256' END],
+ lambda x: x IS NOT NULL)) AS violation FROM j""")
+def prompt_audit(spark, sf):
+    """Documents as role instructions; labelled ones are listed, some with a wrong hash."""
+    docs = documents(spark, sf, "doc_id", "text", "lang")
+    listed = table(spark, sf, "labels", "doc_id", "toxic").join(docs, "doc_id").select(
+        F.col("doc_id").alias("role"), F.sha2(F.when(F.col("toxic") == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"))
+    given = docs.filter("lang <> 'de'").select(F.col("doc_id").alias("role"), F.when(F.col("lang") == "es", "").otherwise(F.col("text")).alias("instruction"))
+    return audit.prompts(listed, given)
+
+
+@query("""SELECT path, unnest(list_filter([CASE WHEN found IS NULL OR quality = 0 THEN 'no_generation' END, CASE WHEN found IS NULL OR toxic = 1 THEN 'sha256' END], lambda x: x IS NOT NULL)) AS violation
+ FROM (SELECT l.doc_id AS path, quality, toxic, d.doc_id AS found FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang <> 'fr')""")
+def sealed_file_audit(spark, sf):
+    """Labelled documents as a manifest against the stored ones; some lack a generation, some have another content."""
+    labels = table(spark, sf, "labels", "doc_id", "quality", "toxic")
+    stored = labels.join(documents(spark, sf, "doc_id", "text", "lang").filter("lang <> 'fr'"), "doc_id").select(
+        F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, F.lit(1)).alias("generation"),
+        F.when(F.col("toxic") == 1, F.lit("other")).otherwise(F.col("doc_id").cast("string")).alias("sha256"))
+    return audit.seals(stored, labels.select(F.col("doc_id").alias("path"), F.col("doc_id").cast("string").alias("sha256")))
+
+
+def _suite_duck() -> str:
+    every = ORACLES | catalog_retrieval.ORACLES | catalog_text.ORACLES
+    return " UNION ALL ".join(f"""SELECT '{name}' AS "check", count(*)::BIGINT AS violations FROM ({every[name]})""" for name in _SUITE)
+
+
+@query(_suite_duck())
 def audit_suite(spark, sf):
-    return audit.suite_counts(
-        ("copies", dup_keys(spark, sf)), ("files", freeze_audit(spark, sf)),
-        ("customers", audit.references(table(spark, sf, "orders", "o_orderkey", "o_custkey"), ["o_orderkey"], "o_custkey",
-                                       table(spark, sf, "customer", "c_custkey"), "c_custkey", "unknown_customer")))
+    """Violations of every stored input and index, with zero for audits that pass."""
+    every = QUERIES | catalog_retrieval.QUERIES | catalog_text.QUERIES
+    return audit.suite_counts(*[(name, every[name](spark, sf)) for name in _SUITE])
+
+
+_STORED = ("eligible_targets", "broad_hits", "expanded_hits", "final_hits")
+
+
+@query(f"""WITH m AS (UNPIVOT (SELECT run_id, "group", {", ".join(_STORED)} FROM ({standin.ORACLES["hit_rates"]})) ON {", ".join(_STORED)} INTO NAME metric VALUE v)
+ SELECT run_id, "group" || '/' || metric AS metric, CASE WHEN metric = 'final_hits' THEN v + 1 END AS stored, v AS recomputed FROM m
+ WHERE (metric = 'final_hits' AND "group" = 'overall') OR (metric = 'broad_hits' AND "group" = 'clean')""")
+def stored_run_audit(spark, sf):
+    """Figures of all stored runs against those recomputed from their cases; overall final hits are falsified, one figure is missing."""
+    figures = metrics.evaluate(standin.Evaluation(spark, sf).hits(), metrics.hit_figures())
+    long = figures.select("run_id", "group", *_STORED).unpivot(["run_id", "group"], list(_STORED), "metric", "value").select(
+        "run_id", F.concat_ws("/", "group", "metric").alias("metric"), "value")
+    recomputed = materialise(long, "recomputed")
+    stored = recomputed.filter("metric <> 'clean/broad_hits'").withColumn(
+        "value", F.when(F.col("metric") == "overall/final_hits", F.col("value") + 1).otherwise(F.col("value")))
+    return audit.stored_metrics(stored, recomputed)
 
 
 # ---- incremental ------------------------------------------------------------------

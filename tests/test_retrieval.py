@@ -119,3 +119,29 @@ def test_hash_vectors_match_model(spark):
     for (i, ix), value in sparse.items():
         assert value == pytest.approx(dense[i][ix])
     assert len(sparse) == sum(v != 0 for row in dense.values() for v in row)
+
+
+def test_hot_identifier_is_split(spark):
+    """Nineteen of twenty hops name one identifier; adaptive execution divides it and the edges stay the same."""
+    hops = spark.range(200_000).select(
+        F.concat(F.lit("query number "), F.col("id")).alias("query_id"), F.lit(1.0).alias("strength"),
+        F.when(F.col("id") % 20 > 0, F.lit("hot")).otherwise(F.concat(F.lit("i"), F.col("id") % 4000)).alias("identifier")).repartition(8)
+    links = spark.range(4000).select(
+        F.col("id").alias("source_id"), F.when(F.col("id") < 3, F.lit("hot")).otherwise(F.concat(F.lit("i"), F.col("id"))).alias("identifier"),
+        F.lit(3).alias("df"))
+    want = hops.join(F.broadcast(links), "identifier").count()
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        edges = retrieve.edges(hops, links, F.lit(4000))
+        assert len(edges.collect()) == want
+        assert "skew=true" in edges._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
