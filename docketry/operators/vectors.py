@@ -142,6 +142,27 @@ def embed_cached(
     return keyed.join(known, "cache_key").drop("cache_key"), fresh
 
 
+def embed_stored(
+    texts: DataFrame, cache_path: str, provider: Callable[[list[str]], list[list[float]]], model: str, dim: int
+) -> DataFrame:
+    """Document texts with their vectors, through a cache kept under ``cache_path``.
+
+    Texts the cache lacks are embedded once and appended before anything is joined, so neither a later
+    reading of the result nor another run calls the provider for them again.
+    """
+    spark = texts.sparkSession
+    schema = "cache_key string, vec array<double>"
+    spark.createDataFrame([], schema).write.mode("append").parquet(cache_path)
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(cache_path)
+
+    fresh = embed_missing(embed_plan(texts, stored(), model, dim, "document"), provider)
+    materialise(fresh, "embedded").write.mode("append").parquet(cache_path)
+    keyed = texts.withColumn("cache_key", embed_key(model, dim, "document", F.col("text")))
+    return keyed.join(stored(), "cache_key").drop("cache_key")
+
+
 # ---- audits -----------------------------------------------------------------------
 
 

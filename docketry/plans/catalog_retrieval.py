@@ -59,6 +59,22 @@ def embed_cache_plan(spark, sf):
     return vectors.embed_plan(texts, cache, "hash-v1", 384, "document").select("cache_key", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _text_sizes(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(len(t.encode()))] for t in texts]
+
+
+@query("""SELECT doc_id, length(text)::DOUBLE AS chars, strlen(text)::DOUBLE AS bytes, 0::BIGINT AS missing_afterwards FROM documents""")
+def embed_through_cache(spark, sf):
+    """Labelled documents are embedded first, then all; a plan after that asks for nothing."""
+    path = scratch(spark, "embedding-cache")
+    docs = documents(spark, sf, "doc_id", "text")
+    labelled = docs.join(table(spark, sf, "labels", "doc_id").distinct(), "doc_id", "left_semi")
+    vectors.embed_stored(labelled, path, _text_sizes, "sizes", 2)
+    found = vectors.embed_stored(docs, path, _text_sizes, "sizes", 2)
+    left = vectors.embed_plan(docs, spark.read.parquet(path), "sizes", 2, "document").agg(F.count(F.lit(1))).scalar()
+    return found.select("doc_id", F.get("vec", F.lit(0)).alias("chars"), F.get("vec", F.lit(1)).alias("bytes"), left.alias("missing_afterwards"))
+
+
 @query("""WITH j AS (SELECT doc_id AS source_id, text, embedding AS v FROM documents LEFT JOIN embeddings ON vec_id = doc_id)
  SELECT source_id, unnest(list_filter([CASE WHEN strlen(text) > 2000 THEN 'input_too_long' END, CASE WHEN v IS NULL THEN 'missing_vector' END,
  CASE WHEN len(v) <> 64 THEN 'dimension_mismatch' END, CASE WHEN len(list_filter(v, lambda x: x IS NULL OR isnan(x))) > 0 THEN 'value_not_finite' END],

@@ -169,6 +169,16 @@ def corpus_type_counts(spark, sf):
     return chunking.type_counts(chunking.spans(text_files(spark, sf)))
 
 
+@query("""SELECT 'pkg/LICENSE-' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE doc_id % 7 = 0""")
+def license_inventory(spark, sf):
+    """License files of a tree; those of version control and other names are left out."""
+    number = F.col("doc_id").cast("string")
+    name = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("pkg/LICENSE-"), number)).when(
+        F.col("doc_id") % 7 == 1, F.concat(F.lit("pkg/.git/LICENSE"), number)).otherwise(F.concat(F.lit("LICENSE/readme"), number))
+    tree = documents(spark, sf, "doc_id", "text").select(name.alias("path"), F.col("text").cast("binary").alias("content"))
+    return corpus.license_files(tree)
+
+
 @query("""WITH r AS (SELECT o_orderkey AS position, o_orderdate AS k FROM orders),
  d AS (SELECT k FROM r GROUP BY k HAVING count(*) > 1)
  SELECT 'duplicate_id' AS violation, count(*)::BIGINT AS rows FROM d HAVING count(*) > 0
