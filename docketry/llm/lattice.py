@@ -4,7 +4,8 @@ Distinct words are cut out of all texts and counted before anything is shuffled.
 longest piece are exploded and joined to the piece table; the matches are the edges of the word's lattice. Edges
 are grouped by word and folded with Spark's ``aggregate``: a unigram model takes the best path (Viterbi); a merge model
 takes the best-scoring edge over two neighbouring segments, again and again, since the best path over merge
-ranks is not what such a model means. The encoded words are then handed to the texts they occur in.
+ranks is not what such a model means. The encoded words are then handed to the texts they occur in: a bounded number of the most
+frequent ones to all tasks, the others to the groups of texts that contain them.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ SPACE = "▁"
 SLICE = 64
 #: Longer words are folded with a heap in Arrow batches, for the fold on arrays takes quadratic time.
 LONG_WORD = 64
-#: Characters of text that are encoded together with the words they contain.
-GROUP_CHARS = 2_000_000
+#: Encoded words that every task gets; the others travel to the groups of texts they occur in.
+FREQUENT_WORDS = 100_000
+#: Characters of text that are put together with the words they contain.
+GROUP_CHARS = 4_000_000
 UNIGRAM, MERGES = 1, 2
 USER_DEFINED = 4
 
@@ -106,8 +109,9 @@ def load_model(path: str) -> Model:
 
 
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
-    """(piece, id, score); as many rows as the vocabulary has, whatever the data."""
-    return spark.createDataFrame([(p, i, s) for p, (i, s) in model.pieces.items()], "piece string, id int, score double")
+    """(piece, id, score) and a row for the empty string; as many rows as the model has pieces, whatever the data."""
+    rows = [(p, i, s) for p, (i, s) in model.pieces.items()]
+    return spark.createDataFrame([*rows, ("", -1, 0.0)], "piece string, id int, score double")
 
 
 def normalised(text: Column) -> Column:
@@ -119,19 +123,23 @@ def words(text: Column, model: Model) -> Column:
 
 
 def edges(vocabulary: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(word, start, size, id, score): pieces found in each word, from 0. ``table`` is bounded by the vocabulary of the model."""
+    """``vocabulary`` with start, size, id and score: pieces found in each word, from 0. ``table`` is bounded by the model.
+
+    Each word also has an edge of no size at 0, so that one without any piece is not lost.
+    """
+    keep = vocabulary.columns
     slices = vocabulary.select(
-        "word", F.length("word").alias("_n"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(SLICE))).alias("_from")
-    ).select("word", "_n", "_from", F.expr(f"substring(word, _from + 1, {SLICE + longest - 1})").alias("_slice"))
+        *keep, F.length("word").alias("_n"), F.explode(F.sequence(F.lit(0), F.length("word") - 1, F.lit(SLICE))).alias("_from")
+    ).select(*keep, "_n", "_from", F.expr(f"substring(word, _from + 1, {SLICE + longest - 1})").alias("_slice"))
     starts = slices.select(
-        "word", "_n", "_from", "_slice", F.explode(F.sequence(F.lit(0), F.least(F.lit(SLICE), F.col("_n") - F.col("_from")) - 1)).alias("_i")
+        *keep, "_n", "_from", "_slice", F.explode(F.sequence(F.lit(0), F.least(F.lit(SLICE), F.col("_n") - F.col("_from")) - 1)).alias("_i")
     )
     sizes = starts.select(
-        "word", "_from", "_slice", "_i",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("_n") - F.col("_from") - F.col("_i")))).alias("size"),
+        *keep, "_from", "_slice", "_i",
+        F.explode(F.sequence(F.when(F.col("_from") + F.col("_i") == 0, 0).otherwise(1), F.least(F.lit(longest), F.col("_n") - F.col("_from") - F.col("_i")))).alias("size"),
     )
-    spans = sizes.select("word", (F.col("_from") + F.col("_i")).alias("start"), "size", F.expr("substring(_slice, _i + 1, size)").alias("piece"))
-    return spans.join(F.broadcast(table), "piece").select("word", "start", "size", "id", "score")
+    spans = sizes.select(*keep, (F.col("_from") + F.col("_i")).alias("start"), "size", F.expr("substring(_slice, _i + 1, size)").alias("piece"))
+    return spans.join(F.broadcast(table), "piece").select(*keep, "start", "size", "id", "score")
 
 
 def _by_start(found: Column, n: Column) -> Column:
@@ -139,7 +147,7 @@ def _by_start(found: Column, n: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(0), n - 1),
         lambda s: F.map_from_entries(F.transform(
-            F.filter(found, lambda e: e["start"] == s), lambda e: F.struct(e["size"].alias("k"), e["score"].alias("v")))),
+            F.filter(found, lambda e: (e["start"] == s) & (e["size"] > 0)), lambda e: F.struct(e["size"].alias("k"), e["score"].alias("v")))),
     )
 
 
@@ -269,62 +277,69 @@ def segment_ids(word: str, model: Model) -> list[int]:
 
 
 def encode_words(vocabulary: DataFrame, model: Model) -> DataFrame:
-    """(word, ids) of distinct non-empty words. If ``vocabulary`` is dealt out by word, edges are grouped where they arise."""
+    """``vocabulary`` (distinct non-empty words, further columns) with ids.
+
+    If ``vocabulary`` is dealt out by word, edges are grouped where they arise and no row moves.
+    """
+    keep = vocabulary.columns
     short = vocabulary.filter(F.length("word") <= LONG_WORD)
     found = edges(short, piece_table(vocabulary.sparkSession, model), model.longest)
-    # One row without an edge for each word, so that words of unknown characters only are not lost.
-    none = short.select("word", F.lit(-1).alias("start"), F.lit(0).alias("size"), F.lit(-1).alias("id"), F.lit(0.0).alias("score"))
-    lattice = found.union(none).groupBy("word").agg(F.collect_list(F.struct("start", "size", "id", "score")).alias("_edges"))
+    lattice = found.groupBy(*keep).agg(F.collect_list(F.struct("start", "size", "id", "score")).alias("_edges"))
     n = F.length("word")
-    starts = lattice.select("word", "_edges", _by_start(F.col("_edges"), n).alias("_by_start"))
+    starts = lattice.select(*keep, "_edges", _by_start(F.col("_edges"), n).alias("_by_start"))
     if model.algorithm == MERGES:
         borders = _merged(F.col("_by_start"), n)
     else:
         unknown = min((s for _, s in model.pieces.values()), default=0.0) - 10.0
         borders = _best_path(F.col("_by_start"), n, model.longest, unknown)
-    folded = starts.select("word", "_edges", borders.alias("_borders"))
-    ids = folded.select("word", _ids(F.col("_edges"), F.col("_borders"), F.col("word"), model).alias("ids"))
+    folded = starts.select(*keep, "_edges", borders.alias("_borders"))
+    ids = folded.select(*keep, _ids(F.col("_edges"), F.col("_borders"), F.col("word"), model).alias("ids"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield batch.assign(ids=[np.array(segment_ids(w, model), dtype=np.int32) for w in batch["word"]])
 
-    long = vocabulary.filter(F.length("word") > LONG_WORD).select("word").mapInPandas(run, "word string, ids array<int>")
-    return ids.union(long)
+    schema = ", ".join(f"{c} {t}" for c, t in vocabulary.dtypes) + ", ids array<int>"
+    return ids.union(vocabulary.filter(F.length("word") > LONG_WORD).mapInPandas(run, schema))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_pieces, ids), one row per row of ``docs``: the identifiers the library gives for the whole text.
 
     Null and empty texts have none. Repeated rows are encoded one by one; a null key stays null. An empty table gives
-    an empty one. Texts are dealt into groups of about ``GROUP_CHARS`` characters by a hash of key and text
-    length; the distinct words of each group travel to their group once encoded, so a task holds one group's texts and
-    words. Frequent words are encoded once.
+    an empty one. Words are counted before the shuffle and each distinct word is encoded once. Texts are dealt into groups of about
+    ``GROUP_CHARS`` characters by a hash of key and text length; a task holds one group's texts, its rarer words and the
+    ``FREQUENT_WORDS`` most frequent ones (of at most ``LONG_WORD`` characters, which bounds their size).
     """
     spark = docs.sparkSession
     model = load_model(path)
     own = columns(docs, doc_id=key, text=text).select("doc_id", whole_text().alias("text"))
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_CHARS))
+    vocabulary = own.select(F.explode(words(F.col("text"), model)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    encoded = materialise(encode_words(vocabulary, model), "encoded-words")
+    top = encoded.filter(F.length("word") <= LONG_WORD).orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word", "ids")
+    frequent = {r["word"]: np.array(r["ids"], dtype="<i4").tobytes() for r in top.collect()}
+    common = spark.createDataFrame([(w,) for w in frequent], "word string")
+    shared = spark.sparkContext.broadcast(frequent)
+
     # Rows that repeat a key are spread by what else tells them apart.
     dealt = own.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int"))
-    uses = dealt.select("grp", F.explode(words(F.col("text"), model)).alias("word")).distinct()
-    uses = materialise(uses, "words-in-groups")
-    encoded = materialise(encode_words(uses.select("word").distinct(), model), "encoded-words")
-    held = uses.join(encoded, "word")
+    rare = dealt.select("grp", F.explode(words(F.col("text"), model)).alias("word")).join(F.broadcast(common), "word", "left_anti")
+    held = rare.distinct().join(encoded.select("word", "ids"), "word").select(F.col("grp").alias("of"), "word", "ids")
 
     pattern = re.compile(model.pattern)
     kind = dict(own.dtypes)["doc_id"]
 
     def run(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        table = {w: i.astype("<i4").tobytes() for w, i in zip(known["word"], known["ids"])}
-        rows = []
+        own_words = {w: i.astype("<i4").tobytes() for w, i in zip(known["word"], known["ids"])}
+        common, rows = shared.value.get, []
         for text in texts.pop("text"):
             found = pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
-            rows.append(np.frombuffer(b"".join(map(table.__getitem__, found)), dtype="<i4"))
+            rows.append(np.frombuffer(b"".join([common(w) or own_words[w] for w in found]), dtype="<i4"))
         return pd.DataFrame({"doc_id": texts["doc_id"], "n_pieces": [len(r) for r in rows], "ids": rows})
 
-    by = dealt.groupBy("grp").cogroup(held.groupBy("grp"))
+    by = dealt.groupBy("grp").cogroup(held.groupBy("of"))
     return by.applyInPandas(run, f"doc_id {kind}, n_pieces bigint, ids array<int>")
 
 
