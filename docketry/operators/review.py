@@ -23,8 +23,8 @@ MISSING_REASON = "Verifier verdict unavailable; claim withheld."
 REASON_NO_REVIEW = "No review need proposed for this Final Docket candidate."
 REASON_INSUFFICIENT = "Reviewer reported insufficient evidence."
 REASON_WITHHELD = "No unsupported claim or evidence is exposed."
-RULE_CLAIM = "Fixture atomic impact claim for deterministic UI validation."
-RULE_VERDICT = "Fixture verdict for deterministic tests and UI states only."
+RULE_CLAIM = "Rule-made claim: the change may touch this span."
+RULE_VERDICT = "Rule-made verdict."
 BAD_EVIDENCE = "THIS SPAN DOES NOT EXIST IN THE SOURCE"
 NO_CLAIMS = f"array<{schemas.CLAIM_DRAFT}>"
 
