@@ -142,16 +142,22 @@ def edges(vocabulary: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     return spans.join(F.broadcast(table), "piece").select(*keep, "start", "size", "id", "score")
 
 
-def _by_start(found: Column, n: Column) -> Column:
-    """Edges as one small map (size to score) per start."""
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda s: F.map_from_entries(F.transform(
-            F.filter(found, lambda e: (e["start"] == s) & (e["size"] > 0)), lambda e: F.struct(e["size"].alias("k"), e["score"].alias("v")))),
-    )
+#: Edges are looked up by start * STRIDE + size; pieces are shorter.
+STRIDE = 1024
+
+
+def _by_place(found: Column) -> Column:
+    """Edges as a map from place to score and id."""
+    return F.map_from_entries(F.transform(
+        found, lambda e: F.struct((e["start"] * STRIDE + e["size"]).alias("k"), F.struct(e["score"], e["id"]).alias("v"))))
+
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def _merged(by_start: Column, n: Column) -> Column:
+
+def _merged(by_place: Column, n: Column) -> Column:
     """Borders of the segments of a merge model.
 
     Of all neighbouring segments whose union is a piece, the union with the best score, the leftmost of equals, loses its
@@ -161,32 +167,29 @@ def _merged(by_start: Column, n: Column) -> Column:
     def step(state: Column, _: Column) -> Column:
         borders = state["borders"]
 
-        def union(i: Column) -> Column:
-            left, mid, right = F.get(borders, i), F.get(borders, i + 1), F.get(borders, i + 2)
-            score = F.element_at(F.get(by_start, left), right - left)
-            return F.struct(score.isNotNull().alias("ok"), score.alias("score"), (-i).alias("i"), mid.alias("mid"))
-
-        size = F.size(borders)
-        best = F.array_max(F.transform(F.sequence(F.lit(0), size - 3), union))
-        after = F.when(size >= 3, best)
-        return F.when(state["done"], state).otherwise(
-            F.struct(
-                F.when(after["ok"], F.array_remove(borders, F.coalesce(after["mid"], F.lit(-1)))).otherwise(borders).alias("borders"),
-                F.coalesce(~after["ok"], F.lit(True)).alias("done"),
-            )
-        )
+        def union(mid: Column, i: Column) -> Column:
+            left = F.get(borders, i)
+            score = F.element_at(by_place, left * STRIDE + (F.get(borders, i + 2) - left))["score"]
+            return F.struct(score.alias("score"), (-i).alias("i"), mid.alias("mid"))
+
+        # A union that is no piece has no score and sorts below all others.
+        best = F.array_max(F.transform(F.slice(borders, 2, F.greatest(F.size(borders) - 2, F.lit(0))), union))
+        after = _bound(best, lambda b: F.when(b["score"].isNotNull(), F.struct(
+            F.array_remove(borders, b["mid"]).alias("borders"), F.lit(False).alias("done"))))
+        ended = F.struct(borders.alias("borders"), F.lit(True).alias("done"))
+        return F.when(state["done"], state).otherwise(F.coalesce(after, ended))
 
     start = F.struct(F.sequence(F.lit(0), n).alias("borders"), F.lit(False).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), n), start, step)["borders"]
 
 
-def _best_path(by_start: Column, n: Column, longest: int, unknown_score: float) -> Column:
+def _best_path(by_place: Column, n: Column, longest: int, unknown_score: float) -> Column:
     """Borders of the best path of a unigram model; unknown characters cost ``unknown_score``, the longer last piece wins ties."""
 
     def step(state: Column, end: Column) -> Column:
         def arrive(size: Column) -> Column:
             start = end - size
-            known = F.element_at(F.get(by_start, start), size)
+            known = F.element_at(by_place, start * STRIDE + size)["score"]
             score = F.coalesce(known, F.when(size == 1, F.lit(unknown_score)))
             before = F.get(state, start)
             return F.struct(
@@ -195,31 +198,30 @@ def _best_path(by_start: Column, n: Column, longest: int, unknown_score: float)
             )
 
         best = F.array_max(F.transform(F.sequence(F.lit(1), F.least(end, F.lit(longest))), arrive))
-        return F.concat(state, F.array(F.struct(best["score"].alias("score"), best["path"].alias("path"))))
+        return F.concat(state, F.array(_bound(best, lambda b: F.struct(b["score"].alias("score"), b["path"].alias("path")))))
 
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("path")))
     states = F.aggregate(F.sequence(F.lit(1), n), start, step)
     return F.get(states, n)["path"]
 
 
-def _ids(found: Column, borders: Column, word: Column, model: Model) -> Column:
+def _ids(by_place: Column, borders: Column, word: Column, model: Model) -> Column:
     """Identifiers of the segments; characters without a piece become bytes or the unknown piece."""
+    byte_table = int_table(model.bytes or [model.unknown]).cast("array<int>")
 
-    def one(i: Column) -> Column:
-        left, right = F.get(borders, i), F.get(borders, i + 1)
-        known = F.filter(found, lambda e: (e["start"] == left) & (e["size"] == right - left))
+    def one(left: Column, i: Column) -> Column:
+        known = F.element_at(by_place, left * STRIDE + (F.get(borders, i + 1) - left))["id"]
         if model.bytes:
             digits = F.hex(F.encode(F.substring(word, left + 1, F.lit(1)), "utf-8"))
-            table = int_table(model.bytes).cast("array<int>")
             other = F.transform(
                 F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1),
-                lambda b: F.get(table, F.conv(F.substring(digits, b * 2 + 1, F.lit(2)), 16, 10).cast("int")),
+                lambda b: F.get(byte_table, F.conv(F.substring(digits, b * 2 + 1, F.lit(2)), 16, 10).cast("int")),
             )
         else:
             other = F.array(F.lit(model.unknown))
-        return F.when(F.size(known) > 0, F.array(F.get(known, F.lit(0))["id"])).otherwise(other)
+        return _bound(known, lambda k: F.when(k.isNotNull(), F.array(k)).otherwise(other))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(borders) - 2), one))
+    return F.flatten(F.transform(F.slice(borders, F.lit(1), F.size(borders) - 1), one))
 
 
 def segment(word: str, model: Model) -> list[tuple[int, int]]:
@@ -286,14 +288,14 @@ def encode_words(vocabulary: DataFrame, model: Model) -> DataFrame:
     found = edges(short, piece_table(vocabulary.sparkSession, model), model.longest)
     lattice = found.groupBy(*keep).agg(F.collect_list(F.struct("start", "size", "id", "score")).alias("_edges"))
     n = F.length("word")
-    starts = lattice.select(*keep, "_edges", _by_start(F.col("_edges"), n).alias("_by_start"))
+    mapped = lattice.select(*keep, _by_place(F.col("_edges")).alias("_by_place"))
     if model.algorithm == MERGES:
-        borders = _merged(F.col("_by_start"), n)
+        borders = _merged(F.col("_by_place"), n)
     else:
         unknown = min((s for _, s in model.pieces.values()), default=0.0) - 10.0
-        borders = _best_path(F.col("_by_start"), n, model.longest, unknown)
-    folded = starts.select(*keep, "_edges", borders.alias("_borders"))
-    ids = folded.select(*keep, _ids(F.col("_edges"), F.col("_borders"), F.col("word"), model).alias("ids"))
+        borders = _best_path(F.col("_by_place"), n, model.longest, unknown)
+    folded = mapped.select(*keep, "_by_place", borders.alias("_borders"))
+    ids = folded.select(*keep, _ids(F.col("_by_place"), F.col("_borders"), F.col("word"), model).alias("ids"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
