@@ -190,12 +190,17 @@ def near_duplicates(
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that a smaller key of their near-duplicate group stands for.
+    """``docs`` without the rows that a smaller key of their near-duplicate group stands for."""
+    return keep_least(docs, near_duplicates(docs, key=key, text=text), key, text)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row of ``docs`` that names its group in ``groups`` (doc_id, component_id), one per group.
 
     Rows are known by their key: where several rows repeat a kept key, the one with the least text stays.
     Rows with a null key stand for themselves and stay.
     """
-    by_key = near_duplicates(docs, key=key, text=text).groupBy(F.col("doc_id").alias("_key")).agg(
+    by_key = groups.groupBy(F.col("doc_id").alias("_key")).agg(
         F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"), F.count(F.lit(1)).alias("_rows")
     )
     rows = docs.join(by_key.filter("_keep"), docs[key] == F.col("_key"))
