@@ -1,6 +1,6 @@
 """License scan by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, every run of other characters than a-z and
+A text is cut into sentences, which may be wrapped over lines; each is normalised (lower case, every run of other characters than a-z and
 0-9 one space) and mapped to the identifier of a known licence sentence. The sequence of identifiers is
 matched against ordered rules: a rule holds where its identifiers follow each other among the known sentences of a text.
 """
@@ -64,22 +64,93 @@ RULES = [
 #: A longer rule that holds replaces the shorter one it contains.
 REPLACES = {"BSD-3-Clause": "BSD-2-Clause"}
 
+def _gnu() -> tuple[dict[str, str], list[tuple[str, tuple[str, ...]]]]:
+    """Sentences and rules of the GNU notices; a semicolon ends a sentence, a colon or comma within a line does not."""
+    texts, rules = {}, []
+    for name, article, version, license in (
+        ("gpl2", "general", "2", "GPL-2.0"), ("gpl", "general", "3", "GPL-3.0"), ("agpl", "affero general", "3", "AGPL-3.0"),
+        ("lgpl21", "lesser general", "2 1", "LGPL-2.1"), ("lgpl", "lesser general", "3", "LGPL-3.0"),
+    ):
+        for it in ("program", "library"):
+            useful = f"this {it} is distributed in the hope that it will be useful but without any warranty"
+            texts[useful] = "gpl_useful"
+            terms = f"you can redistribute it and or modify it under the terms of the gnu {article} public license as published by the free software foundation"
+            later = f"either version {version} of the license or at your option any later version"
+            start = f"this {it} is free software"
+            texts[later] = "gnu_" + version.replace(" ", "_")
+            texts[terms] = texts[f"{start} {terms}"] = article.replace(" ", "_") + "_terms"
+            texts[f"{terms} {later}"] = texts[f"{start} {terms} {later}"] = f"{name}_free"
+        rules.append((license, (f"{name}_free", "gpl_useful")))
+        rules.append((license, (article.replace(" ", "_") + "_terms", "gnu_" + version.replace(" ", "_"), "gpl_useful")))
+    return texts, rules
+
+
+_GNU_TEXTS, _GNU_RULES = _gnu()
+_MIT_GRANT = (
+    SENTENCES["mit_grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+    "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+)
+_BSD_START = SENTENCES["bsd_grant"]
+
+#: Sentences as they stand in whole licence texts, cut at WHOLE_END, and the identifiers they give.
+WHOLE = {
+    **_GNU_TEXTS,
+    "licensed under the apache license version 2 0 the license": "apache_notice",
+    SENTENCES["apache_as_is"] + " without warranties or conditions of any kind either express or implied": "apache_as_is",
+    _MIT_GRANT: "mit_grant",
+    f"{_MIT_GRANT} {SENTENCES['mit_condition']}": "mit_grant,mit_condition",
+    SENTENCES["mit_as_is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit_as_is",
+    f"{_BSD_START} 1": "bsd_grant",
+    f"{_BSD_START} {SENTENCES['bsd_source']}": "bsd_grant,bsd_source",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl_terms",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc_grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd0_grant",
+    "this is free and unencumbered software released into the public domain": "unlicense_free",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib_grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl_grant",
+}
+
+#: Rules for licences that only whole texts name.
+WHOLE_RULES = [
+    *_GNU_RULES, ("ISC", ("isc_grant",)), ("0BSD", ("bsd0_grant",)), ("Unlicense", ("unlicense_free",)),
+    ("Zlib", ("zlib_grant",)), ("BSL-1.0", ("bsl_grant",)),
+]
+
 SENTENCE_END = "[.!?;:]+[ \\t\\r]*(?:\\n|\\z)|[.!?;]+[ \\t\\r]+|\\n"
+#: The same for wrapped texts: a line break ends a sentence only after punctuation or before a blank line.
+WHOLE_END = "[.!?;:]+[ \\t\\r]*(?:\\n|\\z)|[.!?;]+[ \\t\\r]+|\\n[ \\t\\r*/#>-]*(?=\\n|\\z)"
 OTHER = "[^a-z0-9]+"
 
 
-def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
-    """Identifiers of a text's known sentences, in order; null for null text."""
-    known = sentences or SENTENCES
-    table = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
-    parts = F.split(F.lower(text), SENTENCE_END)
+def _lookup(known: dict[str, str], parts: Column) -> Column:
+    """What each part gives once it is normalised; unknown parts are left out."""
+    table = F.create_map(*[F.lit(x) for item in known.items() for x in item])
     plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
-    sizes = sorted({len(s) for s in known.values()})
+    sizes = sorted({len(s) for s in known})
     # Sentences of other lengths are unknown; comparing a length costs less than looking one up.
     fit = F.filter(plain, lambda s: F.length(s).isin(sizes))
     return F.filter(F.transform(fit, lambda s: F.element_at(table, s)), lambda i: i.isNotNull())
 
 
+def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
+    """Identifiers of a text's known sentences, in order; null for null text.
+
+    A sentence may be wrapped over lines. Where the whole is not known, each of its lines is looked up, so that
+    a notice on a line of its own is found as well.
+    """
+    lines = {sentence: name for name, sentence in (sentences or SENTENCES).items()}
+    whole = lines if sentences else lines | WHOLE
+
+    def of(sentence: Column) -> Column:
+        found = _lookup(whole, F.array(sentence))
+        return F.when(F.size(found) > 0, found).otherwise(_lookup(lines, F.split(sentence, "\n")))
+
+    ids = F.flatten(F.transform(F.split(F.lower(text), WHOLE_END), of))
+    # One sentence may stand for several identifiers.
+    return F.filter(F.split(F.array_join(ids, ","), ","), lambda i: i != "")
+
+
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None,
     rules: list[tuple[str, tuple[str, ...]]] | None = None, replaces: dict[str, str] | None = None,
@@ -90,7 +161,7 @@ def scan(
     alphabetical order. Null and empty texts have none of either. Repeated rows are scanned one by
     one, two rules for one licence give it once. A narrow pass: each row is judged by its own text.
     """
-    rules = RULES if rules is None else rules
+    rules = [*RULES, *WHOLE_RULES] if rules is None else rules
     replaces = REPLACES if replaces is None else replaces
     own = columns(docs, doc_id=key, text=text).select(
         "doc_id", F.coalesce(sentence_ids(F.col("text"), sentences), F.array().cast("array<string>")).alias("ids")
