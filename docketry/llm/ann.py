@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,18 +43,14 @@ class Index:
     probes: int
 
 
-def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", dim: int | None = None) -> DataFrame:
-    """(vec_id, v): finite vectors other than zero, of the commonest length unless ``dim`` is given."""
+def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, v): finite vectors other than zero, of any length."""
     own = vectors.select(vectors[key].alias("vec_id"), vectors[vector].cast("array<double>").alias("v"))
-    fine = own.filter(
+    return own.filter(
         F.col("vec_id").isNotNull() & (F.size("v") > 0)
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    if dim is None:
-        common = fine.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-        dim = common["d"] if common else 0
-    return fine.filter(F.size("v") == dim)
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -153,8 +150,8 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): up to ``k`` nearest other vectors for each vector whose id is divisible by ``every``.
 
-    Nearest first, ties to the smaller id. Null, zero and non-finite vectors and null ids take no part, nor do vectors of another length than
-    the commonest. Rows repeated in full count once. Of equal vectors only the ``k`` + 1 smallest ids can ever be
+    Nearest first, ties to the smaller id. Null, zero and non-finite vectors and null ids take no part. Vectors of each
+    length are searched as a table of their own, one after the other. Rows repeated in full count once. Of equal vectors only the ``k`` + 1 smallest ids can ever be
     returned, so only they are searched; every one of them may be a query. With fewer candidates all are returned. An empty table
     gives no rows.
 
@@ -162,13 +159,25 @@ def search(
     never holds more than about ``GROUP_VECTORS`` vectors and ``GROUP_QUERIES`` queries. The driver holds the sample for fitting,
     the centroids and one count per list.
     """
-    spark = vectors.sparkSession
-    fine = usable(vectors, key, vector).dropDuplicates(["vec_id", "v"])
+    fine = usable(vectors, key, vector)
+    kind = dict(fine.dtypes)["vec_id"]
+    dims = sorted(r["d"] for r in fine.select(F.size("v").alias("d")).distinct().collect())
+    found = [_search(fine.filter(F.size("v") == d).dropDuplicates(["vec_id", "v"]), every, k, coverage) for d in dims]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    if len(found) == 1:
+        return found[0]
+    # An id may come with vectors of several lengths.
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    every_one = reduce(DataFrame.union, found).drop("rank").withColumn("rank", F.row_number().over(best))
+    return every_one.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(fine: DataFrame, every: int, k: int, coverage: float) -> DataFrame:
+    """:func:`search` over usable vectors of one length, at least one."""
     index = fit(fine, k, coverage)
     kind = dict(fine.dtypes)["vec_id"]
     schema = f"query_id {kind}, vec_id {kind}, score double"
-    if index is None:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     lists = len(index.centroids)
     placed = materialise(assign(fine, index), "ann-lists")
     copies = Window.partitionBy("v").orderBy("vec_id")
