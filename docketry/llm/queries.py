@@ -5,7 +5,9 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import ann, fingerprint, lattice, licenses, lines, manifest, packing, sharding, simhash, token_counts, toxicity
+from docketry.llm import (
+    ann, fingerprint, lattice, licenses, lines, manifest, packing, periodic, sharding, simhash, token_counts, toxicity,
+)
 from docketry.session import table
 
 
@@ -50,6 +52,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(table(spark, sf_dir, "documents"), perturb=True)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -57,7 +63,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_sentencepiece_encoding, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
     op7_nearest_neighbours, op8_document_fingerprints, op9_hilbert_sharding, op10_line_dedup,
-    op12_merkle_manifest,
+    op11_periodic_runs, op12_merkle_manifest,
 )}
 
 
