@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.session import materialise
+from docketry.session import materialise, scratch
 
 T = TypeVar("T")
 
@@ -40,6 +41,17 @@ def worker_memory(name: str, make: Callable[[], T]) -> T:
     return getattr(store, name)
 
 
+@contextmanager
+def passing(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df`` as a stored table that is deleted at the end of the block; what is read from it must be stored within."""
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    yield spark.read.schema(df.schema).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ordered(df: DataFrame, label: str, *keys: str) -> DataFrame:
     """Store ``df`` in the order of ``keys`` with ``rank``, each row's place from 0.
 

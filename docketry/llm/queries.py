@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import (
-    ann, fingerprint, lattice, licenses, lines, manifest, packing, periodic, sharding, simhash, token_counts, toxicity,
+    ann, fingerprint, jaccard, lattice, licenses, lines, manifest, packing, periodic, sharding, simhash, token_counts, toxicity,
 )
 from docketry.session import table
 
@@ -60,10 +60,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_sentencepiece_encoding, op4_best_fit_packing, op5_simhash_near_dedup, op6_license_scan,
     op7_nearest_neighbours, op8_document_fingerprints, op9_hilbert_sharding, op10_line_dedup,
-    op11_periodic_runs, op12_merkle_manifest,
+    op11_periodic_runs, op12_merkle_manifest, op13_jaccard_join,
 )}
 
 
