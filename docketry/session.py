@@ -66,9 +66,19 @@ def release(spark: SparkSession, keep: int = 0) -> int:
 
     Call ``mark()`` before a job and ``release(spark, mark)`` once its result is written, to delete that job's tables only.
     """
+    return discard(spark, written(keep))
+
+
+def written(first: int = 0) -> list[str]:
+    """Paths of the intermediate tables written since ``mark()`` gave ``first``."""
+    return _stored[first:]
+
+
+def discard(spark: SparkSession, paths: list[str]) -> int:
+    """Delete the intermediate tables at ``paths``."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    gone = _stored[keep:]
-    del _stored[keep:]
+    gone = set(paths)
+    _stored[:] = [path for path in _stored if path not in gone]
     for path in gone:
         place = hadoop.Path(path)
         place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
