@@ -156,8 +156,12 @@ def find_runs(texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
     at, period = candidates(text, ends)
     if not len(at):
         return out
-    # Only texts with candidates go into the grammar.
     inside = np.searchsorted(ends, at)
+    whole = at + period < ends[inside]  # words of two texts may be alike, too
+    at, period, inside = at[whole], period[whole], inside[whole]
+    if not len(at):
+        return out
+    # Only texts with candidates go into the grammar.
     some, which = np.unique(inside, return_inverse=True)
     starts = np.concatenate(([0], ends[:-1] + 1))
     own = [texts[order[k]] for k in some.tolist()]

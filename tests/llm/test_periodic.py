@@ -107,6 +107,12 @@ def test_a_very_long_text():
     assert runs == [(60_000, 21_000, 700)]
 
 
+def test_equal_words_of_neighbouring_texts_are_no_run():
+    texts = [np.arange(9), np.arange(9), np.arange(8), np.array([*range(8), 3, 3, 3, 3, 3, 3])]
+    assert periodic.find_runs(texts) == [[], [], [], [(8, 6, 1)]]
+    assert periodic.find_runs(texts[:3]) == [[], [], []]
+
+
 def test_small_chunks_change_nothing(spark, monkeypatch):
     texts = [" ".join(map(str, t)) for t in sequences(4)]
     want = [periodic.find_runs([np.array(t.split(), dtype=np.int64)])[0] for t in texts]
