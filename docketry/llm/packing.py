@@ -33,7 +33,9 @@ MEMORY_CHARS = 64
 #: Letters whose lower case is left to the library.
 BEYOND = re.compile("[^\x00-\u024f]")
 #: A comma or full stop that continues a run of other signs; the lower case of the dotted capital I ends with one.
-JOINED = re.compile("(?:[^\\w ]|[_\u0130])[.,] ")
+JOINED = re.compile("[.,] (?<=(?:[^\\w ]|[_\u0130])[.,] )")
+#: Chunks of letters and digits that the library encodes as one text, a comma between each two.
+LISTED = 512
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -207,6 +209,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.comma = self._ids([","])[0]
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -223,15 +226,26 @@ class Encoder:
         """Bring ``wanted`` into the newer half."""
         if len(self.new) > MEMORY:
             self.old, self.new = self.new, {}
-        missing = []
+        missing, plain = [], []
         for chunk in wanted.difference(self.new):
             known = self.old.get(chunk)
             if known is None:
-                missing.append(chunk)
+                (plain if chunk.isalnum() else missing).append(chunk)
             else:
                 self.new[chunk] = known
-        found = self.library.encode_batch_fast(missing, add_special_tokens=False)
-        self.new.update((m, array("I", f.ids).tobytes()) for m, f in zip(missing, found))
+        for at in range(0, len(plain), LISTED):
+            listed = plain[at : at + LISTED]
+            ids = np.frombuffer(self._ids([" , ".join(listed)])[0], dtype="<u4")
+            commas = np.flatnonzero(ids == np.frombuffer(self.comma, dtype="<u4")[0])
+            if len(commas) == len(listed) - 1:
+                data, ends = ids.tobytes(), [*(4 * commas).tolist(), 4 * len(ids)]
+                self.new.update(zip(listed, (data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends))))
+            else:  # a sign that the library takes apart into a comma
+                missing += listed
+        self.new.update(zip(missing, self._ids(missing)))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", f.ids).tobytes() for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), TOGETHER):
