@@ -27,6 +27,26 @@ def row_sha(columns: list[str]) -> Column:
     return sha256(F.concat_ws("\x1f", *[F.coalesce(f, F.lit("n")) for f in fields]))
 
 
+def exact_number(x: Column) -> Column:
+    """A float as text without rounding: ``<53-bit integer>p<power of two>``; equal texts are equal values.
+
+    Scaling by powers of two is exact, and the exponent a logarithm gives is corrected by one where it was rounded.
+    """
+    value = x.cast("double")
+    size = F.abs(value)
+    tiny = size < 2.0**-900
+    scaled = F.when(tiny, size * 2.0**200).otherwise(size)
+    guess = F.floor(F.log2(scaled))
+    lead = scaled * F.pow(F.lit(2.0), -guess)
+    power = guess + F.when(lead >= 2, 1).when(lead < 1, -1).otherwise(0)
+    digits = (F.signum(value) * scaled * F.pow(F.lit(2.0), -power) * 2.0**52).cast("bigint")
+    return (
+        F.when(x.isNull(), "null").when(F.isnan(value), "nan").when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when(size == 0, "0")
+        .otherwise(F.concat(digits.cast("string"), F.lit("p"), (power - 52 - F.when(tiny, 200).otherwise(0)).cast("string")))
+    )
+
+
 def _fold(nodes: DataFrame, digits: int) -> DataFrame:
     return (
         nodes.groupBy(F.substring("h", 1, digits).alias("b"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from docketry.functions import scores
-from docketry.functions.fingerprints import table_fingerprint
+from docketry.functions.fingerprints import exact_number, table_fingerprint
 from docketry.functions.rows import explode_rows
 from docketry.operators import blocks
 from docketry.session import materialise
@@ -193,7 +193,7 @@ def vector_summary(vectors: DataFrame) -> DataFrame:
     )
     body = vectors.select(
         "source_id",
-        F.array_join(F.transform("vec", lambda x: F.format_string("%.9e", x.cast("double"))), ",").alias("v"),
+        F.array_join(F.transform("vec", exact_number), ",").alias("v"),
     )
     values = table_fingerprint(body, ["source_id", "v"]).select(
         F.col("fingerprint").alias("vector_sha256")

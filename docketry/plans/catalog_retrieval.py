@@ -93,7 +93,10 @@ def fold_duck(rows: str, columns: list[str]) -> str:
  c AS (SELECT h[1:3] || sha256(string_agg(h, '' ORDER BY h)) AS h FROM b GROUP BY h[1:3]) SELECT sha256(string_agg(h, '' ORDER BY h)) FROM c)"""
 
 
-_VECTOR_ROWS = """(SELECT vec_id AS source_id, array_to_string(list_transform(embedding, lambda x: printf('%.9e', x::DOUBLE)), ',') AS v FROM embeddings)"""
+#: A float as an integer and a power of two, in SQL.
+_NUMBER = """CASE WHEN x IS NULL THEN 'null' WHEN isnan(x) THEN 'nan' WHEN isinf(x) THEN CASE WHEN x > 0 THEN 'inf' ELSE '-inf' END WHEN x = 0 THEN '0'
+ ELSE (x::DOUBLE * pow(2.0::DOUBLE, 52 - floor(log2(abs(x::DOUBLE)))))::BIGINT || 'p' || (floor(log2(abs(x::DOUBLE))) - 52)::BIGINT END"""
+_VECTOR_ROWS = f"""(SELECT vec_id AS source_id, array_to_string(list_transform(embedding, lambda x: {_NUMBER}), ',') AS v FROM embeddings)"""
 _VECTOR_SUMMARY = f"""SELECT count(*)::BIGINT AS artifact_count, sum(len(embedding))::BIGINT AS value_count, {fold_duck('embeddings', ['vec_id'])} AS source_ids_sha256,
  {fold_duck(_VECTOR_ROWS, ['source_id', 'v'])} AS vector_sha256 FROM embeddings"""
 

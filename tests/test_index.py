@@ -1,6 +1,10 @@
+from fractions import Fraction
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docketry.functions.fingerprints import exact_number
 from docketry.operators import index, vectors
 
 CODE = """
@@ -104,3 +108,17 @@ def test_vector_audit(spark):
     fewer = spans.filter("source_id <> 's3'")
     assert {r.violation for r in vectors.audit_vectors(vecs, fewer, metadata, 2).collect()} == {"artifact_count", "source_ids", "value_count"}
     assert [r.violation for r in vectors.preflight(vecs.withColumn("text", F.lit("x" * 2001)).limit(1), 2).collect()] == ["input_too_long"]
+
+
+def test_vector_hash_knows_every_bit(spark):
+    """No rounding: neighbouring floats, ties at nine digits, the smallest and the largest values differ."""
+    values = [2.0**-15, -0.27392578125, float(np.nextafter(np.float32(-0.27392578125), np.float32(1))), 1.0, float(np.nextafter(1.0, 0)),
+              5e-324, 2.5e-308, 2.0**-149, 1.7976931348623157e308, 3.4028234663852886e38, 0.1, -7.0, 1e-280, 2.0**-900, 2.0**-901, 3.0]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for r in rows.select("x", exact_number(F.col("x")).alias("t")).collect():
+        digits, power = map(int, r.t.split("p"))
+        assert Fraction(digits) * Fraction(2) ** power == Fraction(r.x)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (-float("inf"),), (0.0,)], "x double")
+    assert [r.t for r in odd.select(exact_number(F.col("x")).alias("t")).collect()] == ["null", "nan", "inf", "-inf", "0"]
+    near = [spark.createDataFrame([(1, [x])], "source_id int, vec array<float>") for x in values[1:3]]
+    assert len({vectors.vector_summary(v).first().vector_sha256 for v in near}) == 2
