@@ -11,7 +11,7 @@ from typing import TypeVar
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.session import materialise, scratch
+from docketry.session import discard, materialise, scratch
 
 T = TypeVar("T")
 
@@ -48,8 +48,7 @@ def passing(df: DataFrame, label: str) -> Iterator[DataFrame]:
     path = scratch(spark, label)
     df.write.parquet(path)
     yield spark.read.schema(df.schema).parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    discard(spark, [path])
 
 
 def ordered(df: DataFrame, label: str, *keys: str) -> DataFrame:

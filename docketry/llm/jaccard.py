@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.common import columns, passing, whole_text
 from docketry.llm.simhash import SEED, components
-from docketry.session import materialise
+from docketry.session import discard, mark, materialise, written
 
 SHINGLE = 3
 #: Least similarity as a fraction of whole numbers, so that comparisons are exact.
@@ -244,6 +244,7 @@ def similar(
     part; a null never names a component unless it has no other key. Texts of any length are taken whole. An empty table gives an empty one.
     """
     own = columns(docs, doc_id=key, text=text).select("doc_id", whole_text().alias("text"))
+    start = mark()
     with passing(_signed(own, shingle, least), "jaccard-first") as stored:
         rows = materialise(stored.select("doc_id", "digest", "tag", "n"), "jaccard-rows")
         classes = rows.groupBy("digest").agg(*[F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("tag").alias("tag")])
@@ -259,6 +260,9 @@ def similar(
     named = materialise(joined.join(left, "digest"), "jaccard-named")
     names = named.groupBy("root").agg(F.min("least").alias("reached"))
     reached = named.join(names, "root").select("digest", "reached")
+    done = [*written(start)]
+    reached = materialise(reached, "jaccard-reached")
+    discard(rows.sparkSession, [path for path in done if "/jaccard-rows-" not in path])
     whole = rows.groupBy("digest").agg(F.min("doc_id").alias("least")).join(reached, "digest", "left")
     whole = whole.select("digest", F.coalesce("reached", "least").alias("component_id"))
     alone = (F.col("n") == 0) & F.lit(blank_alone)

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from docketry.llm import overlap
+from docketry.llm import jaccard, overlap
 from tests.llm.test_table_operators import near_copies, shingles
 from tests.llm.test_text_operators import table
 
@@ -46,13 +46,14 @@ def test_the_stage_drops_every_similar_text(spark):
     assert near(spark, docs.limit(0), "").count() == 0
 
 
-@pytest.mark.parametrize("cell", [1, 2, 32])
-def test_large_cells_join_the_same_texts(spark, cell):
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_large_groups_join_the_same_texts(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join([*words[:at], "new%d" % at, *words[at + 1 :]]) for at in range(60)]
     texts += [" ".join(words), *near_copies(30, seed=2, changed=2), "lone words stay here now"]
     found = defaultdict(set)
-    for r in overlap.near_duplicates(table(spark, list(enumerate(texts))), cell=cell).collect():
+    for r in overlap.near_duplicates(table(spark, list(enumerate(texts)))).collect():
         found[r.component_id].add(r.doc_id)
     assert set(found) == kept_rows(texts) and all(k == min(v) for k, v in found.items())
     assert sum(map(len, found.values())) == len(texts)
