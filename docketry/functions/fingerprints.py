@@ -47,34 +47,47 @@ def exact_number(x: Column) -> Column:
     )
 
 
-def _fold(nodes: DataFrame, digits: int) -> DataFrame:
+def _fold(nodes: DataFrame, digits: int, keys: list[str]) -> DataFrame:
     return (
-        nodes.groupBy(F.substring("h", 1, digits).alias("b"))
+        nodes.groupBy(*keys, F.substring("h", 1, digits).alias("b"))
         .agg(
             sha256(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("node"),
             F.sum("copies").alias("copies"),
         )
-        .select(F.concat("b", "node").alias("h"), "copies")
+        .select(*keys, F.concat("b", "node").alias("h"), "copies")
     )
 
 
-def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (rows, fingerprint) over the multiset of rows of ``df``.
+def _folded(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Middle nodes of the hash tree of each group.
 
     Equal rows are counted before the tree is built, so copies do not pile up in one
     bucket.
     """
-    counted = df.select(row_sha(columns).alias("r")).groupBy("r").agg(
+    counted = df.select(*keys, row_sha(columns).alias("r")).groupBy(*keys, "r").agg(
         F.count(F.lit(1)).alias("copies")
     )
     leaves = counted.select(
-        F.concat_ws(":", "r", F.col("copies").cast("string")).alias("h"), "copies"
+        *keys, F.concat_ws(":", "r", F.col("copies").cast("string")).alias("h"), "copies"
     )
-    middle = _fold(_fold(leaves, LEAF_DIGITS), MIDDLE_DIGITS)
-    return middle.agg(
+    return _fold(_fold(leaves, LEAF_DIGITS, keys), MIDDLE_DIGITS, keys)
+
+
+def _tree() -> list[Column]:
+    return [
         F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
         sha256(F.array_join(F.array_sort(F.collect_list("h")), "")).alias("fingerprint"),
-    )
+    ]
+
+
+def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (rows, fingerprint) over the multiset of rows of ``df``."""
+    return _folded(df, columns, []).agg(*_tree())
+
+
+def group_fingerprints(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
+    """(keys, rows, fingerprint): the same hash for the rows of each group."""
+    return _folded(df, columns, list(keys)).groupBy(*keys).agg(*_tree())
 
 
 def sequence_sha(items: Column) -> Column:

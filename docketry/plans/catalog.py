@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("text", "retrieval", "review", "audit")
+AREAS = ("text", "retrieval", "review", "audit", "store")
 
 
 def _merged(attribute: str) -> dict:

@@ -245,10 +245,10 @@ def order_scores(spark: SparkSession, sf: str) -> DataFrame:
 class Graph:
     """Stage tables of the order graph."""
 
-    def __init__(self, spark: SparkSession, sf: str):
+    def __init__(self, spark: SparkSession, sf: str, links: DataFrame | None = None):
         self.orders = order_scores(spark, sf)
         self.n = self.orders.agg(F.count(F.lit(1))).scalar()
-        self.links = retrieval.build_links(index.postings(line_identifiers(spark, sf)))
+        self.links = retrieval.build_links(index.postings(line_identifiers(spark, sf))) if links is None else links
         self.broad = retrieve.broad(self.orders)
         named = self.orders.filter("named").select("query_id", "source_id")
         self.query_ids = named.join(

@@ -272,11 +272,13 @@ def gold_slots(cases: DataFrame) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RUN_FILE).option("multiLine", True).json(path)
+    """Run documents; a malformed one fails the job. ``run_files.scan_runs`` reports instead what it cannot read."""
+    return spark.read.schema(schemas.RUN_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def run_cases(runs: DataFrame) -> DataFrame:
-    return runs.select(F.col("run_id").alias("stored_run_id"), F.explode("cases").alias("case")).select(
+    """One row per case; a run without cases keeps a row whose case fields are null."""
+    return runs.select(F.col("run_id").alias("stored_run_id"), F.explode_outer("cases").alias("case")).select(
         "stored_run_id", "case.*"
     )
 
