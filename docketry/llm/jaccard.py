@@ -31,6 +31,8 @@ LEAST = (9, 10)
 FRAGMENTS = 4
 #: 64-bit words of a set's bit parities; equal n-grams cancel out, so parities differ in no more bits than sets in n-grams.
 PARITY = 8
+#: Words whose hashes a task remembers at most.
+KNOWN = 100_000
 #: Rounds in which the sets of an n-gram are compared with one of them only.
 ROUNDS = 2
 
@@ -82,7 +84,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
 
@@ -92,9 +94,11 @@ def _signed(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     bound = np.uint64(edges_of(least)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            known: dict[bytes, int] = {}
             for part in _slices(batch):
+                if len(known) > KNOWN:
+                    known.clear()
                 sets = [gram_set(t, shingle, known) for t in part.column(1).to_pylist()]
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -112,9 +116,11 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(digest, n, parity, grams) of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            known: dict[bytes, int] = {}
             for part in _slices(batch):
+                if len(known) > KNOWN:
+                    known.clear()
                 sets = [gram_set(t, shingle, known) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
