@@ -26,7 +26,7 @@ from docketry.session import materialise
 CAPACITY = 2048
 SEPARATOR = 0
 #: Chunks in each half of a worker's memory, and texts whose new chunks are encoded together.
-MEMORY = 500_000
+MEMORY = 300_000
 TOGETHER = 64
 MEMORY_CHARS = 64
 
