@@ -105,7 +105,7 @@ def embed_plan(texts: DataFrame, cache: DataFrame, model: str, dim: int, purpose
     Copies collapse map-side before the shuffle. Queries are never cached, so every
     distinct query text is planned.
     """
-    keyed = texts.select(embed_key(model, dim, purpose, F.col("text")).alias("cache_key"), "text")
+    keyed = texts.filter(F.col("text").isNotNull()).select(embed_key(model, dim, purpose, F.col("text")).alias("cache_key"), "text")
     wanted = keyed.groupBy("cache_key").agg(F.min("text").alias("text"))
     if purpose != "document":
         return wanted
@@ -139,7 +139,7 @@ def embed_cached(
     fresh = embed_missing(embed_plan(texts, cache, model, dim, purpose), provider)
     known = fresh if purpose != "document" else cache.select("cache_key", "vec").unionByName(fresh)
     keyed = texts.withColumn("cache_key", embed_key(model, dim, purpose, F.col("text")))
-    return keyed.join(known, "cache_key").drop("cache_key"), fresh
+    return keyed.join(known.dropDuplicates(["cache_key"]), "cache_key", "left").drop("cache_key"), fresh
 
 
 def embed_stored(
@@ -160,7 +160,7 @@ def embed_stored(
     fresh = embed_missing(embed_plan(texts, stored(), model, dim, "document"), provider)
     materialise(fresh, "embedded").write.mode("append").parquet(cache_path)
     keyed = texts.withColumn("cache_key", embed_key(model, dim, "document", F.col("text")))
-    return keyed.join(stored(), "cache_key").drop("cache_key")
+    return keyed.join(stored().dropDuplicates(["cache_key"]), "cache_key", "left").drop("cache_key")
 
 
 # ---- audits -----------------------------------------------------------------------

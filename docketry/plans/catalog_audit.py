@@ -399,7 +399,7 @@ def resume_antijoin(spark, sf):
     return live.pending_cases(cases, done, ["case_id"])
 
 
-def _stream_path(sf: str, name: str) -> str:
+def stream_path(sf: str, name: str) -> str:
     """A pattern for one table: a stream takes a plain path for a folder only, a pattern for a file as well."""
     return f"{sf}/{name[:-1]}[{name[-1]}].parquet"
 
@@ -408,7 +408,7 @@ def _stream_path(sf: str, name: str) -> str:
 def stream_event_counts(spark, sf):
     """Counts kept by a streaming query that reads the event table to its end."""
     schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(_stream_path(sf, "events")).select(
+    events = spark.readStream.schema(schema).parquet(stream_path(sf, "events")).select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("event"))
     path = scratch(spark, "event-counts")
     live.stream_event_counts(events, path, scratch(spark, "events")).awaitTermination()
@@ -426,7 +426,7 @@ def micro_batch_retrieve(spark, sf):
         F.col("source_id").cast("string").alias("source_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_sha256"),
         F.lit(1).alias("start_line"), F.size(text.split_lines(F.col("text"))).alias("end_line"))
     corpus = retrieval.SpanIndex(forward, spans, retrieval.build_links(words))
-    requests = spark.readStream.schema("item_id BIGINT, text STRING").parquet(_stream_path(sf, "benchmark")).select(
+    requests = spark.readStream.schema("item_id BIGINT, text STRING").parquet(stream_path(sf, "benchmark")).select(
         F.col("item_id").cast("string").alias("query_id"), F.lit("requirement").alias("artifact_type"), F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("string").alias("subsystem"), text.empty_strings().alias("identifiers"), "text")
     out = scratch(spark, "reviews")

@@ -59,7 +59,7 @@ def embed_cache_plan(spark, sf):
     return vectors.embed_plan(texts, cache, "hash-v1", 384, "document").select("cache_key", F.sha2("text", 256).alias("text_sha256"))
 
 
-def _text_sizes(texts: list[str]) -> list[list[float]]:
+def text_sizes(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(len(t.encode()))] for t in texts]
 
 
@@ -69,8 +69,8 @@ def embed_through_cache(spark, sf):
     path = scratch(spark, "embedding-cache")
     docs = documents(spark, sf, "doc_id", "text")
     labelled = docs.join(table(spark, sf, "labels", "doc_id").distinct(), "doc_id", "left_semi")
-    vectors.embed_stored(labelled, path, _text_sizes, "sizes", 2)
-    found = vectors.embed_stored(docs, path, _text_sizes, "sizes", 2)
+    vectors.embed_stored(labelled, path, text_sizes, "sizes", 2)
+    found = vectors.embed_stored(docs, path, text_sizes, "sizes", 2)
     left = vectors.embed_plan(docs, spark.read.parquet(path), "sizes", 2, "document").agg(F.count(F.lit(1))).scalar()
     return found.select("doc_id", F.get("vec", F.lit(0)).alias("chars"), F.get("vec", F.lit(1)).alias("bytes"), left.alias("missing_afterwards"))
 
@@ -346,8 +346,7 @@ def expanded_pool(spark, sf):
         F.count(F.lit(1)).alias("pool"), F.count("broad_rank").alias("broad"), F.sum("source_id").alias("source_sum"))
 
 
-# The identifiers of a span play no part in its score; leaving their lists out keeps the statement light.
-@query(f"WITH {_G4} SELECT query_id, source_id, round_even(final, 8) AS final_score FROM pool".replace("list_sort(list(DISTINCT identifier)) AS ids", "NULL AS ids"))
+@query(f"WITH {_G4} SELECT query_id, source_id, round_even(final, 8) AS final_score FROM ord")
 def final_score(spark, sf):
     return Graph(spark, sf).ordered().select(*retrieve.PAIR, F.bround("final_score", 8).alias("final_score"))
 

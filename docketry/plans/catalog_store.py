@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from docketry import schemas
 from docketry.functions import scores
-from docketry.operators import index, metrics, retrieve, review
+from docketry.operators import index, metrics, retrieve, review, vectors
 from docketry.plans import catalog_retrieval as ranking
 from docketry.plans import catalog_review as standin
 from docketry.plans import run_audit
-from docketry.plans.catalog_text import line_identifiers
+from docketry.plans.catalog_audit import stream_path
+from docketry.plans.catalog_retrieval import text_sizes
+from docketry.plans.catalog_text import documents, line_identifiers
 from docketry.session import materialise, scratch, table
 from docketry.sources import identifier_store
+from docketry.sources.embedding_cache import EmbeddingCache, embed_stored
+from docketry.streaming import log_state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -240,3 +244,49 @@ def stored_runs_audit(spark, sf):
     found = run_audit.audit_runs(spark, path, F.lit(RUN_CASES), lines=True)
     kinds = found.groupBy("run_id", "violation").agg(F.count(F.lit(1)).alias("n"))
     return kinds.select("run_id", "violation", F.when(F.col("run_id").isNull(), F.col("n")).otherwise(1).cast("bigint").alias("runs"))
+
+
+# ---- embedding cache --------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE WHEN lang <> 'fr' THEN length(text)::DOUBLE END AS chars, (SELECT count(DISTINCT text) FROM documents WHERE lang <> 'fr') AS keys FROM documents""")
+def shared_embedding_cache(spark, sf):
+    """Two writers embed overlapping documents at the same time; then all are looked up, French ones without a text."""
+    cache = EmbeddingCache(spark, scratch(spark, "embedding-cache"))
+    docs = documents(spark, sf, "doc_id", "text", "lang").withColumn("text", F.when(F.col("lang") != "fr", F.col("text"))).drop("lang")
+
+    def staged(part: DataFrame):
+        plan = vectors.embed_plan(part, cache.rows(), "sizes", 2, "document")
+        return cache.stage(materialise(vectors.embed_missing(plan, text_sizes), "embedded"))
+
+    late, early = staged(docs.filter("doc_id % 3 <> 0")), staged(docs.filter("doc_id % 3 <> 1"))
+    cache.commit(early)
+    cache.commit(late)
+    cache.compact()
+    found = embed_stored(docs, cache, text_sizes, "sizes", 2)
+    keys = cache.rows().agg(F.count(F.lit(1))).scalar()
+    return found.select("doc_id", F.get("vec", F.lit(0)).alias("chars"), keys.alias("keys"))
+
+
+# ---- logs -------------------------------------------------------------------------
+
+LOG_CASES = 6
+
+
+@query(f"""WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS started, count(*) FILTER (WHERE event_type = 'click') AS completed, count(*) FILTER (WHERE event_type = 'purchase') AS ended,
+ count(DISTINCT CASE WHEN event_type = 'click' THEN event_id % 7 END) AS different, min(ts) FILTER (WHERE event_type = 'signup') AS s, min(ts) FILTER (WHERE event_type = 'click') AS f,
+ max(ts) FILTER (WHERE event_type = 'click') AS l, max(ts) FILTER (WHERE event_type = 'purchase') AS e FROM events GROUP BY 1),
+ j AS (SELECT c_custkey AS run_id, coalesce(started, 0) AS started, coalesce(completed, 0) AS completed, coalesce(ended, 0) AS ended, coalesce(different, 0) AS different, s, f, l, e FROM customer LEFT JOIN c ON user_id = c_custkey)
+ SELECT run_id, {LOG_CASES} AS cases, started::BIGINT AS started, completed::BIGINT AS completed, ended::BIGINT AS ended, array_to_string(list_filter([
+ CASE WHEN started <> 1 OR completed <> {LOG_CASES} OR ended <> 1 THEN 'incomplete' END, CASE WHEN completed > different THEN 'repeated' END, CASE WHEN different > {LOG_CASES} THEN 'surplus' END,
+ CASE WHEN f < s OR l > e THEN 'disorder' END, CASE WHEN ended = 0 THEN 'no_end' END], lambda x: x IS NOT NULL), ',') AS violations FROM j""")
+def stream_log_verdicts(spark, sf):
+    """Customers as runs, their events as logs: verdicts kept by a stateful stream that reads the event table to its end."""
+    schema = table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(stream_path(sf, "events")).select(
+        F.col("user_id").alias("run_id"), F.col("event_type").alias("event"), (F.col("event_id") % 7).alias("case_id"), F.col("ts").alias("at"))
+    path = scratch(spark, "log-figures")
+    log_state.watch_logs(events, path, scratch(spark, "log-state"), log_state.kinds("signup", "click", "purchase")).awaitTermination()
+    expected = table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("run_id"), F.lit(LOG_CASES).alias("cases"))
+    found = log_state.verdicts(log_state.read_figures(spark, path), expected)
+    return found.withColumn("violations", F.array_join("violations", ","))

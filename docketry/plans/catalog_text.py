@@ -28,8 +28,14 @@ def query(oracle: str | None = None):
 # ---- stand-in inputs --------------------------------------------------------------
 
 
+#: Session setting: parts to deal documents into where they come in fewer files than there are cores. Unset: as they are stored.
+READ_PARTITIONS = "docketry.read.partitions"
+
+
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return table(spark, sf, "documents", *columns)
+    rows = table(spark, sf, "documents", *columns)
+    parts = spark.conf.get(READ_PARTITIONS, None)
+    return rows.repartition(int(parts), "doc_id") if parts and "doc_id" in rows.columns else rows
 
 
 def document_tree(spark: SparkSession, sf: str) -> DataFrame:
