@@ -666,3 +666,60 @@ def run_delta(spark, sf):
 def rank_changes(spark, sf):
     pairs = spark.range(1).select(F.lit("base").alias("baseline_run"), F.lit("variant").alias("variant_run"))
     return compare.rank_changes(pairs, Runs(spark, sf).ranks()).select("case_id", "source_id", "baseline_rank", "variant_rank")
+
+
+# ---- rules with gold evidence, verdicts, projections and seals ----------------------
+
+
+@query(f"""WITH {_F0}, g AS (SELECT *, CASE WHEN quality = 1 AND lang <> 'fr' AND len(ls) > 0 AND length(ls[len(ls)]) > 0 THEN ls[len(ls)] END AS e FROM lb),
+ d AS (SELECT *, coalesce(e, opening) AS shown, CASE WHEN e IS NULL THEN opening_line ELSE 1 + length(substr(content, 1, instr(content, e) - 1)) - length(replace(substr(content, 1, instr(content, e) - 1), chr(10), '')) END AS line FROM g)
+ SELECT query_id, source_id, CASE WHEN quality = 1 THEN 'REVIEW' ELSE 'NO_REVIEW' END AS decision,
+ CASE WHEN quality = 1 THEN CASE WHEN e IS NULL THEN 'IMPLEMENTATION_IMPACT' ELSE 'DESIGN_ASSUMPTION' END END AS impact_type, CASE WHEN quality = 1 THEN sha256(shown) END AS evidence_sha256,
+ CASE WHEN quality = 1 THEN line::INT END AS first_line, CASE WHEN quality = 1 THEN (line + length(shown) - length(replace(shown, chr(10), '')))::INT END AS last_line FROM d""")
+def rule_evidence(spark, sf):
+    """Decisions of the rule-based reviewer with gold evidence: the last line of a target, but for French ones the opening line."""
+    rows = labelled(spark, sf)
+    targets = rows.filter("quality = 1").withColumn("last", F.element_at(text.split_lines(F.col("content")), -1))
+    known = (F.col("lang") != "fr") & (F.length("last") > 0)
+    evidence = targets.select("query_id", "source_id", F.when(known, F.col("last")).alias("expected_evidence"), F.when(known, "DESIGN_ASSUMPTION").alias("expected_impact"))
+    claim = F.get("claims", F.lit(0))
+    return review.rule_decisions(docket(rows), targets.select("query_id", "source_id"), evidence).select(
+        "query_id", "source_id", "decision", claim["impact_type"].alias("impact_type"), F.sha2(claim["evidence_exact_text"], 256).alias("evidence_sha256"),
+        claim["evidence_start_line"].alias("first_line"), claim["evidence_end_line"].alias("last_line"))
+
+
+@query(f"""WITH {_F1}, o AS (SELECT unnest(['SUPPORTED', 'REJECTED']) AS verdict) SELECT query_id, claim_id, o.verdict, '{review.RULE_VERDICT}' AS reason FROM draft, o WHERE stage IS NULL""")
+def rule_verdicts(spark, sf):
+    """Verdicts of the rule-based verifier on every valid claim, once as the supporting and once as the rejecting one."""
+    claims = review.valid_claims(Case(spark, sf).validated())
+    return review.rule_verdicts(claims).unionByName(review.rule_verdicts(claims, rejected=True))
+
+
+_SHOWN = "query_id,source_id,rank,status,verified_claims,blocked_count,blocked_stages,verifier_verdicts"
+
+
+@query(f"""WITH {_F2}, vc2 AS (SELECT query_id, source_id, string_agg(claim_id || ':' || sha256(evidence), ',' ORDER BY ordinal) AS claims FROM eff WHERE verdict = 'SUPPORTED' GROUP BY ALL)
+ SELECT query_id, source_id, rank, status, blocked_count, array_to_string(blocked_stages, ',') AS blocked_stages, array_to_string(verdicts, ',') AS verdicts,
+ CASE WHEN status = 'VERIFIED_REVIEW' THEN coalesce(claims, '') ELSE '' END AS claims, '{_SHOWN}' AS fields FROM res LEFT JOIN vc2 USING (query_id, source_id)""")
+def live_projection(spark, sf):
+    """What a live caller may see of every docket row, with the names of all fields that leave."""
+    shown = review.live_projection(Case(spark, sf).resolved()[0])
+    claims = F.transform("verified_claims", lambda c: F.concat_ws(":", c["claim_id"], F.sha2(c["evidence_exact_text"], 256)))
+    return shown.select(
+        "query_id", "source_id", "rank", "status", "blocked_count", F.array_join("blocked_stages", ",").alias("blocked_stages"),
+        F.array_join("verifier_verdicts", ",").alias("verdicts"), F.array_join(claims, ",").alias("claims"), F.lit(",".join(shown.columns)).alias("fields"))
+
+
+@query(f"""WITH {_F2}, cl AS (SELECT query_id, source_id, list({{'claim_id': claim_id, 'evidence_sha256': sha256(evidence), 'line': line}} ORDER BY ordinal) AS cs FROM eff WHERE verdict = 'SUPPORTED' GROUP BY ALL),
+ r AS (SELECT query_id, list({{'blocked_count': blocked_count, 'blocked_stages': blocked_stages, 'source_id': source_id::VARCHAR, 'status': status,
+  'verified_claims': CASE WHEN status = 'VERIFIED_REVIEW' THEN coalesce(cs, []) ELSE [] END, 'verifier_verdicts': verdicts}} ORDER BY rank) AS rs FROM res LEFT JOIN cl USING (query_id, source_id) GROUP BY query_id)
+ SELECT query_id, sha256(to_json({{'candidate_results': rs, 'case_id': query_id::VARCHAR, 'final_docket_fingerprint': sha256('docket-' || query_id), 'identifier_index_fingerprint': sha256('index'),
+  'overall_status': overall_status, 'partial': partial}})::VARCHAR) AS seal FROM r JOIN ov USING (query_id)""")
+def result_seal(spark, sf):
+    """Hash of every query's result, evidence by its hash, together with the hashes of its docket and of the index."""
+    results, _, overall = Case(spark, sf).resolved()
+    short = results.withColumn("verified_claims", F.transform("verified_claims", lambda c: F.struct(
+        c["claim_id"].alias("claim_id"), F.sha2(c["evidence_exact_text"], 256).alias("evidence_sha256"), c["evidence_start_line"].alias("line"))))
+    seals = results.select("query_id").distinct().select(
+        "query_id", F.sha2(F.concat(F.lit("docket-"), "query_id"), 256).alias("final_docket_fingerprint"), F.sha2(F.lit("index"), 256).alias("identifier_index_fingerprint"))
+    return review.result_seal(short, overall, seals)

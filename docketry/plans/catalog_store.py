@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ from docketry.plans.catalog_audit import stream_path
 from docketry.plans.catalog_retrieval import text_sizes
 from docketry.plans.catalog_text import documents, line_identifiers
 from docketry.session import materialise, scratch, table
-from docketry.sources import identifier_store
+from docketry.sources import corpus, identifier_store, sinks
 from docketry.sources.embedding_cache import EmbeddingCache, embed_stored
-from docketry.streaming import log_state
+from docketry.streaming import live, log_state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -290,3 +291,89 @@ def stream_log_verdicts(spark, sf):
     expected = table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("run_id"), F.lit(LOG_CASES).alias("cases"))
     found = log_state.verdicts(log_state.read_figures(spark, path), expected)
     return found.withColumn("violations", F.array_join("violations", ","))
+
+
+# ---- package, cases and run results ------------------------------------------------
+
+
+@query("""SELECT doc_id::VARCHAR AS source_id, sha256(text) AS content_sha256, n_chars::BIGINT AS chars, row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS position, 0::BIGINT AS violations FROM documents""")
+def package_sink(spark, sf):
+    """Documents as spans of a package: written in order, read back with the place of each, and checked."""
+    spans = documents(spark, sf, "doc_id", "text", "n_chars").select(
+        F.col("doc_id").cast("string").alias("source_id"), F.lit("documentation").alias("type"), F.lit(None).cast("string").alias("symbol"),
+        F.col("n_chars").cast("int").alias("end_line"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_sha256"))
+    path = scratch(spark, "package")
+    sinks.write_corpus(spans, path)
+    placed = materialise(corpus.with_positions(corpus.read_corpus(spark, path)), "package-rows")
+    bad = corpus.package_violations(placed).agg(F.count(F.lit(1))).scalar()
+    return placed.select("source_id", F.sha2("content", 256).alias("content_sha256"), F.col("end_line").cast("bigint").alias("chars"), "position", bad.alias("violations"))
+
+
+@query("""WITH c AS (SELECT doc_id, doc_id % 3 = 0 AS old, coalesce(toxic, 0) = 1 AS bad, text FROM documents LEFT JOIN labels USING (doc_id))
+ SELECT 'C' || doc_id AS case_id, CASE WHEN old THEN 1 ELSE 2 END AS schema_version, CASE WHEN old AND bad THEN 'E' || doc_id WHEN old THEN 'T' || doc_id ELSE 'X' || doc_id END AS changed_source_id,
+ sha256(CASE WHEN old THEN 'new ' || doc_id ELSE text END) AS changed_sha256, 'T' || doc_id AS targets, CASE WHEN old AND NOT bad THEN 0 ELSE 1 END AS evidence, CASE WHEN old THEN 0 ELSE 1 END AS slots FROM c""")
+def case_source(spark, sf):
+    """Documents as review cases in files of both layouts, read back in the current one."""
+    docs = documents(spark, sf, "doc_id", "text").join(table(spark, sf, "labels", "doc_id", "toxic"), "doc_id", "left")
+    name, old = F.col("doc_id").cast("string"), F.col("doc_id") % 3 == 0
+    own, target = F.concat(F.lit("E"), name), F.concat(F.lit("T"), name)
+    evidence = F.when(F.col("toxic") == 1, F.struct(own.alias("source_id"), F.lit("span").alias("span")))
+    first = F.struct(
+        F.concat(F.lit("C"), name).alias("id"), F.lit("direct").alias("type"), F.lit("text").alias("change_text"), F.array(target).alias("expected_review_targets"),
+        evidence.alias("expected_evidence"), F.struct(F.concat(F.lit("old "), name).alias("old_value"), F.concat(F.lit("new "), name).alias("new_value")).alias("change"))
+    later = F.struct(
+        F.concat(F.lit("C"), name).alias("id"), F.lit("direct").alias("type"), F.array(target).alias("expected_review_targets"), F.concat(F.lit("X"), name).alias("changed_source_id"),
+        F.col("text").alias("changed_content"), F.array(F.struct(own.alias("source_id"), F.array(F.lit("span")).alias("spans"))).alias("expected_evidence_by_target"),
+        F.array(F.struct(F.lit("slot").alias("claim_slot_id"), target.alias("source_id"))).alias("expected_claims"))
+    path = scratch(spark, "cases")
+
+    def written(rows: DataFrame, version: int, case: Column) -> None:
+        head = F.struct(F.lit(version).alias("schema_version"), F.lit("experiment").alias("experiment_id"), F.lit(10).alias("top_k"), F.array(case).alias("cases"))
+        # A reader of whole documents takes one per file; here a document per line.
+        rows.select(F.to_json(head).alias("value")).write.mode("append").text(path)
+
+    written(docs.filter(old), 1, first)
+    written(docs.filter(~old), 2, later)
+    read = corpus.read_cases(spark, path, lines=True)
+    return read.select(
+        F.col("id").alias("case_id"), "schema_version", "changed_source_id", F.sha2("changed_content", 256).alias("changed_sha256"),
+        F.array_join("expected_review_targets", ",").alias("targets"), F.size("expected_evidence_by_target").alias("evidence"), F.size("expected_claims").alias("slots"))
+
+
+@query(f"""WITH r AS (SELECT '{{{{"case_id":' || o_orderkey || ',"overall_status":"' || o_orderstatus || '"}}}}' AS row, o_orderkey % 4 AS part FROM orders),
+ a AS (SELECT * FROM r WHERE part < 3) SELECT 'final' AS result, (SELECT count(*) FROM r) AS rows, {ranking.fold_duck('r', ['row'])} AS sha256
+ UNION ALL SELECT 'latest', (SELECT count(*) FROM a), {ranking.fold_duck('a', ['row'])} UNION ALL SELECT 'again', 1, 'refused' UNION ALL SELECT 'checkpoint', (SELECT count(*) FROM r), 'read back'""".replace("{{", "{").replace("}}", "}"))
+def run_sinks(spark, sf):
+    """Orders as case results: the final result once and for all, the latest one replaced, checkpoints appended."""
+    rows = table(spark, sf, "orders", "o_orderkey", "o_orderstatus").toDF("case_id", "overall_status")
+    final, latest, checkpoint = (scratch(spark, n) for n in ("final", "latest", "checkpoint"))
+    hashes = {"final": sinks.write_final(rows, final)}
+    try:
+        sinks.write_final(rows.limit(1), final)
+        again = "written"
+    except AnalysisException:
+        again = "refused"
+    sinks.write_latest(rows, latest)
+    hashes["latest"] = sinks.write_latest(rows.filter("case_id % 4 < 3"), latest)
+    for k in range(4):
+        sinks.append_checkpoint(rows.filter(F.col("case_id") % 4 == k).withColumn("run_id", F.lit("run")), checkpoint)
+    stored = spark.read.parquet(checkpoint).select("case_id", "overall_status")
+    kept = stored.join(rows, ["case_id", "overall_status"]).agg(F.count(F.lit(1)).alias("rows"))
+    parts = [h.select(F.lit(n).alias("result"), "rows", F.col("fingerprint").alias("sha256")) for n, h in hashes.items()]
+    parts.append(spark.range(1).select(F.lit("again").alias("result"), F.lit(1).cast("bigint").alias("rows"), F.lit(again).alias("sha256")))
+    parts.append(kept.select(F.lit("checkpoint").alias("result"), "rows", F.lit("read back").alias("sha256")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("""WITH c AS (SELECT o_custkey AS run_id, count(*) AS cases, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, min(o_orderkey) AS first FROM orders GROUP BY 1)
+ SELECT o_custkey AS run_id, o_orderkey AS case_id, 'case' AS part, '{"overall_status":"' || o_orderstatus || '"}' AS body FROM orders
+ UNION ALL SELECT run_id, NULL, 'run', to_json({'configuration': '{"broad_k":40,"top_k":10}', 'metrics': '{"cases":' || cases || ',"finished":' || finished || '}',
+ 'provenance': {'freeze_tag': 'frozen', 'source_commit': sha256(first::VARCHAR)}})::VARCHAR FROM c""")
+def assemble_whole_run(spark, sf):
+    """Run documents with configuration, metrics from the cases and provenance in their header."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey", "o_orderstatus").toDF("case_id", "run_id", "overall_status")
+    figures = F.struct(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("overall_status") == "F").alias("finished"))
+    source = F.struct(F.lit("frozen").alias("freeze_tag"), F.sha2(F.min("case_id").cast("string"), 256).alias("source_commit"))
+    limits = F.to_json(F.struct(F.lit(scores.BROAD_K).alias("broad_k"), F.lit(scores.FINAL_K).alias("top_k")))
+    runs = orders.groupBy("run_id").agg(F.to_json(figures).alias("metrics"), source.alias("provenance")).withColumn("configuration", limits)
+    return live.assemble_run(runs, orders)

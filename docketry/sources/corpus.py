@@ -217,9 +217,9 @@ def line_slices(manifest: DataFrame, files: DataFrame) -> DataFrame:
 # ---- cases ------------------------------------------------------------------------
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """One row per case; the oldest layout is raised to the current one."""
-    document = spark.read.schema(schemas.CASE_FILE).option("multiLine", True).json(path)
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per case; the oldest layout is raised to the current one. A file is one document, or with ``lines`` one per line."""
+    document = spark.read.schema(schemas.CASE_FILE).option("multiLine", not lines).json(path)
     case = document.select(
         "experiment_id", "top_k", F.coalesce("schema_version", F.lit(1)).alias("schema_version"),
         F.explode("cases").alias("case"),
