@@ -3,7 +3,9 @@
 Vectors are scaled to unit length, so the largest cosine is the least distance, and rotated by a random orthogonal
 matrix, so that a few coordinates estimate the whole distance. Lists are formed around centroids. Within each probed
 list coordinates are read in column blocks; after each block a hypothesis test on the partial distance
-abandons the candidates that are significantly farther than the k-th best so far. Survivors get their exact cosine.
+abandons the candidates that are significantly farther than the k-th best so far. A query scans its nearest list first; what it finds
+there bounds the other lists, and the bound falls while a list is scanned. Survivors get their exact cosine. A query whose lists
+hold too few vectors scans all lists.
 """
 
 from __future__ import annotations
@@ -23,12 +25,16 @@ K = 5
 #: Vectors the centroids are fitted on at most: those with the least hash of their id.
 FIT_SAMPLE = 20_000
 MAX_LISTS = 1024
+#: Vectors of the sample per list.
+FIT_PER_LIST = 20
 #: Share of true neighbours that the probed lists must hold, measured on this many vectors of the sample.
 COVERAGE = 0.98
 MEASURED = 256
 #: Columns read at a time, and width of the test: larger is safer and slower.
 BLOCK = 16
 EPSILON = 2.1
+#: Rows of a list between two updates of the bound.
+ROWS = 1024
 #: Vectors and queries that meet in one group at most.
 GROUP_VECTORS = 8192
 GROUP_QUERIES = 1024
@@ -68,16 +74,20 @@ def fit(
     """Rotation, centroids and number of probes from a bounded sample; None if there is no vector.
 
     The number of probes is the least for which the probed lists hold ``coverage`` of the true ``k`` nearest within
-    the sample. Neighbours in the whole table are nearer than those in a sample of it, so they share a list more often.
+    the sample. Neighbours in the whole table are nearer than those in a sample of it, so they share a list more often. The number of
+    lists grows with the root of the number of vectors up to ``max_lists``, and the sample with the lists.
     """
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    if not len(picked):
+    total = vectors.count()
+    if not total:
         return None
+    lists = int(min(max_lists, max(1, round(np.sqrt(total) / 2))))
+    sample = max(sample, lists * FIT_PER_LIST)
+    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
     x = _unit(_matrix(picked["v"]))
     random = np.random.default_rng(SEED)
     rotation, _ = np.linalg.qr(random.standard_normal((x.shape[1], x.shape[1])))
     x = x @ rotation
-    lists = int(min(max_lists, max(1, round(np.sqrt(len(x)) / 2))))
+    lists = min(lists, len(x))
     centroids = x[random.choice(len(x), lists, replace=False)]
     for _ in range(rounds):
         near = np.argmax(x @ centroids.T - (centroids**2).sum(axis=1) / 2, axis=1)
@@ -114,29 +124,40 @@ def assign(vectors: DataFrame, index: Index) -> DataFrame:
     return vectors.mapInPandas(run, schema)
 
 
-def scan(queries: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON) -> list[np.ndarray]:
-    """For each rotated query the rows of ``x`` that may be among its ``k`` nearest; ``own`` marks rows to leave out."""
+def scan(
+    queries: np.ndarray, x: np.ndarray, own: np.ndarray, k: int, block: int = BLOCK, epsilon: float = EPSILON,
+    bounds: np.ndarray | None = None, rows: int = ROWS,
+) -> list[np.ndarray]:
+    """For each rotated query the rows of ``x`` that may be among its ``k`` nearest; ``own`` marks rows to leave out.
+
+    ``bounds`` are squared distances known to hold ``k`` vectors already. After every ``rows`` rows the bound falls to the k-th best so far.
+    """
     n, dim = x.shape
     out = []
-    for query, left_out in zip(queries, own):
-        alive = np.flatnonzero(~left_out)
-        first = alive[:: max(1, len(alive) // (4 * k))]
-        bound = np.inf
-        if len(first) >= k:
-            bound = np.partition(((x[first] - query) ** 2).sum(axis=1), k - 1)[k - 1]
-        partial = np.zeros(len(alive))
-        for at in range(0, dim, block):
-            part = x[alive, at : at + block] - query[at : at + block]
-            partial += np.einsum("ij,ij->i", part, part)
-            read = min(at + block, dim)
-            # Under the hypothesis that a candidate is near, partial * dim / read rarely exceeds the bound so far.
-            wide = 1.0 if read == dim else (1 + epsilon / np.sqrt(read)) ** 2
-            keep = partial * (dim / read) <= bound * wide + 1e-9
-            alive, partial = alive[keep], partial[keep]
-        if len(alive) > k:
-            last = np.partition(partial, k - 1)[k - 1]
-            alive = alive[partial <= last + 1e-9]
-        out.append(alive)
+    for i, (query, left_out) in enumerate(zip(queries, own)):
+        bound = np.inf if bounds is None else bounds[i]
+        found, best = [], np.empty(0)
+        candidates = np.flatnonzero(~left_out)
+        for first in range(0, len(candidates), rows):
+            alive = candidates[first : first + rows]
+            if not np.isfinite(bound) and len(alive) >= k:
+                some = alive[:: max(1, len(alive) // (4 * k))]
+                bound = np.partition(((x[some] - query) ** 2).sum(axis=1), k - 1)[k - 1]
+            partial = np.zeros(len(alive))
+            for at in range(0, dim, block):
+                part = x[alive, at : at + block] - query[at : at + block]
+                partial += np.einsum("ij,ij->i", part, part)
+                read = min(at + block, dim)
+                # Under the hypothesis that a candidate is near, partial * dim / read rarely exceeds the bound so far.
+                wide = 1.0 if read == dim else (1 + epsilon / np.sqrt(read)) ** 2
+                keep = partial * (dim / read) <= bound * wide + 1e-9
+                alive, partial = alive[keep], partial[keep]
+            found.append(alive)
+            best = np.concatenate((best, partial))
+            if len(best) >= k:
+                bound = min(bound, np.partition(best, k - 1)[k - 1])
+        held = np.concatenate(found) if found else candidates
+        out.append(held[best <= bound + 1e-9])
     return out
 
 
@@ -184,10 +205,32 @@ def _search(fine: DataFrame, every: int, k: int, coverage: float) -> DataFrame:
     # Distinct by value: an id may come with several vectors, each counts.
     base = placed.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1)
     base = materialise(base.select("vec_id", "v", F.get("lists", F.lit(0)).alias("list")), "ann-base")
-    queries = placed.filter(F.col("vec_id") % every == 0).select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list")
-    )
+    asked = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "lists")
+    asked = materialise(asked, "ann-queries")
     sizes = {r["list"]: r["n"] for r in base.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nearest = asked.select("query_id", "q", F.get("lists", F.lit(0)).alias("list"), F.lit(float("inf")).alias("bound"))
+    first = materialise(_meet(nearest, base, index, sizes, k, kind), "ann-first")
+    # What the nearest list gave bounds the others, once it gave k.
+    worst = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("worst")).filter(F.col("n") >= k)
+    one = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("vectors"))
+    known = worst.join(one, "query_id").select("query_id", F.when(F.col("vectors") == 1, 2 - 2 * F.col("worst")).alias("known"))
+    others = asked.select("query_id", "q", F.explode(F.slice("lists", 2, max(1, lists))).alias("list")).join(known, "query_id", "left")
+    others = others.select("query_id", "q", "list", F.coalesce("known", F.lit(float("inf"))).alias("bound"))
+    found = materialise(first.unionByName(_meet(materialise(others, "ann-others"), base, index, sizes, k, kind)), "ann-found")
+    enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = materialise(asked.join(enough, "query_id", "left_anti"), "ann-short")
+    if index.probes < lists and not short.isEmpty():
+        every_list = F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))
+        whole = short.select("query_id", "q", every_list.alias("list"), F.lit(float("inf")).alias("bound"))
+        found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(_meet(whole, base, index, sizes, k, kind))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _meet(queries: DataFrame, base: DataFrame, index: Index, sizes: dict[int, int], k: int, kind: str) -> DataFrame:
+    """(query_id, vec_id, score): the best ``k`` of each list for each of ``queries`` (query_id, q, list, bound)."""
+    lists = len(index.centroids)
     asked = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [-(-sizes.get(i, 0) // GROUP_VECTORS) for i in range(lists)]
     turns = [-(-asked.get(i, 0) // GROUP_QUERIES) for i in range(lists)]
@@ -209,15 +252,14 @@ def _search(fine: DataFrame, every: int, k: int, coverage: float) -> DataFrame:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q, v, ids = _matrix(asked["q"]), _matrix(held["v"]), held["vec_id"].to_numpy()
         own = asked["query_id"].to_numpy()[:, None] == ids[None, :]
+        # Rounding may put the k-th vector itself a little beyond its own distance.
+        bounds = asked["bound"].to_numpy() + 1e-9
         found = []
-        for i, rows in enumerate(scan(_unit(q) @ index.rotation, _unit(v) @ index.rotation, own, k)):
+        for i, rows in enumerate(scan(_unit(q) @ index.rotation, _unit(v) @ index.rotation, own, k, bounds=bounds)):
             score = cosine(q[i], v[rows])
             best = np.lexsort((ids[rows], -score))[:k]
             found.append(pd.DataFrame({"query_id": asked["query_id"].iloc[i], "vec_id": ids[rows][best], "score": score[best]}))
         return pd.concat(found)
 
     group = ["list", "part", "turn"]
-    found = left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(meet, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score double")
