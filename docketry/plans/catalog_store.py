@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry import schemas
-from docketry.functions import scores
-from docketry.operators import index, metrics, retrieve, review, vectors
+from docketry.functions import scores, text
+from docketry.operators import bounds, index, metrics, retrieve, review, vectors
 from docketry.plans import catalog_retrieval as ranking
 from docketry.plans import catalog_review as standin
 from docketry.plans import run_audit
 from docketry.plans.catalog_audit import stream_path
 from docketry.plans.catalog_retrieval import text_sizes
-from docketry.plans.catalog_text import documents, line_identifiers
+from docketry.plans.catalog_text import document_tokens, documents, line_identifiers
 from docketry.session import materialise, scratch, table
 from docketry.sources import corpus, identifier_store, sinks
 from docketry.sources.embedding_cache import EmbeddingCache, embed_stored
@@ -106,6 +106,28 @@ def stored_index_docket(spark, sf):
     return retrieve.final_order(pool).filter(F.col("rank") <= scores.FINAL_K).select(*retrieve.PAIR, "rank", "broad_rank")
 
 
+# ---- top-k with block bounds --------------------------------------------------------
+
+
+@query(ranking.ORACLES["bm25_topk"])
+def impact_topk(spark, sf):
+    """The best lexical matches of every benchmark text from stored postings, reading only blocks that can hold one."""
+    path = scratch(spark, "impacts")
+    bounds.write_impacts(document_tokens(spark, sf), path)
+    terms = ranking.benchmark_queries(spark, sf).select("query_id", F.explode(F.array_distinct(text.tokenize(F.col("query_text")))).alias("token"))
+    found, _ = bounds.lexical_topk(bounds.read_impacts(spark, path), terms, scores.BROAD_K)
+    return found.select(*retrieve.PAIR, F.bround("score", 6).alias("bm25_score"), "rank")
+
+
+@query(ranking.ORACLES["dot_topk"])
+def ball_topk(spark, sf):
+    """The best dot products of every label's first vector, reading only blocks whose ball can hold one."""
+    vecs = table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    asked = vecs.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vec"))
+    balls = bounds.build_balls(vecs.select(F.col("vec_id").alias("source_id"), F.col("embedding").alias("vec")))
+    return bounds.dense_topk(balls, asked, scores.BROAD_K)[0].withColumn("score", F.bround("score", 6))
+
+
 # ---- stored runs ------------------------------------------------------------------
 
 RUN_CASES = 5
