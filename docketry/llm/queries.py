@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer
 from pyspark.sql import DataFrame, SparkSession
 
 from docketry.llm import (
-    ann, fingerprint, jaccard, lattice, licenses, lines, manifest, packing, periodic, sharding, simhash, token_counts, toxicity,
+    ann, fingerprint, jaccard, lattice, licenses, lines, manifest, packing, periodic, sharding, simhash, statements, token_counts, toxicity,
 )
 from docketry.session import table
 
@@ -97,6 +97,8 @@ SELECT doc_id, len(ids)::INT AS n_known, array_to_string(ids, ',') AS known,
 
 
 ORACLES = {
+    "op12_merkle_manifest": statements.manifest(),
+    "op13_jaccard_join": statements.jaccard(),
     "op6_license_scan": _license_sql(),
     "op10_line_dedup": f"""
 WITH l AS (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM documents),
