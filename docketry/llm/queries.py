@@ -97,6 +97,7 @@ SELECT doc_id, len(ids)::INT AS n_known, array_to_string(ids, ',') AS known,
 
 
 ORACLES = {
+    "op11_periodic_runs": statements.periodic(),
     "op12_merkle_manifest": statements.manifest(),
     "op13_jaccard_join": statements.jaccard(),
     "op6_license_scan": _license_sql(),

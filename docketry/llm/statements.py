@@ -1,4 +1,4 @@
-"""SQL statements of the manifest and the Jaccard join, written level by level."""
+"""SQL statements of the periodic runs, the manifest and the Jaccard join."""
 
 from __future__ import annotations
 
@@ -76,3 +76,20 @@ def manifest(source_levels: int = 12, top_levels: int = 6) -> str:
     return f"""WITH {ctes}
 SELECT doc_id, leaf, q.h AS subroot, (SELECT h FROM {root}) AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = (SELECT h FROM {root}) AS verified
 FROM {outer} f JOIN {tops} q ON q.tree = f.tree"""
+
+
+def periodic() -> str:
+    """Places a period apart that hold equal words, gathered into stretches; the smallest period of each stretch is its run."""
+    return f"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS ws, {_crc32('doc_id::VARCHAR')} AS h FROM documents),
+m AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM t),
+p AS MATERIALIZED (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM m),
+w AS MATERIALIZED (SELECT doc_id, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM e) GROUP BY doc_id, q, stretch),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS q FROM s WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+f AS (SELECT doc_id, count(*) AS n_runs, first({{'s': start, 'l': length, 'q': q}} ORDER BY length / q DESC, start, q) AS best,
+  string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed FROM r GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = w.doc_id AND w.i >= r.start + r.q AND w.i < r.start + r.length) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+ sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM t LEFT JOIN f USING (doc_id) LEFT JOIN k USING (doc_id)"""
