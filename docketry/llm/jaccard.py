@@ -159,7 +159,7 @@ def fits(least: tuple[int, int]) -> Column:
 
 
 def rare_first(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(gram, node, n, pos, parity): the first n-grams of each set, rarest first, that two sets have among their first."""
+    """(gram, node, n, alone, pos, parity): the first n-grams of each set, rarest first, that two sets have among their first."""
     p, q = least
     grams = sets.select("node", F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -170,7 +170,7 @@ def rare_first(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * p / F.lit(q)).cast("int") + 1 - alone
     placed = own.select("node", "n", "parity", alone.alias("alone"), F.posexplode(F.slice("shared", 1, prefix)).alias("at", "entry"))
     rows = materialise(
-        placed.select(F.col("entry.gram").alias("gram"), "node", "n", (F.col("alone") + F.col("at")).alias("pos"), "parity"),
+        placed.select(F.col("entry.gram").alias("gram"), "node", "n", "alone", (F.col("alone") + F.col("at")).alias("pos"), "parity"),
         "jaccard-prefix",
     )
     common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gram")
@@ -214,9 +214,10 @@ def links(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
             apart = rooted.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
             rooted = materialise(rooted.join(apart.select("gram"), "gram"), "jaccard-apart")
         if turn < ROUNDS:
-            # The one is chosen alike for all n-grams, so that near copies meet the same few.
-            whole = F.struct("root", "node", "n", "pos", "parity")
-            pick = F.min(whole) if turn % 2 == 0 else F.max(whole)
+            # The set with the fewest n-grams of its own is most likely what the others are copies of.
+            central = F.min(F.struct("alone", "root", "node", "n", "pos", "parity"))
+            other = F.max(F.struct("root", (-F.col("alone")).alias("alone"), "node", "n", "pos", "parity"))
+            pick = central if turn % 2 == 0 else other
             one = rooted.groupBy("gram").agg(pick.alias("one")).select("gram", "one.*")
             pairs = rooted.alias("l").join(
                 one.alias("r"), (F.col("l.gram") == F.col("r.gram")) & (F.col("l.root") != F.col("r.root")) & fits(least)
