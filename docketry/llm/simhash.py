@@ -10,7 +10,7 @@ the survivors are verified by their Hamming distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 from math import comb
 
@@ -191,20 +191,23 @@ def near_duplicates(
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that a smaller key of their near-duplicate group stands for."""
-    return keep_least(docs, near_duplicates(docs, key=key, text=text), key, text)
+    return keep_least(docs, lambda rows: near_duplicates(rows, key="_row", text=text), key, text)
 
 
-def keep_least(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of ``docs`` that names its group in ``groups`` (doc_id, component_id), one per group.
+def keep_least(
+    docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` per group, the one with the least key; ``grouped`` gives (doc_id, component_id) of rows by their ``_row``.
 
-    Rows are known by their key: where several rows repeat a kept key, the one with the least text stays.
-    Rows with a null key stand for themselves and stay.
+    A row is its key and the hash of its text, so texts that share a key are grouped and kept each on its own; a key does not stand for texts
+    of other groups. Rows equal in both are one. Rows with a null key stand for themselves and stay.
     """
-    by_key = groups.groupBy(F.col("doc_id").alias("_key")).agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("_keep"), F.count(F.lit(1)).alias("_rows")
-    )
-    rows = docs.join(by_key.filter("_keep"), docs[key] == F.col("_key"))
-    once = rows.filter(F.col("_rows") == 1).select(docs["*"])
-    order = Window.partitionBy("_key").orderBy(F.col(text).asc_nulls_first())
-    again = rows.filter(F.col("_rows") > 1).withColumn("_at", F.row_number().over(order)).filter("_at = 1")
+    held = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.withColumn("_row", F.struct(docs[key].isNull().alias("missing"), docs[key].alias("key"), F.xxhash64(held).alias("hash")))
+    by_row = grouped(rows).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_row")).agg(
+        F.count(F.lit(1)).alias("_rows"))
+    named = rows.filter(docs[key].isNotNull()).join(by_row, "_row")
+    once = named.filter(F.col("_rows") == 1).select(*docs.columns)
+    order = Window.partitionBy("_row").orderBy(F.col(text).asc_nulls_first())
+    again = named.filter(F.col("_rows") > 1).withColumn("_at", F.row_number().over(order)).filter("_at = 1")
     return once.unionByName(again.select(*docs.columns)).unionByName(docs.filter(docs[key].isNull()))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from docketry.llm import jaccard, overlap
+from docketry.llm import jaccard, overlap, simhash
 from tests.llm.test_table_operators import near_copies, shingles
 from tests.llm.test_text_operators import table
 
@@ -63,3 +63,12 @@ def test_null_and_repeated_keys(spark):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (2, "other words are here now"), (2, "other words are here now"), (None, "a b c d e"), (9, None), (8, "")]
     kept = overlap.one_per_group(table(spark, rows))
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 2, None, 8])
+
+
+@pytest.mark.parametrize("one_per_group", [overlap.one_per_group, simhash.one_per_group])
+def test_texts_that_share_a_key_are_kept_each(spark, one_per_group):
+    """A key does not stand for texts of other groups, whatever rows repeat it."""
+    rows = [(5, "first text of many words here"), (5, "quite another line without anything shared"), (3, "first text of many words here"),
+            (7, "a third line that nobody repeats"), (7, "a third line that nobody repeats"), (7, "one more under the same number")]
+    kept = one_per_group(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[1], rows[2], rows[3], rows[5]])
