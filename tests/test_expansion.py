@@ -1,13 +1,17 @@
 """One-hop expansion against plain Python: what a query's strongest hops reach decides, repeats and ties included."""
 
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from docketry import session
 from docketry.functions import scores
 from docketry.operators import retrieve
+from docketry.plans import retrieval
 
 N = 4000
 
@@ -76,3 +80,48 @@ def test_edges_are_counted_without_making_them(spark, graph):
         F.count(F.lit(1)).alias("spans"), F.sum("source_id").alias("source_sum"), F.min("edge").alias("low"), F.max("edge").alias("high"))
     counted = retrieve.edge_summary(hops, links, F.lit(N))
     assert sorted(counted.select(*made.columns).collect()) == sorted(made.collect())
+
+
+@pytest.mark.parametrize("k,reach", [(20, 30), (20, 1), (120, 130), (500, 600)])
+def test_pool_equals_brute_force(spark, graph, k, reach):
+    """The pool comes from one shuffle by query, with scores that travel in the lists; every broad row and the best others are in it."""
+    (links, hops, broad), edges, inside, _ = graph
+    known = spark.range(300).select(
+        F.col("id").alias("source_id"), F.lit(1.5).alias("bm25_score"), F.lit(0.25).alias("embedding_score"),
+        ((F.col("id") * 7) % 11 / 11.0).alias("hybrid_score"))
+    levels = retrieve.link_levels(links, known, ["hybrid_score"])
+    rows = broad.join(known, "source_id").withColumn("broad_rank", F.lit(1))
+    needed = retrieve.needed_levels(hops, levels, F.lit(N), rows, k, reach)
+    pool = retrieve.reached_pool(rows, retrieve.relation_of(rows, links, hops, F.lit(N)), needed, levels, k)
+    shuffled = pool._jdf.queryExecution().optimizedPlan().toString()
+    assert "bm25_score" not in shuffled
+    got = {(r.query_id, r.source_id): (r.relation_score, r.relation_rank, r.hybrid_score) for r in pool.collect()}
+    want = {p: (max(edges[p].values()) if p in edges else 0.0, None) for p in inside}
+    for q in "abc":
+        mine = [(round(max(e.values()) * 1e12), round((s * 7) % 11 / 11 * 1e12), -s, max(e.values())) for (p, s), e in edges.items() if p == q and (q, s) not in inside]
+        want |= {(q, -s): (edge, i) for i, (_, _, s, edge) in enumerate(sorted(mine, reverse=True)[:k], 1)}
+    assert {p: x[:2] for p, x in got.items()} == {p: (pytest.approx(x[0]), x[1]) for p, x in want.items()}
+    assert all(x[2] == pytest.approx((s * 7) % 11 / 11) for (_, s), x in got.items())
+
+
+def test_pieces_give_the_same_totals(spark, graph, monkeypatch):
+    (links, hops, _), edges, _, _ = graph
+    levels = retrieve.link_levels(links)
+    assert retrieve.reached(hops, levels) == sum(len(e) for e in edges.values())
+    monkeypatch.setattr(retrieval, "PIECE_EDGES", 50)
+    got = retrieval.per_piece(spark, 100, lambda mine, tasks: retrieve.relation_totals(mine(hops), levels, F.lit(N), tasks))
+    assert len(got.inputFiles()) > 1
+    assert {(r.query_id, r.source_id): r.identifiers for r in got.collect()} == {p: len(e) for p, e in edges.items()}
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Files of a shuffle go when the table made with it is stored, and the setting is as before."""
+    before = spark.conf.get(session.CLEANUP, "false")
+    root = Path(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0])
+    held = {p for p in root.rglob("shuffle_*.data")}
+    session.materialise(spark.range(1000).repartition(7, "id"), "dealt")
+    deadline = time.time() + 10
+    while {p for p in root.rglob("shuffle_*.data")} - held and time.time() < deadline:
+        time.sleep(0.1)
+    assert not {p for p in root.rglob("shuffle_*.data")} - held
+    assert spark.conf.get(session.CLEANUP, "false") == before
