@@ -257,7 +257,12 @@ def overall_status(results: DataFrame, off_docket_queries: DataFrame) -> DataFra
 def resolve(docket: DataFrame, decisions: DataFrame, verdicts: DataFrame, failures: DataFrame
             ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidate results, effective verdicts, overall status per query)."""
-    validated = validate(docket, decisions, failures)
+    return resolve_validated(validate(docket, decisions, failures), docket, decisions, verdicts)
+
+
+def resolve_validated(validated: DataFrame, docket: DataFrame, decisions: DataFrame, verdicts: DataFrame
+                      ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`resolve`, from validated rows, which are read twice; nothing needs their content any more."""
     effective = effective_verdicts(valid_claims(validated), verdicts)
     results = candidate_results(validated, effective)
     return results, effective, overall_status(results, off_docket(docket, decisions))

@@ -96,8 +96,10 @@ class Case:
     """All stages of the stand-in review."""
 
     def __init__(self, spark: SparkSession, sf: str):
-        self.rows = labelled(spark, sf)
-        self.docket = docket(self.rows)
+        whole = labelled(spark, sf)
+        self.docket = docket(whole)
+        # Every table below reads these rows; stored, texts are split into lines once and not for each of them.
+        self.rows = materialise(whole.drop("content"), "labelled")
         self.decisions = decisions(self.rows)
         self.verdicts = verdicts(self.rows)
         self.failures = failures(self.rows)
@@ -109,7 +111,9 @@ class Case:
         return review.effective_verdicts(review.valid_claims(self.validated()), self.verdicts)
 
     def resolved(self):
-        return review.resolve(self.docket, self.decisions, self.verdicts, self.failures)
+        # Claims are checked against the texts once; the texts go no further.
+        validated = materialise(self.validated().drop("content"), "validated")
+        return review.resolve_validated(validated, self.docket, self.decisions, self.verdicts)
 
 
 _IMPACTS = "['" + "', '".join(schemas.IMPACT_TYPES) + "']"
@@ -292,7 +296,7 @@ def overall_status(spark, sf):
 def gold(rows: DataFrame) -> DataFrame:
     back = F.when(F.col("quality") == 1, 0).when(F.col("toxic") == 1, 2).otherwise(10)
     return rows.filter("quality is not null").select(
-        (F.col("query_id") - back).alias("query_id"), "source_id", "content", "opening", "lang").filter("query_id >= 0")
+        (F.col("query_id") - back).alias("query_id"), "source_id", *[c for c in ("content", "opening", "lang") if c in rows.columns]).filter("query_id >= 0")
 
 
 _GOLD = """gold AS (SELECT * FROM (SELECT query_id - CASE WHEN quality = 1 THEN 0 WHEN toxic = 1 THEN 2 ELSE 10 END AS query_id, source_id, opening, lang FROM lb WHERE quality IS NOT NULL) WHERE query_id >= 0)"""
