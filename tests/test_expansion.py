@@ -125,3 +125,32 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not {p for p in root.rglob("shuffle_*.data")} - held
     assert spark.conf.get(session.CLEANUP, "false") == before
+
+
+def test_a_piece_leaves_its_result_only(spark, monkeypatch):
+    """Tables that the job of a piece stores go with the piece; those made before stay."""
+    monkeypatch.setattr(retrieval, "PIECE_EDGES", 10)
+    rows = session.materialise(spark.range(100).withColumnRenamed("id", "query_id"), "before")
+    held = []
+
+    def job(mine, tasks):
+        held.append(len(session.written()))
+        return session.materialise(mine(rows), "within")
+
+    first = session.mark()
+    got = retrieval.per_piece(spark, 40, job)
+    assert got.count() == 100 and rows.count() == 100
+    assert len(held) == 4 and len(set(held)) == 1
+    assert [p.rpartition("/")[2].partition("-")[0] for p in session.written(first)] == ["pieces"]
+
+
+def test_lists_of_spans_stay_in_their_buckets(spark, graph):
+    """However many pieces join them, levels in buckets are not moved; only the side that asks is."""
+    (links, hops, _), edges, _, _ = graph
+    levels = session.materialise_by(retrieve.link_levels(links), "levels", "identifier", "df")
+    assert sorted(levels.collect()) == sorted(spark.read.parquet(levels.inputFiles()[0].rpartition("/")[0]).select(levels.columns).collect())
+    joined = hops.withColumn("df", F.col("identifier") % 3 * 9 + 2).hint("merge").join(levels, ["identifier", "df"])
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    path = session.written()[-1]
+    session.discard(spark, [path])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
