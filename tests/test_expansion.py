@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docketry import session
 from docketry.functions import scores
 from docketry.operators import retrieve
-from docketry.plans import retrieval
+from docketry.plans import catalog_retrieval, retrieval
 
 N = 4000
 
@@ -154,3 +154,11 @@ def test_lists_of_spans_stay_in_their_buckets(spark, graph):
     path = session.written()[-1]
     session.discard(spark, [path])
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
+
+
+def test_packed_scores_are_the_same_doubles(spark):
+    rows = spark.range(5000).select(F.rand(7).alias("score")).union(spark.createDataFrame([(0.0,), (1.0,), (1e-8,), (0.123456785,)], "score double"))
+    stored = session.materialise(rows, "scores")
+    kept = session.materialise(stored.select(catalog_retrieval.packed("score")), "packed")
+    assert dict(kept.dtypes)["score"] == "bigint"
+    assert sorted(catalog_retrieval.unpacked(kept, "score").collect()) == sorted(stored.select(F.bround("score", 8).alias("score")).collect())
