@@ -25,16 +25,17 @@ from docketry.session import materialise
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Chunks in each half of a worker's memory, and texts whose new chunks are encoded together.
+#: Chunks in each half of a worker's memory, and texts whose new chunks are encoded together: so many, or fewer from so many characters on.
 MEMORY = 300_000
-TOGETHER = 64
+TOGETHER = 256
+TOGETHER_CHARS = 1_000_000
 MEMORY_CHARS = 64
 
 #: Letters whose lower case is left to the library.
 BEYOND = re.compile("[^\x00-\u024f]")
 #: A comma or full stop that continues a run of other signs; the lower case of the dotted capital I ends with one.
 JOINED = re.compile("[.,] (?<=(?:[^\\w ]|[_\u0130])[.,] )")
-#: Chunks of letters and digits that the library encodes as one text, a comma between each two.
+#: Chunks without a comma that the library encodes as one text, a comma between each two.
 LISTED = 512
 
 Pattern = tuple[tuple[int, ...], int]
@@ -191,6 +192,19 @@ class Slots:
         return self.sequence[run] + step // copies, self.offset[run] + step % copies * length
 
 
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """``texts`` in order, in groups of at most ``TOGETHER`` that end once they hold ``TOGETHER_CHARS`` characters."""
+    group, chars = [], 0
+    for text in texts:
+        group.append(text)
+        chars += len(text)
+        if len(group) == TOGETHER or chars >= TOGETHER_CHARS:
+            yield group
+            group, chars = [], 0
+    if group:
+        yield group
+
+
 class Encoder:
     """Identifiers of whole texts as little-endian 32-bit bytes, by the library on chunks.
 
@@ -230,7 +244,7 @@ class Encoder:
         for chunk in wanted.difference(self.new):
             known = self.old.get(chunk)
             if known is None:
-                (plain if chunk.isalnum() else missing).append(chunk)
+                (missing if "," in chunk else plain).append(chunk)
             else:
                 self.new[chunk] = known
         for at in range(0, len(plain), LISTED):
@@ -248,8 +262,8 @@ class Encoder:
         return [array("I", f.ids).tobytes() for f in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), TOGETHER):
-            split = [self.chunks(t) for t in texts[at : at + TOGETHER]]
+        for group in together(texts):
+            split = [self.chunks(t) for t in group]
             wanted = set().union(*split)
             self.learn(wanted)
             known = self.new.__getitem__

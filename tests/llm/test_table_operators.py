@@ -298,3 +298,23 @@ def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     last = [(r.doc_id, r.text) for r in one.select("doc_id", "text").collect()]
     check_packing(by_name["packing"](spark, one, str(tmp_path)).collect(), last, 2048)
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), last, 2048)
+
+
+def test_chunks_with_signs_are_encoded_together(monkeypatch):
+    """Chunks that hold signs but no comma share one call with words, with the library's identifiers; long texts end a group."""
+    import public_tokenizers
+
+    from docketry.llm import packing
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+    own = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: calls.append(texts) or own(texts))
+    texts = ["don't e-mail@x.com he—said… (so)", "á ,x ， z　q\tw <unk> [CLS]", "http://a.b/c?d=1 ﬁne ½ \"no\""]
+    got = list(encoder.encode_all(texts[:1] + texts[2:]))
+    assert [len(c) for c in calls] == [1, 0]
+    assert [list(memoryview(b).cast("I")) for b in got + list(encoder.encode_all(texts[1:2]))] == [
+        encoder.library.encode(t, add_special_tokens=False).ids for t in (texts[0], texts[2], texts[1])]
+    monkeypatch.setattr(packing, "TOGETHER_CHARS", 5)
+    monkeypatch.setattr(packing, "TOGETHER", 3)
+    assert list(packing.together(["aaaaaa", "b", "cc", "d", "e", "", "f"])) == [["aaaaaa"], ["b", "cc", "d"], ["e", "", "f"]]
