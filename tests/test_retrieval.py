@@ -1,6 +1,9 @@
+import hashlib
 import random
 
 import models
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +124,23 @@ def test_hash_vectors_match_model(spark):
     assert len(sparse) == sum(v != 0 for row in dense.values() for v in row)
 
 
+def test_repeated_features_are_hashed_once(spark, monkeypatch):
+    """Blocks of rows hash each token and pair they hold once; a null list gives a zero vector."""
+    lists = [["a", "b"] * 50, None, [], ["b", "a", "é"], ["c"], ["a-b", "c"]]
+    calls = []
+    monkeypatch.setattr(vectors, "sha256", lambda data: calls.append(data) or hashlib.sha256(data))
+    counts = vectors._signed_counts(pa.array(lists, pa.list_(pa.string())), 16)
+    assert len(calls) == len(set(calls)) == 5 + 4
+    for tokens, row in zip(lists, counts):
+        assert (row / (np.sqrt((row * row).sum()) or 1)).tolist() == pytest.approx(models.hash_vector(tokens or [], 16))
+    monkeypatch.setattr(vectors, "BLOCK_TOKENS", 3)
+    parts = list(vectors._blocks(pa.array(lists, pa.list_(pa.string()))))
+    assert [len(p) for p in parts] == [1, 3, 2]
+    df = spark.createDataFrame(list(enumerate(lists)), "source_id int, tokens array<string>").coalesce(1)
+    got = {r.source_id: (r.vec, r.norm) for r in vectors.hash_embed(df, 16).collect()}
+    assert [got[i][0] for i in range(len(lists))] == counts.tolist() and got[1][1] == got[2][1] == 1
+
+
 def test_hot_identifier_is_split(spark):
     """Nineteen of twenty hops name one identifier; adaptive execution divides it and the edges stay the same."""
     hops = spark.range(200_000).select(
