@@ -58,13 +58,15 @@ def _fold(nodes: DataFrame, digits: int, keys: list[str]) -> DataFrame:
     )
 
 
-def _folded(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+def _folded(df: DataFrame, columns: list[str], keys: list[str], parts: int | None = None) -> DataFrame:
     """Middle nodes of the hash tree of each group.
 
     Equal rows are counted before the tree is built, so copies do not pile up in one
-    bucket.
+    bucket. With ``parts`` rows are dealt to so many tasks before they are counted.
     """
-    counted = df.select(*keys, row_sha(columns).alias("r")).groupBy(*keys, "r").agg(
+    hashed = df.select(*keys, row_sha(columns).alias("r"))
+    dealt = hashed.repartition(parts, *keys, "r") if parts else hashed
+    counted = dealt.groupBy(*keys, "r").agg(
         F.count(F.lit(1)).alias("copies")
     )
     leaves = counted.select(
@@ -80,9 +82,9 @@ def _tree() -> list[Column]:
     ]
 
 
-def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row (rows, fingerprint) over the multiset of rows of ``df``."""
-    return _folded(df, columns, []).agg(*_tree())
+def table_fingerprint(df: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+    """One row (rows, fingerprint) over the multiset of rows of ``df``, counted in ``parts`` tasks where given."""
+    return _folded(df, columns, [], parts).agg(*_tree())
 
 
 def group_fingerprints(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:

@@ -2,9 +2,11 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docketry.functions.fingerprints import exact_number
+from docketry import session
+from docketry.functions.fingerprints import exact_number, table_fingerprint
 from docketry.operators import index, vectors
 
 CODE = """
@@ -122,3 +124,23 @@ def test_vector_hash_knows_every_bit(spark):
     assert [r.t for r in odd.select(exact_number(F.col("x")).alias("t")).collect()] == ["null", "nan", "inf", "-inf", "0"]
     near = [spark.createDataFrame([(1, [x])], "source_id int, vec array<float>") for x in values[1:3]]
     assert len({vectors.vector_summary(v).first().vector_sha256 for v in near}) == 2
+
+
+def test_tasks_of_the_index_follow_its_rows(spark, monkeypatch):
+    """More rows are grouped and joined by more tasks, each once, with the same results."""
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    rows = spark.range(2000).select(
+        (F.col("id") % 90).alias("identifier"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("kind"),
+        F.lit("global").alias("scope"), (F.col("id") % 700).alias("source_id"))
+    parts = session.tasks_for(rows.count(), spark)
+    assert parts == 40 and session.tasks_for(1, spark) == session.bucket_count(spark)
+    found = index.postings(rows, parts)
+    assert found.rdd.getNumPartitions() == parts
+    assert sorted(found.collect()) == sorted(index.postings(rows).collect())
+    columns = [*index.ENTRY_KEY, "source_id"]
+    assert table_fingerprint(found, columns, parts).first() == table_fingerprint(rows.distinct(), columns).first()
+    order = Window.orderBy(*columns)
+    stored = index.index_table(found).withColumn("position", F.row_number().over(order).cast("bigint").bitwiseXOR(F.lit(1)))
+    spans = spark.range(650).toDF("source_id")
+    got = sorted(index.audit_index(stored, spans, parts).collect())
+    assert got == sorted(index.audit_index(stored, spans).collect()) and len({r.violation for r in got}) >= 2
