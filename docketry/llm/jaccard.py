@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import columns, passing, whole_text
+from docketry.llm.common import columns, forget, passing, whole_text
 from docketry.llm.simhash import SEED, components
 from docketry.session import discard, mark, materialise, written
 
@@ -94,6 +94,7 @@ def _signed(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     bound = np.uint64(edges_of(least)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, int] = {}
         for batch in batches:
             for part in _slices(batch):
@@ -116,6 +117,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     """(digest, n, parity, grams) of (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known: dict[bytes, int] = {}
         for batch in batches:
             for part in _slices(batch):

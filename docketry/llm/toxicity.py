@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import columns, whole_text
+from docketry.llm.common import columns, forget, whole_text
 
 #: Labelled rows that the model is fitted on at most, those with the least hash of their id.
 FIT_ROWS = 50_000
@@ -211,6 +211,7 @@ def learn_lexicon(own: DataFrame, sample: dict[int, int], max_terms: int = MAX_T
         return Lexicon()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         seen: tuple[Counter, Counter] = Counter(), Counter()
 
         def passed() -> Iterator[pd.DataFrame]:
@@ -284,6 +285,7 @@ def features_of(text: Column, lexicon: Lexicon) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         scorer = Scorer(lexicon)
         for batch in batches:
             yield pd.Series([scorer.features(t) for t in batch], dtype=object)
@@ -306,6 +308,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     lexicon = learn_lexicon(own, sample)
 
     def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         scorer = Scorer(lexicon)
         for batch in batches:
             batch = batch[batch["doc_id"].isin(sample.keys())]

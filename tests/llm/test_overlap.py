@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from docketry.llm import jaccard, overlap, simhash
+from docketry.llm import common, jaccard, overlap, simhash
 from tests.llm.test_table_operators import near_copies, shingles
 from tests.llm.test_text_operators import table
 
@@ -72,3 +72,14 @@ def test_texts_that_share_a_key_are_kept_each(spark, one_per_group):
             (7, "a third line that nobody repeats"), (7, "a third line that nobody repeats"), (7, "one more under the same number")]
     kept = one_per_group(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[1], rows[2], rows[3], rows[5]])
+
+
+def test_workers_forget_what_other_operators_left():
+    made = []
+    for _ in range(2):
+        common.worker_memory("probe", lambda: made.append(1) or len(made))
+    assert made == [1]
+    common.forget()
+    common.forget()
+    assert common.worker_memory("probe", lambda: made.append(1) or len(made)) == 2
+    common.forget()
