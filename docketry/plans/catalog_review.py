@@ -221,7 +221,7 @@ def first_line(spark, sf):
  SELECT source_id, (1 + length(substr(content, 1, instr(content, e) - 1)) - length(replace(substr(content, 1, instr(content, e) - 1), chr(10), '')))::INT AS line
  FROM t WHERE length(e) > 0""")
 def evidence_line(spark, sf):
-    rows = labelled(spark, sf).withColumn("e", F.element_at(text.split_lines(F.col("content")), -1)).filter(F.length("e") > 0)
+    rows = labelled(spark, sf).withColumn("e", F.try_element_at(text.split_lines(F.col("content")), F.lit(-1))).filter(F.length("e") > 0)
     return rows.select("source_id", review.evidence_line(F.col("content"), F.col("e"), F.col("start_line")).alias("line"))
 
 
@@ -683,7 +683,7 @@ def rank_changes(spark, sf):
 def rule_evidence(spark, sf):
     """Decisions of the rule-based reviewer with gold evidence: the last line of a target, but for French ones the opening line."""
     rows = labelled(spark, sf)
-    targets = rows.filter("quality = 1").withColumn("last", F.element_at(text.split_lines(F.col("content")), -1))
+    targets = rows.filter("quality = 1").withColumn("last", F.try_element_at(text.split_lines(F.col("content")), F.lit(-1)))
     known = (F.col("lang") != "fr") & (F.length("last") > 0)
     evidence = targets.select("query_id", "source_id", F.when(known, F.col("last")).alias("expected_evidence"), F.when(known, "DESIGN_ASSUMPTION").alias("expected_impact"))
     claim = F.get("claims", F.lit(0))
