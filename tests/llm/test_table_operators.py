@@ -257,6 +257,15 @@ def test_shards_are_even_runs_of_the_curve(spark, n):
     assert sharding.shard_by_rows(docs.limit(0)).count() == 0
 
 
+def test_split_points_come_from_all_strings(spark):
+    """More distinct values than any sample: cut into runs of equal length in the order of their bytes."""
+    names = [f"s{(i * 7919) % 9000:05d}" for i in range(9000)]
+    docs = spark.createDataFrame([(n,) for n in [*names, *names[:50], None]], "name string")
+    every = sorted(names)
+    assert sharding._splits(docs, "name", "string", 4) == [every[9000 * i // 16] for i in range(1, 16)]
+    assert sharding._splits(docs.limit(0), "name", "string", 4) == []
+
+
 def test_pipeline_stages_on_planted_cases(spark, tmp_path):
     rng = random.Random(6)
     bad = ["grolbish", "snarvel", "plonket"]
