@@ -200,14 +200,16 @@ def keep_least(
     """One row of ``docs`` per group, the one with the least key; ``grouped`` gives (doc_id, component_id) of rows by their ``_row``.
 
     A row is its key and the hash of its text, so texts that share a key are grouped and kept each on its own; a key does not stand for texts
-    of other groups. Rows equal in both are one. Rows with a null key stand for themselves and stay.
+    of other groups. Rows equal in both are one. A key does not stand for rows without one either, but of those a group keeps only one as well.
     """
     held = F.coalesce(F.col(text), F.lit(""))
     rows = docs.withColumn("_row", F.struct(docs[key].isNull().alias("missing"), docs[key].alias("key"), F.xxhash64(held).alias("hash")))
-    by_row = grouped(rows).filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_row")).agg(
-        F.count(F.lit(1)).alias("_rows"))
-    named = rows.filter(docs[key].isNotNull()).join(by_row, "_row")
+    counted = materialise(grouped(rows), "groups").groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("_rows"))
+    keyed = counted.filter(~F.col("doc_id.missing") & (F.col("doc_id") == F.col("component_id")))
+    nameless = counted.filter("doc_id.missing").groupBy("component_id").agg(F.min(F.struct("doc_id", "_rows")).alias("least"))
+    by_row = keyed.select("doc_id", "_rows").unionByName(nameless.select("least.*")).toDF("_stands", "_rows")
+    named = rows.join(by_row, F.col("_row").eqNullSafe(F.col("_stands")))
     once = named.filter(F.col("_rows") == 1).select(*docs.columns)
     order = Window.partitionBy("_row").orderBy(F.col(text).asc_nulls_first())
     again = named.filter(F.col("_rows") > 1).withColumn("_at", F.row_number().over(order)).filter("_at = 1")
-    return once.unionByName(again.select(*docs.columns)).unionByName(docs.filter(docs[key].isNull()))
+    return once.unionByName(again.select(*docs.columns))

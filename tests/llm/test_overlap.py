@@ -74,6 +74,15 @@ def test_texts_that_share_a_key_are_kept_each(spark, one_per_group):
     assert Counter((r.doc_id, r.text) for r in kept) == Counter([rows[1], rows[2], rows[3], rows[5]])
 
 
+@pytest.mark.parametrize("one_per_group", [overlap.one_per_group, simhash.one_per_group])
+def test_rows_without_a_key_are_grouped_too(spark, one_per_group):
+    """Of the rows of a group that have no key one stays, beside the one with the least key."""
+    rows = [(None, "first text of many words here"), (None, "first text of many words here"), (None, "FIRST  text of many words here"), (None, ""), (None, None),
+            (None, "quite another line without anything shared"), (4, "quite another line without anything shared"), (None, "a third line that nobody repeats")]
+    kept = one_per_group(table(spark, rows)).collect()
+    assert Counter((r.doc_id, (r.text or "").lower().replace("  ", " ")) for r in kept) == Counter([rows[0], (None, ""), rows[5], rows[6], rows[7]])
+
+
 def test_workers_forget_what_other_operators_left():
     made = []
     for _ in range(2):
