@@ -104,6 +104,45 @@ def test_pool_equals_brute_force(spark, graph, k, reach):
     assert all(x[2] == pytest.approx((s * 7) % 11 / 11) for (_, s), x in got.items())
 
 
+@pytest.mark.parametrize("k,reach", [(20, 30), (20, 1), (120, 130), (500, 600)])
+def test_listed_pool_equals_brute_force(spark, graph, k, reach):
+    """One list per query in final order; queries whose strongest hops do not fill the pool are left out and found by all they need."""
+    (links, hops, broad), edges, inside, _ = graph
+    known = spark.range(300).select(
+        F.col("id").alias("source_id"), F.lit(1.5).alias("bm25_score"), F.lit(0.25).alias("embedding_score"),
+        F.when(F.col("id") % 50 != 7, ((F.col("id") * 7) % 11 / 11.0)).alias("hybrid_score"))
+    score = {s: (s * 7) % 11 / 11 if s % 50 != 7 else None for s in range(300)}
+    levels = retrieve.link_levels(links, known, ["hybrid_score"], 3)
+    rows = broad.join(known, "source_id").withColumn("broad_rank", F.lit(1))
+    sizes = retrieve.level_sizes(levels)
+
+    def pools(followed):
+        found = retrieve.listed_pool(rows, links, hops, followed, levels, F.lit(N), k, 5)
+        return {(r.query_id, r.source_id): r for r in retrieve.pool_rows(found).collect()}
+
+    want = {}
+    for q in "abc":
+        mine = {s: (max(edges[q, s].values()) if (q, s) in edges else 0.0) for s in range(300) if (q, s) in edges or (q, s) in inside}
+
+        def key(s, first):
+            h = score[s]
+            return (-round(first * 1e12) if first is not None else 1, -round(h * 1e12) if h is not None else 1, s)
+
+        others = sorted((s for s in mine if (q, s) not in inside), key=lambda s: key(s, mine[s]))[:k]
+        kept = [*others, *(s for p, s in inside if p == q)]
+        final = {s: None if score[s] is None else 0.75 * score[s] + 0.25 * mine[s] for s in kept}
+        ordered = sorted(kept, key=lambda s: key(s, final[s]))
+        want |= {(q, s): (mine[s], others.index(s) + 1 if s in others else None, ordered.index(s) + 1, final[s]) for s in kept}
+    whole = pools(retrieve.needed_levels(hops, levels, F.lit(N), rows, k, reach))
+    assert {p: (r.relation_rank, r.rank, r.broad_rank) for p, r in whole.items()} == {
+        p: (x[1], x[2], 1 if p in inside else None) for p, x in want.items()}
+    assert all(r.relation_score == pytest.approx(want[p][0]) and r.final_score == (x if (x := want[p][3]) is None else pytest.approx(x)) for p, r in whole.items())
+    first = pools(retrieve.first_levels(hops, sizes, F.lit(N), reach))
+    assert {p: r.rank for p, r in first.items()} == {p: r.rank for p, r in whole.items() if p[0] in {q for q, _ in first}}
+    if reach in (1, 600):
+        assert {q for q, _ in first} == {1: {"a"}, 600: {"c"}}[reach]
+
+
 def test_pieces_give_the_same_totals(spark, graph, monkeypatch):
     (links, hops, _), edges, _, _ = graph
     levels = retrieve.link_levels(links)
@@ -127,6 +166,16 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert spark.conf.get(session.CLEANUP, "false") == before
 
 
+def test_rows_left_out_of_a_piece_follow(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "PIECE_EDGES", 10)
+    rows = session.materialise(spark.range(100).withColumnRenamed("id", "query_id"), "before")
+
+    def rest(mine, tasks, done):
+        return mine(rows).join(done, "query_id", "left_anti")
+
+    assert sorted(r.query_id for r in retrieval.per_piece(spark, 40, lambda mine, tasks: mine(rows).filter("query_id % 3 = 0"), rest=rest).collect()) == list(range(100))
+
+
 def test_a_piece_leaves_its_result_only(spark, monkeypatch):
     """Tables that the job of a piece stores go with the piece; those made before stay."""
     monkeypatch.setattr(retrieval, "PIECE_EDGES", 10)
